@@ -14,7 +14,7 @@
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32 = 5e-6.
 Nulls: no text means no set, linked with nothing. A null doc_id takes part in nothing; its
-component is null and it is kept. Repeated rows with one doc_id each get their text's result.
+component is null and it is kept. Rows that repeat a doc_id are one node: each has its own set's size and the node's component.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from .common import SPACED, U, checkpoint, mix, pair_hash, ragged, read, word_ch
 
 WIDTH, ALIKE = 5, 75  # words in a shingle; percent of similarity that links
 BANDS, ROWS = 32, 4
+BROADCAST_PAIRS = 1_000_000  # 16 bytes each
 #: Two sketches of a pair at 0.75 agree in 112 of 128 bits on average, deviation 3.7; fewer than 90 is 5.9 deviations off.
 AGREE = 90
 
@@ -94,23 +95,28 @@ def _sketches(batches):
             )
 
 
-def _sets(batches):
-    for b in batches:
-        ids = b.column(0)
-        for w in word_chunks(b.column(1), SPACED):
-            key, edges = shingle_sets(w)
-            yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo), pa.ListArray.from_arrays(edges.astype(np.int32), key.view(np.int64))], names=["id", "set"])
+def _sets(keep: int):
+    """A mapInArrow function: `keep` ids and a text become the ids and the text's set."""
+
+    def run(batches):
+        for b in batches:
+            for w in word_chunks(b.column(keep), SPACED):
+                key, edges = shingle_sets(w)
+                ids = [b.column(i).slice(w.lo, w.hi - w.lo) for i in range(keep)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(edges.astype(np.int32), key.view(np.int64))], names=[*b.schema.names[:keep], "set"])
+
+    return run
 
 
 def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough. Only the sets of documents in pairs are made, from the text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.select("doc_id", "text").mapInArrow(_sets, "id long, set array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    """Those of the pairs (a, b) whose full sets are similar enough. Sets are made from the text again, for documents in pairs only; up to BROADCAST_PAIRS pairs go to the text, which then isn't shuffled."""
+    near = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda x: x)
+    right = docs.join(near(pairs), docs["doc_id"] == F.col("b")).select("a", "b", "text").mapInArrow(_sets(2), "a long, b long, set array<long>")
+    left = docs.join(near(pairs.select("a").distinct()), docs["doc_id"] == F.col("a"), "left_semi").select(F.col("doc_id").alias("a"), "text").mapInArrow(_sets(1), "a long, set array<long>")
+    both = right.withColumnRenamed("set", "set_b").join(left.withColumnRenamed("set", "set_a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     sized = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
-    return sized.where(100 * F.col("common") >= ALIKE * (F.col("total") - F.col("common"))).select("a", "b")
+    return sized.where(100 * F.col("common") >= ALIKE * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -151,17 +157,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     base = checkpoint(docs.mapInArrow(_sketches, "doc_id long, digest binary, n long, bands array<long>, s1 long, s2 long"))
     classes = checkpoint(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "s1", "s2"))))
-    # a bucket of one class links nothing
-    buckets = classes.select(F.explode("bands").alias("bucket"), "rep", "n", "s1", "s2")
-    head = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n", "s1", "s2")).alias("head")).where("size > 1").select("bucket", "head.*")
-    x, y = buckets.alias("x"), head.alias("y")
+    # a bucket of one class links nothing; only then do sizes and sketches join the rows
+    buckets = classes.select(F.explode("bands").alias("bucket"), "rep")
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = checkpoint(buckets.join(several, "bucket", "left_semi").join(classes.select("rep", "n", "s1", "s2"), "rep"))
+    head = shared.groupBy("bucket").agg(F.min(F.struct("rep", "n", "s1", "s2")).alias("head")).select("bucket", "head.*")
+    x, y = shared.alias("x"), head.alias("y")
     tried = checkpoint(x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.rep") > F.col("y.rep")) & _close("x", "y")).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct())
     links = checkpoint(_alike(docs, tried))
     found = components(links)
 
     # pairs of a bucket that lie in different components and have not been tried
-    shared = buckets.join(head.select("bucket"), "bucket", "left_semi")
-    placed = checkpoint(shared.join(found, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("component")))
+    placed = shared.join(found, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.count("*").alias("several"), F.max(F.struct("size", "component")).alias("top")).where("several > 1").select("bucket", F.col("top.component").alias("main"))
     mixed = placed.join(main, "bucket")
