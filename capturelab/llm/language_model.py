@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import SPACED, U, checkpoint, crc_bucket, pair_hash, read, word_chunks
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BLOCK_TOKENS, RANGE_KEYS, LEAST_RANGES = 1_000_000, 2_000_000, 32
+BLOCK_TOKENS, RANGE_KEYS, LEAST_RANGES = 2_000_000, 2_000_000, 32
+#: A bigram's key has this many bits more than the number of tokens, so that at any size one key in two million shares its counts with another. Words have 64 bits.
+SPARE_BITS = 21
 BUCKETS, PER_OCTAVE, ROUNDS = 24, 4, 40
 END, START = U(0x0123456789ABCDEF), U(0xFEDCBA9876543210)
 ESTIMATE, FOLD, SCORE = 0, 1, 2  # roles
@@ -46,6 +48,17 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted uint64 keys as differences, their first bytes together, then their second bytes, and so on."""
+    step = np.diff(x, prepend=U(0))
+    return pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    planes = unpack(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(U), dtype=U)
+
+
 def _block(block: int, role: int, ids: list, counts: list, hashes: list) -> pa.RecordBatch:
     n = np.concatenate(counts)
     token = np.full(int(n.sum()) + len(n), END)
@@ -54,7 +67,7 @@ def _block(block: int, role: int, ids: list, counts: list, hashes: list) -> pa.R
     token[keep] = np.concatenate(hashes)
     vocabulary, index = np.unique(token, return_inverse=True)
     columns = [pa.array([block]), pa.array([role], pa.int32()), pa.array([len(token)]), pa.array([[x for part in ids for x in part.to_pylist()]], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.array([pack(x)], pa.binary()) for x in ((n + 1).astype(np.int32), vocabulary, index.astype(np.int32)))], names=["block", "role", "tokens", "ids", "lengths", "vocabulary", "index"])
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in (pack((n + 1).astype(np.int32)), pack_sorted(vocabulary), pack(index.astype(np.int32))))], names=["block", "role", "tokens", "ids", "lengths", "vocabulary", "index"])
 
 
 def _blocks(batches):
@@ -81,9 +94,9 @@ def _blocks(batches):
 class Tokens:
     """A block's tokens and bigrams: the sorted distinct keys, and each token's place among them."""
 
-    def __init__(self, lengths: bytes, vocabulary: bytes, index: bytes):
+    def __init__(self, bits: int, lengths: bytes, vocabulary: bytes, index: bytes):
         self.lengths = unpack(lengths, np.int32).astype(np.int64)
-        self.one, self.word = unpack(vocabulary, U), unpack(index, np.int32)
+        self.one, self.word = unpack_sorted(vocabulary), unpack(index, np.int32)
         self.first = np.cumsum(self.lengths) - self.lengths
         before = np.empty(len(self.word), np.int64)
         before[1:] = self.word[:-1]
@@ -92,25 +105,25 @@ class Tokens:
         self.before = before
         left = self.one[before]
         left[self.first] = START
-        self.two, self.pair = np.unique(pair_hash(left, self.one[self.word]), return_inverse=True)
+        self.two, self.pair = np.unique(pair_hash(left, self.one[self.word]) >> U(64 - bits), return_inverse=True)
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Ranges of keys, in their order."""
-    return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+def _part(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Ranges of keys of so many bits, in their order."""
+    return ((keys >> U(bits - 32)) * U(parts) >> U(32)).astype(np.int64)
 
 
-def _requests(parts: int):
+def _requests(parts: int, bits: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 block, role, _, _, *blobs = (c[i].as_py() for c in b.columns)
-                t = Tokens(*blobs)
+                t = Tokens(bits, *blobs)
                 sides = []
-                for keys, places in ((t.one, t.word), (t.two, t.pair)):
-                    sides.append((keys, np.bincount(places, minlength=len(keys)).astype(np.uint32), np.searchsorted(_part(keys, parts), np.arange(parts + 1))))
+                for keys, places, wide in ((t.one, t.word, 64), (t.two, t.pair, bits)):
+                    sides.append((keys, np.bincount(places, minlength=len(keys)).astype(np.uint32), np.searchsorted(_part(keys, wide, parts), np.arange(parts + 1))))
                 live = [p for p in range(parts) if any(e[p + 1] > e[p] for _, _, e in sides)]
-                columns = [pa.array([[k, n][j][e[p] : e[p + 1]].tobytes() for p in live], pa.binary()) for k, n, e in sides for j in (0, 1)]
+                columns = [pa.array([how(x[e[p] : e[p + 1]]) for p in live], pa.binary()) for k, n, e in sides for how, x in ((pack_sorted, k), (pack, n))]
                 yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([block] * len(live), pa.int64()), pa.array([role] * len(live), pa.int32()), *columns], names=["part", "block", "role", "one", "n_one", "two", "n_two"])
 
     return run
@@ -121,8 +134,8 @@ def _totals(table: pa.Table) -> pa.Table:
     role = np.asarray(table["role"])
     out, known = [], 0
     for name in ("one", "two"):
-        keys = [np.frombuffer(x, U) for x in table[name].to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in table[f"n_{name}"].to_pylist()]
+        keys = [unpack_sorted(x) for x in table[name].to_pylist()]
+        counts = [unpack(x, np.uint32) for x in table[f"n_{name}"].to_pylist()]
         size = np.array([len(k) for k in keys])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         n, by = np.concatenate(counts).astype(np.float64), np.repeat(role, size)
@@ -153,7 +166,7 @@ def _estimates(t: Tokens, one: np.ndarray, two: np.ndarray, total: int):
     return bucket, one[t.word] / max(total, 1), two[t.pair] / np.maximum(context, 1)
 
 
-def _cells(total: int, uniform: float):
+def _cells(bits: int, total: int, uniform: float):
     """Counts the deleted fold's tokens by bucket and estimates."""
 
     def level(p: np.ndarray) -> np.ndarray:
@@ -162,7 +175,7 @@ def _cells(total: int, uniform: float):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = [np.zeros(0)] * 4
         if block.num_rows and answers.num_rows:
-            t = Tokens(*(block[c][0].as_py() for c in ("lengths", "vocabulary", "index")))
+            t = Tokens(bits, *(block[c][0].as_py() for c in ("lengths", "vocabulary", "index")))
             bucket, p1, p2 = _estimates(t, *_joined(answers, "_kept"), total)
             cell, place = np.unique((bucket << 40) | (level(p1) << 20) | level(p2), return_inverse=True)
             rows = [cell, *(np.bincount(place, x, len(cell)) for x in (np.ones(len(place)), p1, p2))]
@@ -192,11 +205,11 @@ def interpolation_weights(cells: list[tuple[int, float, float, float]], uniform:
     return np.maximum(out, 1e-9 * (np.arange(3) == 2)) / np.maximum(out, 1e-9 * (np.arange(3) == 2)).sum(1, keepdims=True)
 
 
-def _scores(total: int, vocabulary: int, weights: np.ndarray):
+def _scores(bits: int, total: int, vocabulary: int, weights: np.ndarray):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         ids, columns = pa.array([], pa.int64()), [np.zeros(0)] * 4
         if block.num_rows and answers.num_rows:
-            t = Tokens(*(block[c][0].as_py() for c in ("lengths", "vocabulary", "index")))
+            t = Tokens(bits, *(block[c][0].as_py() for c in ("lengths", "vocabulary", "index")))
             one, two = _joined(answers, "")
             bucket, p1, p2 = _estimates(t, one, two, total)
             w = weights[bucket] if total else np.array([[0.0, 0.0, 1.0]])
@@ -217,16 +230,17 @@ def scored(docs: DataFrame) -> DataFrame:
     blocks = checkpoint(docs.select("doc_id", "text", role.alias("role")).mapInArrow(_blocks, "block long, role int, tokens long, ids array<long>, lengths binary, vocabulary binary, index binary"))
     tokens = dict(blocks.groupBy("role").agg(F.sum("tokens")).collect())
     total = tokens.get(ESTIMATE, 0) + tokens.get(FOLD, 0)
+    bits = min(64, max(40, sum(tokens.values()).bit_length() + SPARE_BITS))
     parts = max(LEAST_RANGES, math.ceil(sum(tokens.values()) / RANGE_KEYS))
-    asked = blocks.mapInArrow(_requests(parts), "part int, block long, role int, one binary, n_one binary, two binary, n_two binary")
+    asked = blocks.mapInArrow(_requests(parts, bits), "part int, block long, role int, one binary, n_one binary, two binary, n_two binary")
     answers = checkpoint(asked.groupBy("part").applyInArrow(_totals, "block long, part int, role int, one binary, one_kept binary, two binary, two_kept binary, vocabulary long"))
     vocabulary = answers.agg(F.sum("vocabulary")).first()[0] or 0
     uniform = 1 / (vocabulary + 1)
     fold_blocks, fold_answers = blocks.where(F.col("role") == FOLD), answers.where(F.col("role") == FOLD)
-    cells = fold_blocks.groupBy("block").cogroup(fold_answers.groupBy("block")).applyInArrow(_cells(tokens.get(ESTIMATE, 0), uniform), "cell long, n double, p1 double, p2 double")
+    cells = fold_blocks.groupBy("block").cogroup(fold_answers.groupBy("block")).applyInArrow(_cells(bits, tokens.get(ESTIMATE, 0), uniform), "cell long, n double, p1 double, p2 double")
     sums = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p1", "p2"))).collect()
     weights = interpolation_weights(sorted(map(tuple, sums)), uniform)
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(total, vocabulary, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(bits, total, vocabulary, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held_out = F.coalesce(fold == HELD_OUT, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
