@@ -19,10 +19,14 @@ def split_counts(n: Column, ratios=(0.7, 0.15, 0.15)) -> Column:
     counts = F.array(*(f + (a < left).cast("int") for f, a in zip(floors, ahead, strict=True)))
     for i in range(3):
         if ratios[i] > 0:
-            counts = let(counts, lambda c, i=i: F.when((n >= 3) & (F.get(c, i) == 0) & (F.array_max(c) > 1), _moved(c, i)).otherwise(c))
+            counts = let(counts, _filled(n, i))
     return counts
 
 
+def _filled(n: Column, i: int):
+    return lambda c: F.when((n >= 3) & (F.get(c, i) == 0) & (F.array_max(c) > 1), _moved(c, i)).otherwise(c)
+
+
 def _moved(c: Column, i: int) -> Column:
     """c with one more in place i, taken from the first of the largest."""
     donor = F.array_position(c, F.array_max(c)) - 1
