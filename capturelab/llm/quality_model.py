@@ -70,9 +70,14 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     known = labels.where("doc_id is not null and quality is not null").where(crc_bucket("doc_id", FOLDS) != HELD_OUT).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
     every = max(1, known.count() // TRAIN_DOCS)
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id"), "label").limit(2 * TRAIN_DOCS)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("id")).select("label", docs["text"], F.xxhash64("id").alias("order"))
-    got = rows.select("label", "text").mapInArrow(_vectors, "label int, feature array<int>, value array<float>").collect()
-    data = [(r.label, np.array(r.feature, np.int64), np.array(r.value, np.float64)) for r in got]
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("id")).select("label", docs["text"])
+    got = rows.select("label", "text").mapInArrow(_vectors, "label int, feature array<int>, value array<float>").toArrow().combine_chunks()
+    if not got.num_rows:
+        return ftrl([])
+    label, feature, value = (got[c].chunk(0) for c in ("label", "feature", "value"))
+    edges = np.cumsum([0, *np.asarray(feature.value_lengths())])
+    flat, values = np.asarray(feature.flatten()).astype(np.int64), np.asarray(value.flatten()).astype(np.float64)
+    data = [(y, flat[s:e], values[s:e]) for y, s, e in zip(label.to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     data.sort(key=lambda x: (x[1].tobytes(), x[0]))
     order = np.random.RandomState(1).permutation(len(data))
     return ftrl([data[i] for i in order])
