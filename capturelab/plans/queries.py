@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import audit, metrics, neighbors, splits
 from ..sources.captures import parsed
-from . import views
+from . import model_queries, views
 
 CLASSES = ["source_1", "source_3", "source_5"]
 GROUPS = ["1", "2", "3", "4", "5", "6", "7", "8"]
@@ -188,3 +188,6 @@ r AS (SELECT *, pred = target AS exact, pred[1]>target[1] OR pred[2]>target[2] O
   SELECT id, c.label, round(own,6) AS own_fraction, round(radius,6) AS radius, CASE WHEN radius>h+3*(h-l) THEN 'isolated' WHEN own>=8e-1 THEN 'typical' WHEN own>=5e-1 THEN 'boundary' ELSE 'other_dominated' END AS category FROM c JOIN q ON c.label=q.label""",
     "point_statistics": "WITH x AS (SELECT CAST(i-1 AS INT) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1,65) u(i)) SELECT pos, round(avg(x),6) AS mean, round(stddev_pop(x),6) AS std, round(quantile_cont(x,5e-2),6) AS p05, round(quantile_cont(x,95e-2),6) AS p95 FROM x GROUP BY pos",
 }
+
+QUERIES |= model_queries.QUERIES
+ORACLES |= model_queries.ORACLES

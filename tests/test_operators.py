@@ -56,8 +56,10 @@ def test_queries_match_sql(spark):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
-    assert set(ORACLES) == set(QUERIES)
-    for name, query in QUERIES.items():
+    #: tested below against numpy
+    assert set(QUERIES) - set(ORACLES) == {"pca_dimensions", "template_features"}
+    for name in ORACLES:
+        query = QUERIES[name]
         df = query(spark, DATA)
         columns = sorted(df.columns)
         cell = lambda v: repr(float(v) + 0.0) if isinstance(v, float) else str(v)
