@@ -3,7 +3,9 @@
 A text is cut by the tokenizer's pattern. Each piece is looked up in two tiers: a minimal
 perfect hash over the vocabulary resolves pieces that are tokens themselves; for any other
 piece a heap of (rank, place) over a linked list of its bytes applies merges from the
-lowest rank up. A bounded memo keeps the ids of text between spaces that a worker has seen.
+lowest rank up. A bounded memo of two
+generations keeps the ids of text between spaces that a worker has seen: a full one
+becomes the older, out of which what is asked for again moves to the younger.
 
 The vocabulary's size is fixed by its file, which is a parameter; it is sent to the tasks
 once as a broadcast. Null text is empty text: no ids, and the hash of no bytes.
@@ -27,7 +29,7 @@ from xxhash import xxh3_64_intdigest
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MEMO = 500_000  # runs of text between spaces, and pieces, that a worker remembers; then it starts anew
+MEMO = 120_000  # runs of text between spaces, and pieces, of a generation of the memo
 #: A text is first cut where white space begins, which no match of the pattern crosses but for one space before other characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -113,27 +115,30 @@ class Vocabulary:
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
         if not self.ready:
-            self.cut, self.memo, self.pieces, self.ready = regex.compile(self.pattern), {}, {}, True
+            self.cut, self.memo, self.older, self.pieces, self.older_pieces, self.ready = regex.compile(self.pattern), {}, {}, {}, {}, True
         memo, runs = self.memo, _RUNS.findall(text)
         try:
             packed = b"".join([memo[p] for p in runs])
         except KeyError:
             if len(memo) > MEMO:
-                memo.clear()
+                self.older, self.memo = memo, (memo := {})
+            older = self.older
             for run in set(runs).difference(memo):
-                memo[run] = b"".join([self.piece(p) for p in self.cut.findall(run)])
+                memo[run] = older[run] if run in older else b"".join([self.piece(p) for p in self.cut.findall(run)])
             packed = b"".join([memo[p] for p in runs])
         return np.frombuffer(packed, "<u4")
 
     def piece(self, piece: str) -> bytes:
-        if (known := self.pieces.get(piece)) is not None:
-            return known
+        if (packed := self.pieces.get(piece)) is not None:
+            return packed
         if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        raw = piece.encode("utf-8", "replace")
-        r = self.find(raw)
-        ids = [r] if r is not None else self.merged(raw)
-        self.pieces[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+            self.older_pieces, self.pieces = self.pieces, {}
+        if (packed := self.older_pieces.get(piece)) is None:
+            raw = piece.encode("utf-8", "replace")
+            r = self.find(raw)
+            ids = [r] if r is not None else self.merged(raw)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self.pieces[piece] = packed
         return packed
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -141,7 +146,7 @@ class Vocabulary:
         return b"".join([token[i] for i in ids.tolist()])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cut", "memo", "pieces")} | {"ready": False}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cut", "memo", "older", "pieces", "older_pieces")} | {"ready": False}
 
 
 def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None = None):
