@@ -29,7 +29,7 @@ from xxhash import xxh3_64_intdigest
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MEMO = 120_000  # runs of text between spaces, and pieces, of a generation of the memo
+MEMO = 160_000  # runs of text between spaces, and pieces, of a generation of the memo
 #: A text is first cut where white space begins, which no match of the pattern crosses but for one space before other characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -163,7 +163,7 @@ def encoded(docs: DataFrame, words, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = [words.value.encode(t or "") for t in b.column(1).to_pylist()]
+            ids = [words.value.encode(t.as_py() or "") for t in b.column(1)]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))], names=["doc_id", "ids"])
 
@@ -188,8 +188,8 @@ def token_digests(docs: DataFrame, words) -> DataFrame:
         v = words.value
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = v.encode(t or "")
+            for t in b.column(1):  # one text at a time as a Python string
+                ids = v.encode(t.as_py() or "")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(v.decode(ids)).hexdigest())
