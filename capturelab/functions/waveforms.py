@@ -3,6 +3,8 @@
 Spark 4.1 can't explode a pandas UDF's array if the UDF's argument holds a lambda function: write such an argument to a table first.
 """
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -72,7 +74,7 @@ def stft(signal: Column, segment: int, overlap: int, rows: int, columns: int, sc
             return None
         m = boxed(magnitudes(np.nan_to_num(np.asarray(values, np.float64), nan=0, posinf=0, neginf=0), segment, overlap), rows, columns)
         m = np.log1p(m) if scale == "log1p" else m
-        channels = [m] if representation == "single" else [m, np.log1p(m / max(np.sqrt(np.mean(m * m)), 1e-12))]
+        channels = [m] if representation == "single" else [m, relative(m)]
         return [c.ravel().astype(np.float32) for c in channels]
 
     @F.pandas_udf("array<array<float>>")
@@ -162,3 +164,76 @@ def audit_feature(signal: Column) -> Column:
         return s.map(lambda v: one(v) if v is not None and len(v) else None)
 
     return made(signal)
+
+
+def relative(m: np.ndarray) -> np.ndarray:
+    """log1p of magnitudes by their root mean square."""
+    return np.log1p(m / max(np.sqrt(np.mean(m * m)), 1e-12))
+
+
+def db_trace_channels(signal: Column, segment: int, overlap: int, rows: int, columns: int, level: tuple[float, float] = (-110.0, -50.0), variation: float = 15.0) -> Column:
+    """array<array<float>>, four flat channels of rows x columns: magnitudes of the trace about its median, the same relative, and as constants
+    the median's place in the range level and the deviation over variation, both clipped to 0 to 1. Values that aren't finite count as the
+    median of the others; null for a trace without any."""
+    if level[1] <= level[0] or variation <= 0:
+        raise ValueError("level must rise and variation be positive")
+
+    def one(values):
+        x = np.asarray([np.nan if v is None else v for v in values], np.float64) if values is not None else np.zeros(0)
+        sound = x[np.isfinite(x)]
+        if not len(sound):
+            return None
+        median = np.median(sound)
+        x = np.where(np.isfinite(x), x, median) - median
+        m = boxed(magnitudes(x, segment, overlap), rows, columns)
+        constants = [(median - level[0]) / (level[1] - level[0]), x.std() / variation]
+        return [c.ravel().astype(np.float32) for c in (m, relative(m), *(np.full(m.shape, np.clip(c, 0, 1)) for c in constants))]
+
+    @F.pandas_udf("array<array<float>>")
+    def made(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return made(signal)
+
+
+#: Ranges, largest shifts and masks of spectrum augmentation.
+AUGMENT = {"gain": (0.7, 1.4), "snr_db": (25.0, 45.0), "frequency_shift": 2, "time_shift": 8, "frequency_mask": (0.3, 4), "time_mask": (0.3, 6)}
+
+
+def augmented(key: Column, channels: Column, rows: int, columns: int, representation: str = "single", epoch: int = 0, seed: int = 42, settings: dict | None = None) -> Column:
+    """Flat channels as from stft(), changed at random: gain, noise at a signal-to-noise ratio (no magnitude below 0), the relative channel
+    anew, a shift of frequencies filled with zeros, a roll in time, and masks of frequencies and of times. Draws depend on seed, epoch
+    and key alone, so a task that is run again draws the same. Null stays null."""
+    if representation not in ("single", "absolute_relative"):
+        raise ValueError(f"no augmentation of {representation}")
+    s = AUGMENT | (settings or {})
+
+    def masked(x: np.ndarray, rng, chance: float, width: int, axis: int) -> None:
+        width = min(width, x.shape[axis])
+        if width > 0 and rng.random() < chance:
+            w = int(rng.integers(1, width + 1))
+            at = int(rng.integers(0, x.shape[axis] - w + 1))
+            np.moveaxis(x, axis, 0)[at : at + w] = 0
+
+    def one(name, flat):
+        if flat is None or not len(flat):
+            return None
+        rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}|{epoch}|{name}".encode()).digest(), "big"))
+        m = np.array(flat[0], np.float64).reshape(rows, columns) * rng.uniform(*s["gain"])
+        if (power := np.mean(m * m)) > 1e-20:
+            m = np.maximum(m + rng.normal(0, np.sqrt(power / 10 ** (rng.uniform(*s["snr_db"]) / 10)), m.shape), 0)
+        x = np.stack([m] if representation == "single" else [m, relative(m)])
+        by = int(rng.integers(-s["frequency_shift"], s["frequency_shift"] + 1))
+        if by:
+            x = np.roll(x, by, axis=1)
+            x[:, slice(0, by) if by > 0 else slice(by, None)] = 0
+        x = np.roll(x, int(rng.integers(-s["time_shift"], s["time_shift"] + 1)), axis=2)
+        masked(x, rng, *s["frequency_mask"], 1)
+        masked(x, rng, *s["time_mask"], 2)
+        return [c.ravel().astype(np.float32) for c in x]
+
+    @F.pandas_udf("array<array<float>>")
+    def made(names: pd.Series, flats: pd.Series) -> pd.Series:
+        return pd.Series([one(k, f) for k, f in zip(names, flats, strict=True)], dtype=object)
+
+    return made(key.cast("string"), channels)

@@ -1,5 +1,6 @@
 """Seeded splits. Order within a stratum is that of md5(seed|key), so a split does not depend on partitioning."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +67,43 @@ def first_per_group(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
 def combo_weights(rows: DataFrame, by: str) -> DataFrame:
     """Sampling weights of combinations: one over the count."""
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(1 / F.count("*"), 9).alias("weight"))
+
+
+def weighted_resample(rows: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
+    """rows with copies: how often n draws with replacement took each; rows that none took go. Keys are unique.
+
+    Weights become whole numbers of 2**24 parts of the largest (null and less than half a part: never drawn), laid end to end over
+    4096 buckets of md5(key) by a running sum in each and one over their totals. Draws are even positions of md5(seed|draw); draws and
+    rows meet in cells of equal length, over several of which a heavy row may reach, so no task holds all of either."""
+    top = rows.agg(F.max(weight)).first()[0]
+    if not top or top <= 0:
+        return rows.limit(0).withColumn("copies", F.lit(0).cast("long"))
+    parts = F.greatest(F.coalesce(F.round(F.col(weight) / F.lit(float(top)) * 2**24).cast("long"), F.lit(0)), F.lit(0).cast("long"))
+    bucket = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 3)
+    cut = rows.select(F.col(key).alias("_key"), parts.alias("_w"), bucket.alias("_bucket")).where("_w > 0")
+    sizes = cut.groupBy("_bucket").agg(F.sum("_w").alias("_size"), F.count("*").alias("_rows"))
+    offsets = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_offset"))
+    total, count = sizes.agg(F.sum("_size"), F.sum("_rows")).first()
+    cell = max(1, total // count)
+    end = F.col("_offset") + F.sum("_w").over(Window.partitionBy("_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
+    laid = cut.join(F.broadcast(offsets), "_bucket").select("_key", "_w", end.alias("_end"))
+    reach = F.sequence(F.floor((F.col("_end") - F.col("_w")) / cell).cast("long"), F.floor((F.col("_end") - 1) / cell).cast("long"))
+    spans = laid.select("_key", (F.col("_end") - F.col("_w")).alias("_start"), "_end", F.explode(reach).alias("_cell"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    draws = rows.sparkSession.range(n).select(F.pmod(draw, F.lit(total)).alias("_at")).withColumn("_cell", F.floor(F.col("_at") / cell).cast("long"))
+    taken = draws.join(spans, "_cell").where("_at >= _start AND _at < _end").groupBy("_key").agg(F.count("*").alias("copies"))
+    return rows.join(taken, F.col(key) == F.col("_key")).drop("_key")
+
+
+def prepared_split(spark, path: str, index, key: str, strata: list[str], ratios=(0.7, 0.15, 0.15), seed: int = 42, limits: dict[str, int] | None = None, by: str = "group") -> DataFrame:
+    """The split at path; where there is none, that of the rows of index(), after a quota by group if limits are given, is written there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    split = stratified_split(index(), key, strata, ratios, seed)
+    if limits is not None:
+        split = quota(split, key, by, limits, 2**31 - 1, seed).where("selected").drop("selected")
+    split.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
