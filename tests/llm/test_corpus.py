@@ -183,6 +183,22 @@ def test_html():
     assert e("<pre> a\n   b</pre>") == " a\n   b" and e("") == "" and e("<" * 50 + "x") and e("<div>" * 5000 + "x") == "x"
 
 
+def test_html_keeps_what_browsers_show():
+    e = html_text.extract
+    for given in ('class="overflow-hidden rounded"', 'aria-hidden="false"', 'title="the hidden cost"', 'data-hidden', 'data-style="display:none"', 'style="content: \'x\'; display: none; display: block"', 'hidden-x=1'):
+        assert e(f"<div {given}>kept</div>") == "kept", given
+    for given in ("hidden", 'HIDDEN=""', 'id="a"hidden', "style=display:none", 'style="color: red; DISPLAY : none !important; display: block"', "style='visibility:hidden'"):
+        assert e(f"<div {given}>lost</div>x") == "x", given
+    assert e("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>") == "b"
+    for head in ("<head><title>T</title>", "<html><head><head><meta charset=x><style>s</style>\n", "<head><noscript><i>n</i></noscript>"):
+        assert e(head + "<p>text<p>more") == "text\n\nmore" and e(head + "text") == "text"
+    assert e("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b") == "a x=2 b"
+    assert e("<svg><title>t</title><defs><text>d</text></defs><path d='m'/>n<text x=1>Sales <tspan>2020</tspan></text></svg> b") == "Sales 2020 b"
+    assert e("<svg><foreignObject><div>a<br>b</div></foreignObject><text/></svg>") == "a\nb" and e("<svg><g><p>a") == "a"
+    assert e("<p>a" + "<i>" * 20 + "<div>b") == "a\nb".replace("\n", "\n\n") and e("<p>a<button><div>b</div></button>c") == "a\nb\nc"
+    assert e(f"<table><tr><td>{'w' * 50}<td>x<tr><td>y<td>z</table>") == "w" * 50 + "  x\ny" + " " * 51 + "z"
+
+
 def test_html_table(spark):
     rows = html_text.extracted(spark.createDataFrame([(1, None), (None, "<p>x")], "page_id long, html string")).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in rows] == [(1, "", 0), (None, "x", 1)]
