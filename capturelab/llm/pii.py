@@ -6,12 +6,14 @@ the documents (SAMPLE_DOCS), labelled by the base spans, and on windows of the s
 sample with written-in examples: other notations (an address with "[at]", a number without
 its country code) and things that only look alike (versions, dates, amounts, hashes).
 
-Every place with a digit, an @ or a spelled-out at or dot lies in windows of WINDOW
-characters that overlap by half; personal data of these kinds can't be elsewhere. All
-windows are decoded by Viterbi. Spans from overlapping windows are then reconciled over
+The whole text lies in windows of WINDOW characters that overlap by half. All windows are
+decoded by Viterbi; where no label can outweigh its transitions, the path is known to be
+empty beforehand. Spans cut by a window's edge are joined with what the next windows have
+found, so length is no limit. Spans are then reconciled over
 the whole text: of the spans found, the non-overlapping set with the greatest total weight
 stays, where agreement adds up and spans cut by a window's edge weigh half. What
-overlaps no base span and passes its kind's plain check is added as `lstm_<kind>`.
+overlaps no base span and passes its kind's plain check is added as `lstm_<kind>`. The
+check knows @, at in brackets, and a plain "at" if the dots are spelled out too.
 
 Null text is empty text and has no spans.
 """
@@ -40,7 +42,10 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@]|[(\[]\s?(?:at|dot)\s?[)\]]")
+#: Signs of personal data, by which training windows are chosen; and an address in other notation.
+_SIGN = re.compile(r"(?i)[0-9@]|[(\[{<]\s?(?:at|dot)\s?[)\]}>]")
+_AT, _DOT = r"[(\[{<]\s?at\s?[)\]}>]", r"[(\[{<]\s?dot\s?[)\]}>]"
+_SPELLED = re.compile(rf"(?i)(?<![\w.%+-])[\w.%+-]++(?:\s?(?:@|{_AT})\s?[\w-]+(?:(?:\s?(?:\.|{_DOT})\s?|\s+dot\s+)[\w-]+)+|\s+at\s+[\w-]+(?:(?:\s?{_DOT}\s?|\s+dot\s+)[\w-]+)+)")
 
 
 def digits(s: str) -> str:
@@ -118,6 +123,44 @@ class Tagger:
         emit = out[:, 0] @ p["o"][0] + out[::-1, 1] @ p["o"][1] + p["e"]
         return (emit.transpose(1, 0, 2), both, out, saved) if keep else emit.transpose(1, 0, 2)
 
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """As run, without what the gradient needs: all gates are one tanh, in place."""
+        p, h, (n, steps) = self.p, HIDDEN, x.shape
+        scale = np.where(np.arange(4 * h) < 3 * h, 0.5, 1).astype(np.float32)  # sigmoid(v) = (1 + tanh(v / 2)) / 2
+        emit = np.empty((steps, n, LABELS), np.float32)
+        emit[:] = p["e"]
+        g, of_state, fresh = (np.empty((n, k), np.float32) for k in (4 * h, 4 * h, h))
+        for side in range(2):
+            table, into, out = ((p["x"][side] + p["b"][side]) * scale).astype(np.float32), (p["h"][side] * scale).astype(np.float32), p["o"][side].astype(np.float32)
+            state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+            for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
+                np.take(table, x[:, t], axis=0, out=g, mode="clip")
+                np.matmul(state, into, out=of_state)
+                g += of_state
+                np.tanh(g, out=g)
+                gate = g[:, : 3 * h]
+                gate *= 0.5
+                gate += 0.5
+                cell *= g[:, h : 2 * h]
+                np.multiply(g[:, :h], g[:, 3 * h :], out=fresh)
+                cell += fresh
+                np.tanh(cell, out=state)
+                state *= g[:, 2 * h : 3 * h]
+                emit[t] += state @ out
+        return emit.transpose(1, 0, 2)
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """The Viterbi paths of x. Where each label's lead over 0 plus its best transition is negative at every step, leaving 0 only loses, so the path is 0 without a search."""
+        emit, t, s = self.emissions(x), self.p["t"], self.p["s"]
+        enter = max(float((t[:, 1:] - t[0, 0]).max()), float((s[1:] - s[0]).max()))
+        leave = max(0.0, float((t[1:, 0] - t[0, 0]).max()))
+        lead = emit[:, :, 1:].max(2) - emit[:, :, 0]
+        hard = np.flatnonzero(lead.max(1) + enter + leave >= -1e-3)
+        path = np.zeros(x.shape, np.int64)
+        if len(hard):
+            path[hard] = self.viterbi(np.ascontiguousarray(emit[hard]))
+        return path
+
     def viterbi(self, emit: np.ndarray) -> np.ndarray:
         n, steps, _ = emit.shape
         best, back = emit[:, 0] + self.p["s"], np.zeros((steps, n, LABELS), np.int64)
@@ -155,7 +198,7 @@ class Tagger:
         de[at, when, y] -= 1
         d["e"] = de.sum((0, 1))
         by_time = de.transpose(1, 0, 2)
-        d["o"] = np.stack([np.einsum("tnh,tnl->hl", out[:, 0], by_time), np.einsum("tnh,tnl->hl", out[::-1, 1], by_time)])
+        d["o"] = np.stack([np.tensordot(out[:, 0], by_time, ((0, 1), (0, 1))), np.tensordot(out[::-1, 1], by_time, ((0, 1), (0, 1)))])
         into = np.stack([by_time @ p["o"][0].T, by_time[::-1] @ p["o"][1].T], 1)
         dh, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -165,7 +208,7 @@ class Tagger:
             dc = dc + dh * o * (1 - tc * tc)
             dg = np.concatenate([dc * z * i * (1 - i), dc * old * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - z * z)], 2)
             for k in range(2):
-                np.add.at(d["x"][k], both[k, :, t], dg[k])
+                d["x"][k] += (both[k, :, t] == np.arange(CLASSES)[:, None]).astype(dg.dtype) @ dg[k]
             d["h"] += state.transpose(0, 2, 1) @ dg
             d["b"] += dg.sum(1, keepdims=True)
             dh, dc = dg @ p["h"].transpose(0, 2, 1), dc * f
@@ -194,7 +237,7 @@ class Tagger:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Where windows lie: half a window around every sign of personal data, merged."""
+    """Where training windows lie: half a window around every sign of personal data, merged."""
     out: list[tuple[int, int]] = []
     for m in _SIGN.finditer(text):
         lo, hi = max(0, m.start() - WINDOW // 2), min(len(text), m.end() + WINDOW // 2)
@@ -206,6 +249,12 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 def window_starts(text: str) -> list[int]:
+    """Windows over the whole text, each half over the one before."""
+    return list(range(0, max(1, len(text) - WINDOW // 2), WINDOW // 2)) if text else []
+
+
+def signed_starts(text: str) -> list[int]:
+    """Windows around the signs of personal data."""
     return [s for lo, hi in regions(text) for s in range(lo, max(lo + 1, hi - WINDOW // 2), WINDOW // 2)]
 
 
@@ -255,7 +304,7 @@ def reconcile(spans: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
 
 def _plausible(kind: str, s: str) -> bool:
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|[(\[]\s?at\s?[)\]])\s?[\w-]+(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[\w-]+)+", s))
+        return bool(_SPELLED.fullmatch(s))
     if kind == "ip":
         return s.count(".") == 3 and bool(re.fullmatch("[0-9.]+", s)) and all(p for p in s.split(".")) and _is_ip(s)
     if kind == "card":
@@ -263,23 +312,59 @@ def _plausible(kind: str, s: str) -> bool:
     return bool(re.fullmatch(r"[(+]?[0-9][0-9 ().-]+[0-9]", s)) and 9 <= len(digits(s)) <= 15 and bool(re.search("[ ().-]", s))
 
 
+def chained(cut: list[tuple[int, int, int, bool, bool]]) -> list[tuple[int, int, int, int]]:
+    """Joins spans (kind, start, end, cut at the start, cut at the end) that go on over windows' edges: (kind, start, end, characters found)."""
+    out = []
+    for k, a, b, left, right in sorted(cut):
+        if out and out[-1][0] == k and out[-1][4] and left and a <= out[-1][2]:
+            last = out[-1]
+            out[-1] = (k, last[1], max(b, last[2]), last[3] + b - a, right if b >= last[2] else last[4])
+        else:
+            out.append((k, a, b, b - a, right))
+    return [x[:4] for x in out]
+
+
 def tagged(texts: list[str], model: Tagger, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
     """The network's reconciled spans of each text."""
-    where = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
     found: list[dict[tuple[int, int, int], float]] = [{} for _ in texts]
-    for lo in range(0, len(where), batch):
-        own = where[lo : lo + batch]
-        x = np.zeros((len(own), WINDOW), np.int64)
-        for j, (i, s) in enumerate(own):
-            x[j, : len(c)] = (c := codes(texts[i][s : s + WINDOW]))
-        paths = model.viterbi(model.run(x))
+    cuts: list[list[tuple[int, int, int, bool, bool]]] = [[] for _ in texts]
+    size = [len(t) for t in texts]
+
+    def decode(x: np.ndarray, of: np.ndarray, starts: np.ndarray) -> None:
+        paths = model.decode(x)
         for j in np.flatnonzero(paths.any(1)).tolist():
-            i, s = own[j]
+            i, s = int(of[j]), int(starts[j])
             for k, a, b in path_spans(paths[j]):
-                cut = (a == 0 and s > 0) or (b == WINDOW and s + b < len(texts[i]))
-                key = (k, s + a, min(s + b, len(texts[i])))
-                found[i][key] = found[i].get(key, 0) + (b - a) * (0.5 if cut else 1)
-    return [[(BASE[k], s, e) for k, s, e in reconcile(f) if e > s] if f else [] for f in found]
+                left, right, end = a == 0 and s > 0, b == WINDOW and s + b < size[i], min(s + b, size[i])
+                if end <= s + a:
+                    continue
+                key = (k, s + a, end)
+                found[i][key] = found[i].get(key, 0) + (b - a) * (0.5 if left or right else 1)
+                if left or right:
+                    cuts[i].append((*key, left, right))
+
+    held, n = [], 0
+    for i, t in enumerate(texts):
+        starts = np.array(window_starts(t), np.int64)
+        if not len(starts):
+            continue
+        padded = np.zeros(starts[-1] + WINDOW, np.int64)
+        padded[: size[i]] = codes(t)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[:: WINDOW // 2]
+        at = 0
+        while at < len(starts):
+            own = slice(at, min(len(starts), at + batch - n))
+            held.append((windows[own], np.full(own.stop - own.start, i), starts[own]))
+            n, at = n + own.stop - own.start, own.stop
+            if n == batch:
+                decode(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+    if held:
+        decode(*map(np.concatenate, zip(*held, strict=True)))
+    for f, c in zip(found, cuts, strict=True):
+        for k, a, b, weight in chained(c):
+            f[k, a, b] = max(f.get((k, a, b), 0), 0.5 * weight)
+    return [[(BASE[k], s, e) for k, s, e in reconcile(f)] if f else [] for f in found]
 
 
 def _examples(windows: list[str], seed: int = 11) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
@@ -294,16 +379,23 @@ def _examples(windows: list[str], seed: int = 11) -> tuple[list[str], list[list[
         sep = r.choice(["", "", " ", "-"])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
+    def notation() -> tuple[str, str]:
+        way, pad = r.choice([str, str, str.upper]), r.choice([" ", " ", ""])
+        left, right = r.choice(["[]", "()", "{}", "<>", "  ", "  ", "  "])
+        if left == " ":
+            return f" {way('at')} ", f" {way('dot')} "
+        return f"{pad}{left}{way('at')}{right}{pad}", r.choice([f"{pad}{left}{way('dot')}{right}{pad}"] * 2 + ["."])
+
     def email() -> str:
-        at, dot = r.choice([("@", "."), ("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) ")])
+        at, dot = r.choice([("@", "."), ("@", "."), ("@", "."), *(notation() for _ in range(6))])
         return r.choice([word(), f"{word()}.{word()}", f"{word()}.{num(2)}"]) + at + word() + r.choice(["", num(1)]) + dot + r.choice([word(), "example" + dot + "com"])
 
     phone = lambda: r.choice(["+%s (%s) %s-%s", "+%s %s %s %s", "+%s-%s-%s-%s"]) % (num(r.randint(1, 2)), num(3), num(3), num(4)) if r.random() < 0.6 else r.choice(["(%s) %s-%s", "%s-%s-%s", "%s.%s.%s"]) % (num(3), num(3), num(4))
     ip = lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))
-    odd = lambda: r.choice([f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)},{num(3)}.{num(2)}", "".join(r.choice("0123456789abcdef") for _ in range(r.randint(8, 40))), num(r.randint(1, 6)), f"@{word()}", f"{num(2)}:{num(2)}", f"1{num(2)}-1{num(2)}", f"{word()}{num(3)}"])
+    odd = lambda: r.choice(["", "", f"{word()} at {word()}", f"({word()}) {word()} [{word()}]", f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)},{num(3)}.{num(2)}", "".join(r.choice("0123456789abcdef") for _ in range(r.randint(8, 40))), num(r.randint(1, 6)), f"@{word()}", f"{num(2)}:{num(2)}", f"1{num(2)}-1{num(2)}", f"{word()}{num(3)}"])
     texts, spans = [], []
     for w in windows:
-        kind = r.choice([*BASE, None, None])
+        kind = r.choice([*BASE, "email", "email", None, None, None])
         s = {"email": email, "ip": ip, "card": card, "phone": phone, None: odd}[kind]()
         at = r.randint(0, max(0, WINDOW - len(s) - 2))
         left = w[:at] + r.choice(["", " ", " "])
@@ -313,16 +405,16 @@ def _examples(windows: list[str], seed: int = 11) -> tuple[list[str], list[list[
 
 
 def train(docs: DataFrame) -> Tagger:
-    """A tagger fitted to a bounded sample of docs (doc_id, text), chosen by a hash of the id."""
+    """A tagger fitted to a bounded sample of docs (doc_id, text), chosen by a hash of id and text."""
     every = max(1, docs.count() // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(4 * SAMPLE_DOCS)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
 
     def cut(batches):
         for b in batches:
             text, start, kind, at, end = [], [], [], [], []
             for t in b.column(0).to_pylist():
                 spans = base_spans(t or "")
-                starts = window_starts(t or "")
+                starts = signed_starts(t or "")
                 for s in starts[:: max(1, len(starts) // 8)] + [max(0, len(t or "") // 2 - WINDOW)]:
                     own = [x for x in spans if x[1] < s + WINDOW and x[2] > s]
                     text.append((t or "")[s : s + WINDOW])
@@ -332,12 +424,14 @@ def train(docs: DataFrame) -> Tagger:
                     end.append([x[2] for x in own])
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(start, pa.int64()), pa.array(kind, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int64())), pa.array(end, pa.list_(pa.int64()))], names=["text", "start", "kind", "at", "end"])
 
-    rows = sorted((tuple(map(str, r)), r) for r in sample.mapInArrow(cut, "text string, start long, kind array<string>, at array<long>, end array<long>").distinct().limit(20 * SAMPLE_WINDOWS).collect())
+    windows = sample.mapInArrow(cut, "text string, start long, kind array<string>, at array<long>, end array<long>").distinct()
+    rows = sorted((tuple(map(str, r)), r) for r in windows.orderBy(F.xxhash64("text", "start"), "text", "start", "kind", "at", "end").limit(20 * SAMPLE_WINDOWS).collect())
     rows = [r for _, r in rows]
     random.Random(2).shuffle(rows)
-    marked = [r for r in rows if _SIGN.search(r.text)][:SAMPLE_WINDOWS]
+    # an address in other notation has no base span, so its window would teach that it is none
+    marked = [r for r in rows if _SIGN.search(r.text) and all("@" in m[0] for m in _SPELLED.finditer(r.text))][:SAMPLE_WINDOWS]
     plain = [r.text for r in rows if not _SIGN.search(r.text)][:SAMPLE_WINDOWS] or [""]
-    plain = (plain * (2 * SAMPLE_WINDOWS // len(plain) + 1))[: 2 * SAMPLE_WINDOWS]
+    plain = (plain * (4 * SAMPLE_WINDOWS // len(plain) + 1))[: 4 * SAMPLE_WINDOWS]
     texts, spans = _examples(plain)
     x, y = np.zeros((len(marked) + len(texts), WINDOW), np.int64), np.zeros((len(marked) + len(texts), WINDOW), np.int64)
     for i, r in enumerate(marked):
@@ -349,6 +443,21 @@ def train(docs: DataFrame) -> Tagger:
     return Tagger().fit(x, y)
 
 
+def added(text: str, base: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """What the network adds to base spans: its plausible spans. One that only touches an address in other notation is widened to it."""
+    out, spelled = [], None
+    for k, s, e in spans:
+        if overlaps((k, s, e), base):
+            continue
+        if k == "email" and not _plausible(k, text[s:e]):
+            if spelled is None:
+                spelled = [("email", *m.span()) for m in _SPELLED.finditer(text)]
+            out += [(f"lstm_{k}", a, b) for _, a, b in spelled if a < e and s < b and not overlaps((k, a, b), base)]
+        elif _plausible(k, text[s:e]):
+            out.append((f"lstm_{k}", s, e))
+    return list(dict.fromkeys(out))
+
+
 def finder(model):
     """find(texts) for a broadcast tagger: base spans, and what the network adds."""
 
@@ -356,7 +465,7 @@ def finder(model):
         out = []
         for t, spans in zip(texts, tagged(texts, model.value), strict=True):
             base = base_spans(t)
-            out.append((base, [(f"lstm_{k}", s, e) for k, s, e in spans if not overlaps((k, s, e), base) and _plausible(k, t[s:e])]))
+            out.append((base, added(t, base, spans)))
         return out
 
     return find

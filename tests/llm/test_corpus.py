@@ -284,6 +284,31 @@ def test_pii_gradient():
         assert (up - down) / 2e-4 == pytest.approx(grad[k][at], rel=1e-2, abs=1e-5)
 
 
+def test_pii_windows_cover_the_text():
+    for n in (1, 63, 64, 65, 96, 97, 1000):
+        starts = pii.window_starts("x" * n)
+        assert {i for s in starts for i in range(s, min(n, s + pii.WINDOW))} == set(range(n))
+    assert pii.chained([(0, 20, 64, False, True), (0, 32, 96, True, True), (0, 64, 100, True, False), (1, 90, 96, False, True)]) == [(0, 20, 100, 144), (1, 90, 96, 6)]
+    m, x = pii.Tagger(), np.random.RandomState(0).randint(1, 90, (50, pii.WINDOW))
+    assert m.emissions(x) == pytest.approx(m.run(x), abs=1e-4) and (m.decode(x) == m.viterbi(m.run(x))).all()
+    m.p["e"][0] = 9
+    assert not m.decode(x).any() and not m.viterbi(m.run(x)).any()
+
+
+def test_pii_other_notations():
+    for q in ("jane [AT] example [DOT] org", "jane at example dot org", "jane {at} example {dot} org", "jane(at)example.org", "jane@example.org"):
+        assert pii._plausible("email", q), q
+        assert pii.added(f"x, {q}.", [], [("email", 5, 8)]) == [("lstm_email", 3, 3 + len(q))], q
+    assert not pii._plausible("email", "look at example.org") and not pii._plausible("email", "we met at noon")
+
+    class Whole(pii.Tagger):  # every character is an address's
+        def decode(self, x):
+            return np.where(x > 0, 2, 0)
+
+    long = "a" * 100 + " at " + "b" * 50 + " dot org"
+    assert pii.tagged([long, "", "jane at example dot org"], Whole()) == [[("email", 0, len(long))], [], [("email", 0, 23)]]
+
+
 def test_pii_stage_with_any_model(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(pii, "train", lambda d: pii.Tagger())  # untrained: only plausible spans can be added
     one = docs.sparkSession.createDataFrame([(1, "x ab@cd.ef y", "en", "s", 12, True), (2, None, "en", "s", None, None)], SCHEMA)
