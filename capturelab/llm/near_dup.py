@@ -223,9 +223,9 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of repeated rows with one doc_id, one stays. Rows without doc_id stay."""
+    """One document of each group stays, that with the smallest doc_id; of rows with the same doc_id and text, one stays. Rows without doc_id stay. Rows of one doc_id with different texts are one node: they go or stay together."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 

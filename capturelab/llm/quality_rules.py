@@ -46,15 +46,16 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(_let(words, lambda w: F.when(repeats(w), covered(w)).otherwise(F.lit(0))))
 
 
-def rule_counts(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and source with rule counts and failures, one row for each row."""
+def rule_counts(docs: DataFrame, *carried: str) -> DataFrame:
+    """docs' doc_id, source and carried columns with rule counts and failures, one row for each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    split = docs.select("doc_id", "source", text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"), lines.alias("lines"))
+    split = docs.select("doc_id", "source", *carried, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"), lines.alias("lines"))
     n = F.size("words")
     counted = split.select(
         "doc_id",
         "source",
+        *carried,
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -85,16 +86,16 @@ def host_verdicts(counts: DataFrame) -> DataFrame:
     return hosts.select("host", rate.alias("host_rate"), (rate >= STRICT).alias("strict"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, rule counts, base_failed, strict and kept for every row of docs (doc_id, text, source)."""
-    counts = checkpoint(rule_counts(docs.select("doc_id", "text", "source")))
+def judged(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, rule counts, base_failed, strict, kept and carried columns for every row of docs (doc_id, text, source)."""
+    counts = checkpoint(rule_counts(docs.select("doc_id", "text", "source", *carried), *carried))
     hosts = host_verdicts(counts)
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     rows = counts.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
     soft = sum((F.col(c).cast("int") for c in RULES[1:]), F.lit(0))
     kept = ~F.col("base_failed") & (soft < F.when(F.col("strict"), 1).otherwise(2))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "strict")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "strict", *carried)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +103,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go. The verdict on a row is joined back by its doc_id; rows without one, and repeated rows with different verdicts, are judged together: such rows stay only if none is rejected."""
-    gone = judged(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """Documents that the rules reject go. Each row is judged on its own, whatever its doc_id, and is carried along to its verdict."""
+    return judged(docs.withColumn("_row", F.struct(*docs.columns)), "_row").where("kept").select("_row.*")
 
 
 ORACLE_SQL = r"""

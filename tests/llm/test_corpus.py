@@ -264,6 +264,17 @@ def test_quality_model(spark):
     assert quality_model.scores(docs.limit(0), quality_model.train(docs.limit(0), labels)).count() == 0
 
 
+def test_stages_judge_rows_of_one_id(spark):
+    good, other, bad = text(1), text(2), "too short"
+    rows = [(None, good), (None, bad), (None, None), (1, good), (1, bad), (2, other), (2, other), (3, bad)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), True) for i, t in rows], SCHEMA)
+    left = quality_rules.stage(spark, docs, "")
+    assert left.schema.names == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, good), (1, good), (2, other), (2, other)])
+    twice = spark.createDataFrame([(i, t, "en", "s", 1, True) for i, t in [(5, good), (5, other), (5, other)]], SCHEMA)
+    assert sorted(r.text for r in near_dup.stage(spark, twice, "").collect()) == sorted([good, other])
+
+
 def test_pii_base():
     assert pii.base_spans("a.b+c@d-e.co x 1.2.3.4 1.2.3.400 x 4111-1111 1111 1111 +1 (609) 555-7932") == [("email", 0, 12), ("ip", 15, 22), ("card", 35, 54), ("phone", 55, 72)]
     assert pii.redacted("a 1.2.3.4 b", [("ip", 2, 9)]) == "a <IP> b" and pii.reconcile({(0, 0, 5): 5.0, (0, 3, 9): 4.0, (1, 9, 12): 3.0}) == [(0, 0, 5), (1, 9, 12)]
