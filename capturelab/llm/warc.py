@@ -77,6 +77,7 @@ def write(pages: DataFrame, folder: str) -> None:
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _NEXT = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n")
+PIECE = 1 << 16  # bytes of a gzip member that are inflated at once
 _PAGE = re.compile(r"<urn:page:(-?\d+)>")
 
 
@@ -127,56 +128,91 @@ def record(data: bytes, at: int) -> tuple[int, dict]:
     return min(stop + 4, len(data)), {"page_id": int(page[1]) if page else None, "record_type": kind, "refers_to": int(refers[1]) if refers else None, "payload_bytes": size, "payload_digest": found}
 
 
-def member(data: bytes, at: int) -> tuple[int, bytes]:
-    """The end and the content of the gzip member at `at`."""
+def member(data: bytes, at: int) -> tuple[int | None, bytes, str]:
+    """The end of the gzip member at `at`, its content and why it is damaged; a damaged one has no end, and the content that precedes its error."""
     if data[at : at + 3] != b"\x1f\x8b\x08":
         raise Bad("no gzip member")
-    z = zlib.decompressobj(31)
+    z, out, view, place = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        out = z.decompress(data[at:])
+        while place < len(data) and not z.eof:
+            step = view[place : place + PIECE]
+            held = z.copy()
+            place += len(step)
+            out.append(z.decompress(step))
     except zlib.error as e:
-        raise Bad(f"gzip: {e}") from None
+        for k in range(len(step)):  # byte by byte, up to the error
+            try:
+                out.append(held.decompress(step[k : k + 1]))
+            except zlib.error:
+                break
+        return None, b"".join(out), f"gzip: {e}"
     if not z.eof:
-        raise Bad("cut short")
-    return len(data) - len(z.unused_data), out
+        return None, b"".join(out), "cut short"
+    return place - len(z.unused_data), b"".join(out), ""
 
 
-def salvage(data: bytes):
-    """(start, end, fields or None, reason) for every record and every gap, in order; places are those of the file's bytes."""
+def _plain(data: bytes):
+    """(start, end, fields or None, reason) for every record and every gap of uncompressed data, in order."""
     at, gap, reason = 0, None, ""
-    zipped = data[:3] == b"\x1f\x8b\x08" or (not _NEXT.search(data) and b"\x1f\x8b\x08" in data)
     while at < len(data):
         try:
-            if zipped:
-                end, content = member(data, at)
-                inside, found = 0, []
-                while inside < len(content):
-                    inside, fields = record(content, inside)
-                    found.append(fields)
-            else:
-                end, fields = record(data, at)
-                found = [fields]
+            end, fields = record(data, at)
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
-            if zipped:
-                at = data.find(b"\x1f\x8b\x08", at + 1)
-            else:
-                m = _NEXT.search(data, at + 1)
-                at = m.start() if m else -1
-            if at < 0:
+            m = _NEXT.search(data, at + 1)
+            if m is None:
                 break
+            at = m.start()
             continue
         if gap is not None:
             yield gap, at, None, reason
             gap = None
-        for fields in found:
-            yield at, end, fields, ""
+        yield at, end, fields, ""
         at = end
     if gap is not None:
         yield gap, len(data), None, reason
 
 
+def salvage(data: bytes):
+    """(start, end, fields or None, reason) for every record and every gap, in order; places are those of the file's bytes.
+
+    Records of a gzip member have the member's place, damaged or not. A gap inside a member has its
+    place too, and the reason names the bytes of its content.
+    """
+    if not (data[:3] == b"\x1f\x8b\x08" or (not _NEXT.search(data) and b"\x1f\x8b\x08" in data)):
+        yield from _plain(data)
+        return
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        try:
+            end, content, why = member(data, at)
+        except Bad as e:
+            end, content, why = None, b"", str(e)
+        rows = list(_plain(content))
+        if end is None and not any(fields for _, _, fields, _ in rows):
+            if gap is None:
+                gap, reason = at, why
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                break
+            continue
+        if gap is not None:
+            yield gap, at, None, reason
+            gap = None
+        stop = end
+        if end is None:
+            stop = data.find(b"\x1f\x8b\x08", at + 1)
+            stop = len(data) if stop < 0 else stop
+        for a, b, fields, inner in rows:
+            yield at, stop, fields, "" if fields else f"{inner}, content bytes {a} to {b}"
+        if end is None and (not rows or rows[-1][2]):
+            yield at, stop, None, f"{why}, content bytes {len(content)} on"
+        at = stop
+    if gap is not None:
+        yield gap, len(data), None, reason
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row for every record (kind `record`) and every gap (kind `gap`) of a folder's archives."""
 

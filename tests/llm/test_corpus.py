@@ -231,6 +231,28 @@ def test_warc_salvage(spark):
     assert pages(b"".join([members[0], bytes(bad), *members[2:]])) == ([ids[0], *ids[2:]], [(len(members[0]), len(members[0]) + len(bad))])
 
 
+def test_warc_salvage_inside_members():
+    def rec(i, size=60):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(np.random.RandomState(i).randint(97, 123, size, np.uint8))
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n" % (i, warc.digest(block).encode(), len(block)) + block + b"\r\n\r\n"
+
+    def pages(data):
+        rows = list(warc.salvage(data))
+        return [f["page_id"] for _, _, f, _ in rows if f], [(s, e, why) for s, e, f, why in rows if not f]
+
+    parts = [rec(i) for i in range(4)]
+    broken = parts[1].replace(b"HTTP/1.1 200", b"HTTP/1.1 404")
+    one = gzip.compress(parts[0] + broken + b"".join(parts[2:]))
+    at = len(parts[0])
+    assert pages(one) == ([0, 2, 3], [(0, len(one), f"block digest differs, content bytes {at} to {at + len(broken)}")])
+    big = gzip.compress(b"".join(rec(i, 5000) for i in range(60)))
+    after = gzip.compress(rec(99))
+    for damaged in (big[: len(big) // 2], big[: len(big) // 2] + b"\xff" * 3000):
+        ids, gaps = pages(damaged + after)
+        assert 20 <= len(ids) - 1 < 60 and ids == [*range(len(ids) - 1), 99] and gaps, (ids, gaps)
+    assert pages(big + after) == ([*range(60), 99], [])
+
+
 def test_language_model(docs, empty):
     got = by_id(language_model.scored(docs))
     tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["\0end"]) for i, t in ROWS]
