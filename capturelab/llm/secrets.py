@@ -25,7 +25,7 @@ BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "jwt", "k
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_KEY = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{60,}(?![0-9A-Za-z])")
@@ -74,6 +74,9 @@ def private_key(data: bytes | None) -> str | None:
     """The encoding's name if the bytes are a private key."""
     if not data:
         return None
+    if b"PRIVATE KEY-----" in data:
+        text = data.decode("latin-1")
+        return next((found for m in _PEM.finditer(text) if (found := private_key(unbase64(re.sub(r"\s|\\[nr]", "", m[2]))))), None)
     if data.startswith(b"openssh-key-v1\0"):
         at = 15
         for _ in range(3):  # cipher, kdf and its options
@@ -108,17 +111,16 @@ def signed_token(header: str, claims: str, signature: str) -> bool:
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in _JWT.finditer(text) if signed_token(m[1], m[2], m[3])]
+    out += [("jwt", m.start(1), m.end(3)) for m in _JWT.finditer(text) if signed_token(m[1], m[2], m[3])]
     if "PRIVATE KEY-----" in text:
         out += [("key", *m.span()) for m in _PEM.finditer(text) if private_key(unbase64(re.sub(r"\s|\\[nr]", "", m[2])))]
     pem = [x for x in out if x[0] == "key"]
     free = lambda m: not any(s <= m.start() < e for _, s, e in pem)
     for m in _HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0][:2] == "30" and free(m) and private_key(bytes.fromhex(m[0])):
+        if len(m[0]) % 2 == 0 and free(m) and private_key(bytes.fromhex(m[0])):
             out.append(("key", *m.span()))
     for m in _B64.finditer(text):
-        if m[0][0] in "Mb" and free(m) and private_key(unbase64(m[0])):  # 0x30 starts with M, the OpenSSH magic with b
+        if free(m) and private_key(unbase64(m[0])):
             out.append(("key", *m.span()))
     return out
 

@@ -231,6 +231,19 @@ def test_warc_salvage(spark):
     assert pages(b"".join([members[0], bytes(bad), *members[2:]])) == ([ids[0], *ids[2:]], [(len(members[0]), len(members[0]) + len(bad))])
 
 
+def test_secrets_are_decoded_whatever_their_start():
+    b64, url = lambda b: base64.b64encode(b).decode(), lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for header in (b'{"alg":"HS256"}', b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b' {"alg":"HS256"}'):
+        token = f"{url(header)}.{url(b'{}')}.{url(b'signature')}"
+        assert secrets.confirmed_spans(f"a www.{token} b") == [("jwt", 6, 6 + len(token))], header
+    der = b"\x30\x31\x02\x01\x01\x04\x20" + bytes(range(32)) + b"\xa0\x0a\x06\x08" + bytes(8)
+    assert secrets.private_key(der) == "sec1"
+    pem = f"-----BEGIN EC PRIVATE KEY-----\n{b64(der)}\n-----END EC PRIVATE KEY-----\n".encode()
+    wrapped = b64(pem)
+    assert secrets.confirmed_spans(f"tls.key: {wrapped}") == [("key", 9, 9 + len(wrapped))]
+    assert not secrets.confirmed_spans("the words of a sentence.with some.dots in between " + b64(b"no key at all " * 5))
+
+
 def test_warc_salvage_inside_members():
     def rec(i, size=60):
         block = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(np.random.RandomState(i).randint(97, 123, size, np.uint8))
