@@ -2,16 +2,20 @@ r"""WARC archives: a writer with revisit records, and a reader that salvages dam
 
 Writing is plain DataFrame work: a record is a row's text, and Spark's text sink writes
 WARC files, with the record separator "\r\n\r\n" as its line separator. Of pages with equal
-payloads the smallest page_id is a response and the others revisit it.
+payloads the smallest page_id is a response and the others revisit it. Only digests are
+shuffled to find them: those that occur twice are joined back by broadcast up to
+BROADCAST_DIGESTS of them, and beyond that by a join whose hot digests are dealt over SALTS.
+Each task rolls its files by FILE_BYTES.
 
-Reading takes whole files, plain or of gzip members. A record must have a version line,
+Reading takes whole files, plain, of gzip members, or of both. A record must have a version line,
 headers, its full length, the separator, and the digests that its headers name. Where
-any check fails the reader looks for the next valid version line (or gzip member) and
-goes on; the bytes between are a row of kind `gap` with the reason.
+any check fails the reader looks for the next valid version line or gzip member and
+goes on, within a damaged member too; the bytes between are a row of kind `gap` with the reason.
 
 Null html is an empty payload. A page without an id is always a response, and none refers
-to it. Rows that repeat a page_id and its payload are all responses. Files must fit a
-task's memory; the writer keeps them to RECORDS_PER_FILE records.
+to it. Rows that repeat a page_id and its payload are all responses. An empty table gives no
+record. A file must fit a task's memory; one record is never split. Columns besides page_id, url
+and html play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import checkpoint, read, shared_dir
 
-SEPARATOR, RECORDS_PER_FILE, LEAST_REVISIT_BYTES = "\r\n\r\n", 2000, 0
+SEPARATOR, FILE_BYTES, LEAST_REVISIT_BYTES = "\r\n\r\n", 32 << 20, 0
+BROADCAST_DIGESTS, SALTS = 200_000, 32  # a digest and an id have 28 bytes
 ROWS = "archive string, start long, end long, kind string, reason string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -43,13 +48,25 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
+def first_pages(pages: DataFrame) -> DataFrame:
+    """(key, first): the SHA-1 of every payload that occurs twice or more, and the smallest page_id that has it."""
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    known = pages.select("page_id", payload.alias("payload")).where((F.octet_length("payload") >= LEAST_REVISIT_BYTES) & F.col("page_id").isNotNull())
+    known = known.select("page_id", F.unhex(F.sha1(F.col("payload").cast("binary"))).alias("key"))
+    return known.groupBy("key").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where(F.col("last") > F.col("first")).select("key", "first")
+
+
 def records(pages: DataFrame) -> DataFrame:
     """One WARC record, a string, for every row of pages (page_id, url, html)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"), base32_sha1(payload.cast("binary")).alias("digest"))
-    first = pages.select("page_id", payload.alias("payload")).where((F.octet_length("payload") >= LEAST_REVISIT_BYTES) & F.col("page_id").isNotNull())
-    first = first.select("page_id", base32_sha1(F.col("payload").cast("binary")).alias("_digest")).groupBy("_digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, (F.col("digest") == F.col("_digest")) & (F.col("page_id") > F.col("first")), "left")
+    rows = pages.select("page_id", F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"), base32_sha1(payload.cast("binary")).alias("digest"), F.unhex(F.sha1(payload.cast("binary"))).alias("own"))
+    first = checkpoint(first_pages(pages))
+    same = (F.col("own") == F.col("key")) & (F.col("page_id") > F.col("first"))
+    if first.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(first), same, "left")
+    else:
+        first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("dealt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(first, same & (F.col("dealt") == F.col("salt")), "left")
     revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     rows = rows.withColumn("block", F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))))
@@ -72,13 +89,22 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str) -> None:
-    records(pages).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    """Writes the pages' records, each task to files of about FILE_BYTES."""
+    rows = records(pages)
+    size, tasks = pages.select(F.octet_length("html").alias("n"), F.spark_partition_id().alias("task")).agg(F.sum("n"), F.max("task") + 1).first()
+    files = -(-(size or 0) // (FILE_BYTES * (tasks or 1)))
+    out = rows.write.option("lineSep", SEPARATOR)
+    if files > 1:  # a task deals its records over so many files
+        out = rows.select("record", F.pmod(F.xxhash64("record"), F.lit(files)).alias("roll")).write.option("lineSep", SEPARATOR).partitionBy("roll")
+    out.text(folder)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _NEXT = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n")
+_GZIP = b"\x1f\x8b\x08"
+_START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n|\x1f\x8b\x08")
 PIECE = 1 << 16  # bytes of a gzip member that are inflated at once
-_PAGE = re.compile(r"<urn:page:(-?\d+)>")
+_PAGE, _SIZE = re.compile(r"<urn:page:(-?[0-9]{1,18})>"), re.compile(r"[0-9]{1,18}")
 
 
 def digest(data: bytes) -> str:
@@ -104,7 +130,7 @@ def record(data: bytes, at: int) -> tuple[int, dict]:
             raise Bad("a header without a colon")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
-    if not length.isdigit():
+    if not _SIZE.fullmatch(length):
         raise Bad("no length")
     start, stop = end + 4, end + 4 + int(length)
     if stop > len(data):
@@ -118,7 +144,7 @@ def record(data: bytes, at: int) -> tuple[int, dict]:
     named = headers.get("warc-payload-digest", "").removeprefix("sha1:")
     kind = headers.get("warc-type", "")
     if kind == "revisit":
-        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
+        m = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]{1,18})", head)
         size, found = int(m[1]) if m else None, named
     else:
         size, found = len(payload), digest(payload)
@@ -130,7 +156,7 @@ def record(data: bytes, at: int) -> tuple[int, dict]:
 
 def member(data: bytes, at: int) -> tuple[int | None, bytes, str]:
     """The end of the gzip member at `at`, its content and why it is damaged; a damaged one has no end, and the content that precedes its error."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
+    if data[at : at + 3] != _GZIP:
         raise Bad("no gzip member")
     z, out, view, place = zlib.decompressobj(31), [], memoryview(data), at
     try:
@@ -180,34 +206,34 @@ def salvage(data: bytes):
     Records of a gzip member have the member's place, damaged or not. A gap inside a member has its
     place too, and the reason names the bytes of its content.
     """
-    if not (data[:3] == b"\x1f\x8b\x08" or (not _NEXT.search(data) and b"\x1f\x8b\x08" in data)):
-        yield from _plain(data)
-        return
     at, gap, reason = 0, None, ""
     while at < len(data):
-        try:
-            end, content, why = member(data, at)
-        except Bad as e:
-            end, content, why = None, b"", str(e)
-        rows = list(_plain(content))
-        if end is None and not any(fields for _, _, fields, _ in rows):
+        rows, stop, why = [], None, ""
+        if data.startswith(_GZIP, at):
+            stop, content, why = member(data, at)
+            rows = [(a, b, f, "" if f else f"{inner}, content bytes {a} to {b}") for a, b, f, inner in _plain(content)]
+            if stop is None and any(f for _, _, f, _ in rows):  # damaged, but not lost
+                m = _START.search(data, at + 1)
+                stop = m.start() if m else len(data)
+                if rows[-1][2]:
+                    rows.append((0, 0, None, f"{why}, content bytes {len(content)} on"))
+            rows = [(at, stop, f, inner) for _, _, f, inner in rows]
+        else:
+            try:
+                stop, fields = record(data, at)
+                rows = [(at, stop, fields, "")]
+            except Bad as e:
+                why = str(e)
+        if stop is None:
             if gap is None:
                 gap, reason = at, why
-            at = data.find(b"\x1f\x8b\x08", at + 1)
-            if at < 0:
-                break
+            m = _START.search(data, at + 1)
+            at = m.start() if m else len(data)
             continue
         if gap is not None:
             yield gap, at, None, reason
             gap = None
-        stop = end
-        if end is None:
-            stop = data.find(b"\x1f\x8b\x08", at + 1)
-            stop = len(data) if stop < 0 else stop
-        for a, b, fields, inner in rows:
-            yield at, stop, fields, "" if fields else f"{inner}, content bytes {a} to {b}"
-        if end is None and (not rows or rows[-1][2]):
-            yield at, stop, None, f"{why}, content bytes {len(content)} on"
+        yield from rows
         at = stop
     if gap is not None:
         yield gap, len(data), None, reason
