@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import pyarrow as pa
 
@@ -20,8 +21,22 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest() if text else EMPTY
 
 
-def overlaps(span: tuple[str, int, int], others: list[tuple[str, int, int]]) -> bool:
-    return any(span[1] < e and s < span[2] for _, s, e in others)
+class Cover:
+    """The union of spans (kind, start, end), asked by binary search."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
 
 
 def digest_batches(find, base_kinds: tuple[str, ...], kinds: tuple[str, ...]):
