@@ -4,9 +4,15 @@ Base kinds are patterns: `assign` (a secret's name with a value), `access` (acce
 ids) and `hex` (long runs of hex digits). The added kinds are reported only if their
 bytes have the structure of a secret: `jwt` (a signed token: base64url header with an
 algorithm, JSON claims, a signature unless the algorithm is none) and `key` (a private
-key: PEM, base64 or hex whose DER lengths nest without a byte to spare and whose fields
-are those of PKCS#1, PKCS#8 or SEC1, or the OpenSSH container with its inner lengths).
-Null text is empty text; an empty text has no spans.
+key: PEM, base64 or hex, on one line or wrapped, whose DER lengths nest without a byte to
+spare and whose fields are those of PKCS#1, PKCS#8 or SEC1; the OpenSSH container, whose
+strings, keys and padding are followed to the last byte; or an encrypted PEM whose
+initial vector and ciphertext fit the cipher's blocks).
+
+Null text is empty text; an empty text has no spans. Repeated rows are each given their
+spans, which depend on the text alone. Every pattern is linear in the text's length. Where
+base and added spans, or two added ones, cover the same text, all are reported, ordered by
+start, then kind. Columns besides doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,15 +25,18 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .spans import digest_batches
+from .spans import Cover, digest_batches
 
 BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "jwt", "key")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_BORDER = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_PEM_HEADER, _DEK = re.compile(r"[ \t]*[A-Za-z0-9-]+:[^\n]*\n"), re.compile(r"DEK-Info:[ \t]*([A-Z0-9-]+),[ \t]*([0-9A-Fa-f]+)")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+#: A further line of wrapped base64 or hex.
+_WRAPPED = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]++={0,2})(?![^\s\"'])")
 _HEX_KEY = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{60,}(?![0-9A-Za-z])")
 
 
@@ -70,20 +79,81 @@ def der(data: bytes, depth: int = 0) -> list[tuple[int, object]] | None:
     return out
 
 
+def _string(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """The length-prefixed string at `at` and its end; None if it does not fit."""
+    if at + 4 > len(data) or at + 4 + (n := int.from_bytes(data[at : at + 4], "big")) > len(data):
+        return None
+    return data[at + 4 : at + 4 + n], at + 4 + n
+
+
+def _strings(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Strings from `at` to the data's end, or `most` of them, and where they end."""
+    out = []
+    while at < len(data) if most is None else len(out) < most:
+        if (got := _string(data, at)) is None:
+            return None
+        out.append(got[0])
+        at = got[1]
+    return out, at
+
+
+def openssh(data: bytes) -> bool:
+    """The OpenSSH container: cipher, kdf, public keys and the private part, with nothing left over."""
+    if (head := _strings(data, 15, 3)) is None or head[1] + 4 > len(data):
+        return False
+    (cipher, kdf, options), at = head
+    n = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= n <= 64 or (body := _strings(data, at + 4, n + 1)) is None or body[1] != len(data):
+        return False
+    *public, private = body[0]
+    kinds = []
+    for key in public:
+        if (fields := _strings(key)) is None or len(fields[0]) < 2 or not re.fullmatch(rb"[a-z0-9@.-]{4,64}", fields[0][0]):
+            return False
+        kinds.append(fields[0][0])
+    if cipher != b"none":
+        return kdf != b"none" and bool(options) and len(private) >= 16 and len(private) % 8 == 0
+    if options or len(private) < 8 or private[:4] != private[4:8]:
+        return False
+    at, found = 8, []
+    while (rest := len(private) - at) >= 16 or private[at:] != bytes(range(1, rest + 1)):  # what is left at last is 1, 2, 3, ...
+        if (got := _string(private, at)) is None:
+            return False
+        found.append(got[0])
+        at = got[1]
+    return all(k in found for k in kinds) and len(found) >= 3 * n
+
+
+def pem_blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, what lies between) for every begin line of a private key with the next border its end line."""
+    out, begun = [], None
+    for m in _BORDER.finditer(text):
+        if m[1] == "END" and begun and begun[2] == m[2]:
+            out.append((begun[0], m.end(), text[begun[1] : m.start()]))
+        begun = (m.start(), m.end(), m[2]) if m[1] == "BEGIN" else None
+    return out
+
+
+def pem_key(body: str) -> str | None:
+    """The encoding's name if what lies between PEM's borders is a private key."""
+    body, at = body.replace("\\r", "").replace("\\n", "\n").lstrip(), 0
+    while m := _PEM_HEADER.match(body, at):
+        at = m.end()
+    data = unbase64(re.sub(r"\s", "", body[at:]))
+    if m := _DEK.search(body[:at]):
+        block = len(m[2]) // 2
+        return "encrypted pem" if data and block in (8, 16) and len(m[2]) % 2 == 0 and len(data) % block == 0 else None
+    return private_key(data)
+
+
 def private_key(data: bytes | None) -> str | None:
     """The encoding's name if the bytes are a private key."""
     if not data:
         return None
     if b"PRIVATE KEY-----" in data:
-        text = data.decode("latin-1")
-        return next((found for m in _PEM.finditer(text) if (found := private_key(unbase64(re.sub(r"\s|\\[nr]", "", m[2]))))), None)
+        return next((found for _, _, body in pem_blocks(data.decode("latin-1")) if "-----" not in body and (found := pem_key(body))), None)
     if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):  # cipher, kdf and its options
-            if at + 4 > len(data):
-                return None
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return "openssh" if at + 8 <= len(data) and int.from_bytes(data[at : at + 4], "big") >= 1 else None
+        return "openssh" if openssh(data) else None
     if data[0] != 0x30 or not (top := der(data)) or len(top) != 1:
         return None
     fields = top[0][1]
@@ -109,18 +179,33 @@ def signed_token(header: str, claims: str, signature: str) -> bool:
     return head["alg"].lower() == "none" or bool(unbase64(signature))
 
 
+def _decoded(text: str) -> str | None:
+    """The encoding's name if base64 or hex text is a private key."""
+    if len(text) % 2 == 0 and _HEX_KEY.fullmatch(text) and (found := private_key(bytes.fromhex(text))):
+        return found
+    return private_key(unbase64(text))
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    out += [("jwt", m.start(1), m.end(3)) for m in _JWT.finditer(text) if signed_token(m[1], m[2], m[3])]
-    if "PRIVATE KEY-----" in text:
-        out += [("key", *m.span()) for m in _PEM.finditer(text) if private_key(unbase64(re.sub(r"\s|\\[nr]", "", m[2])))]
-    pem = [x for x in out if x[0] == "key"]
-    free = lambda m: not any(s <= m.start() < e for _, s, e in pem)
-    for m in _HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and free(m) and private_key(bytes.fromhex(m[0])):
-            out.append(("key", *m.span()))
+    out = [("jwt", m.start(1), m.end(3)) for m in _JWT.finditer(text) if signed_token(m[1], m[2], m[3])]
+    pem = [("key", s, e) for s, e, body in pem_blocks(text) if pem_key(body)] if "PRIVATE KEY-----" in text else []
+    out, known, reach, done = out + pem, Cover(pem), 0, 0
+    out += [("key", *m.span()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and not known.meets(*m.span()) and private_key(bytes.fromhex(m[0]))]
+    hexes = set(out)
     for m in _B64.finditer(text):
-        if free(m) and private_key(unbase64(m[0])):
+        if m.start() < done or known.meets(*m.span()):
+            continue
+        # lines as long as the first, and a shorter one at the end, are tried as one; each of them is also tried alone
+        lines, end = [m[0]], m.end()
+        if m.start() >= reach:
+            while len(lines[-1]) == len(m[0]) and (more := _WRAPPED.match(text, end)) and len(more[1]) <= len(m[0]):
+                lines.append(more[1])
+                end = more.end()
+            reach = end
+        if len(lines) > 1 and _decoded("".join(lines)):
+            out.append(("key", m.start(), end))
+            done = end
+        elif ("key", *m.span()) not in hexes and private_key(unbase64(m[0])):
             out.append(("key", *m.span()))
     return out
 
