@@ -3,14 +3,23 @@
 Every chunk of documents is a shard. Its words become ids of the benchmark's vocabulary
 (0 for other words and between documents), and its suffixes are sorted by their first
 WINDOW words. Suffixes whose opening words leave the benchmark's vocabulary before the
-shortest window ends can't match and are not put in the array. Each benchmark suffix is
-then binary-searched: the range of suffixes that open with its window are its
-occurrences, which are extended word by word to the longest verbatim match. A match is
-reported once, at its leftmost word, with its place in the item and in the document.
-
-The benchmark is sent to the tasks in blocks of at most BLOCK_BYTES of text, one after
-another, so that its size is no limit. Items without an id or text are left out, null
-texts of documents have no words, and repeated rows are each given their result.
+shortest window ends can't match and are not put in the array. Each distinct window of the
+benchmark, the opening of its suffixes, is binary-searched: the range of the shard's suffixes that open
+with it are its occurrences. They are laid out once for each place in the documents, however many
+items hold the window.
+
+Matches cover the occurrences from left to right: at a document's first word that opens a
+window, the longest verbatim match with any item is found by binary search among the benchmark's sorted
+suffixes; the next match starts at the next window that the match does not contain. All
+items of the windows found are listed as well; windows with the same items share one list.
+
+The benchmark is sent to the tasks in blocks of about BLOCK_BYTES of text (a longer item is cut into
+pieces that overlap by WINDOW - 1 words, at which matches are cut too), CHAIN of them in one pass over
+the text, so that its size is no limit. Items without an id or text are left out, items without
+words have no window, and items of fewer words than a window are one window. Null texts of documents
+have no words; a text of any length is one row of work; repeated rows are each given their result; of items
+with equally long matches the one first in the benchmark's sorted suffixes is named. Columns besides
+doc_id and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,37 +32,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, read, word_chunks
+from .common import ALNUM, checkpoint, fresh, ragged, read, word_chunks
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+CHAIN = 4
 SHARD_BYTES = 2 << 20
 FOUND = "array<struct<item:long,item_start:long,start:long,length:long>>"
 
 
 class Block:
-    """A block of the benchmark: its vocabulary, its words as ids with a 0 after every item, and its windows."""
+    """A block of the benchmark: its vocabulary, its words as ids with a 0 after every item, its suffixes in order, and their distinct windows."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        ids = np.array([i for i, _ in items], np.int64)
-        found = list(word_chunks(pa.array([t for _, t in items], pa.string()), ALNUM, size=1 << 40))
+    def __init__(self, items: list[tuple[int, int, str]]):
+        items = sorted(items)
+        ids, offset = (np.array([x[k] for x in items], np.int64) for k in (0, 1))
+        found = list(word_chunks(pa.array([t for _, _, t in items], pa.string()), ALNUM, size=1 << 40))
         words = found[0].hash if found else np.zeros(0, np.uint64)
         count = found[0].count if found else np.zeros(0, np.int64)
         self.vocabulary, word = np.unique(words, return_inverse=True)
         first = np.cumsum(count + 1) - (count + 1)
-        self.words = np.zeros(int((count + 1).sum()) + WINDOW, np.int64)
-        row = np.repeat(np.arange(len(count)), count)
-        self.words[np.arange(len(words)) + row] = word + 1
+        self.words = np.zeros(int((count + 1).sum()) + WINDOW, np.int32)
+        self.words[np.arange(len(words)) + np.repeat(np.arange(len(count)), count)] = word + 1
         windows = np.where(count >= WINDOW, count - WINDOW + 1, np.minimum(count, 1))
         row = np.repeat(np.arange(len(count)), windows)
-        self.item = ids[row]  # of each window
-        self.start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        self.at = first[row] + self.start
-        self.length = np.minimum(count, WINDOW)[row]
-        self.shortest = int(self.length.min()) if len(row) else WINDOW
-        low = self.words[self.at[:, None] + np.arange(WINDOW)] if len(row) else np.zeros((0, WINDOW), np.int64)
-        beyond = np.arange(WINDOW)[None, :] >= self.length[:, None]
-        self.low, self.high = np.where(beyond, -1, low), np.where(beyond, 1 << 40, low)
+        start = ragged(np.zeros(len(windows), np.int64), windows)
+        at, length = first[row] + start, np.minimum(count, WINDOW)[row]
+        rank = self._ranks()
+        order = np.lexsort((rank[at], length < WINDOW))  # whole windows first, in the order of their suffixes
+        at, length, row, start = at[order], length[order], row[order], start[order]
+        opening = self.words[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), np.int32)
+        opening[np.arange(WINDOW)[None, :] >= length[:, None]] = -1
+        new = np.ones(len(at), bool)
+        new[1:] = (opening[1:] != opening[:-1]).any(1)
+        #: The distinct windows, and the range of suffixes that open with each.
+        self.window, self.length = opening[new], length[new]
+        self.edges = np.append(np.flatnonzero(new), len(at))
+        self.at, self.item, self.start = at.astype(np.int32), ids[row], (offset[row] + start).astype(np.int64)
+        self.shortest = int(length.min()) if len(at) else WINDOW
+        # windows with the same items share one list
+        lists: dict[bytes, int] = {}
+        self.lists: list[np.ndarray] = []
+        self.list_of = np.zeros(len(self.window), np.int64)
+        for k, (lo, hi) in enumerate(zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)):
+            own = np.unique(self.item[lo:hi])
+            key = own.tobytes()
+            if key not in lists:
+                lists[key] = len(self.lists)
+                self.lists.append(own)
+            self.list_of[k] = lists[key]
+
+    def _ranks(self) -> np.ndarray:
+        """The rank of every suffix of the words, by doubling."""
+        rank, step = np.unique(self.words, return_inverse=True)[1].astype(np.int64), 1
+        while len(rank):
+            after = np.full(len(rank), -1)
+            after[: max(0, len(rank) - step)] = rank[step:]
+            key = (rank << 32) | (after + 1)
+            distinct, rank = np.unique(key, return_inverse=True)
+            step *= 2
+            if len(distinct) == len(rank) or step > len(rank):
+                break
+        return rank
 
 
 def _bound(rows: np.ndarray, query: np.ndarray, right: bool) -> np.ndarray:
@@ -70,81 +110,141 @@ def _bound(rows: np.ndarray, query: np.ndarray, right: bool) -> np.ndarray:
     return lo
 
 
-def matches(words, block: Block) -> tuple[np.ndarray, ...]:
-    """Longest matches in a shard: row, window, first word in the row, length; ordered by row and word."""
-    none = (np.zeros(0, np.int64),) * 4
-    if not len(block.at) or not len(words.hash):
+def _common(text: np.ndarray, at: np.ndarray, words: np.ndarray, to: np.ndarray, known: int) -> np.ndarray:
+    """How many words text[at...] and words[to...] have in common; `known` of them are known to be."""
+    length = np.full(len(at), known, np.int64)
+    growing = np.arange(len(at))
+    while len(growing):
+        a, b = words[to[growing] + length[growing]], text[at[growing] + length[growing]]
+        growing = growing[(a == b) & (a > 0)]
+        length[growing] += 1
+    return length
+
+
+def _longest(text: np.ndarray, at: np.ndarray, window: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match at places that open with whole windows: its length, and the suffix of the benchmark."""
+    lo, hi = block.edges[window].copy(), block.edges[window + 1].copy()
+    best, where = np.zeros(len(at), np.int64), lo.copy()
+    while len(open_ := np.flatnonzero(lo < hi)):
+        mid = (lo[open_] + hi[open_]) >> 1
+        n = _common(text, at[open_], block.words, block.at[mid], WINDOW)
+        better = (n > best[open_]) | ((n == best[open_]) & (mid < where[open_]))
+        best[open_[better]], where[open_[better]] = n[better], mid[better]
+        above = block.words[block.at[mid] + n] < text[at[open_] + n]
+        lo[open_[above]], hi[open_[~above]] = mid[above] + 1, mid[~above]
+    return best, where
+
+
+def matches(words, block: Block) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+    """In a shard, the matches (row, suffix of the benchmark, first word in the row, length) by row and word; and (row, list of items)."""
+    none = (np.zeros(0, np.int64),) * 4, (np.zeros(0, np.int64),) * 2
+    if not len(block.window) or not len(words.hash):
         return none
     place = np.minimum(np.searchsorted(block.vocabulary, words.hash), len(block.vocabulary) - 1)
     word = np.where(block.vocabulary[place] == words.hash, place + 1, 0)
     row = np.repeat(np.arange(len(words.count)), words.count)
-    text = np.zeros(len(word) + len(words.count) + WINDOW + 1, np.int64)  # a 0 before every row
+    text = np.zeros(len(word) + len(words.count) + WINDOW + 1, np.int32)  # a 0 before every row
     text[np.arange(len(word)) + row + 1] = word
     zeros = np.flatnonzero(text == 0)
-    run = np.diff(zeros)  # a zero, then run - 1 known words
-    usable = np.maximum(run - block.shortest, 0)
-    where = np.repeat(zeros[:-1] + 1 - (np.cumsum(usable) - usable), usable) + np.arange(int(usable.sum()))
+    usable = np.maximum(np.diff(zeros) - block.shortest, 0)  # a zero, then known words
+    where = ragged(zeros[:-1] + 1, usable)
     if not len(where):
         return none
     opening = text[where[:, None] + np.arange(WINDOW)]
     order = np.lexsort(opening.T[::-1])
     suffixes, opening = where[order], opening[order]
-    lo, hi = _bound(opening, block.low, False), _bound(opening, block.high, True)
+    lo, hi = _bound(opening, block.window, False), _bound(opening, np.where(block.window < 0, np.iinfo(np.int32).max, block.window), True)
     n = np.maximum(hi - lo, 0)
-    window = np.repeat(np.arange(len(n)), n)
-    at = suffixes[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    before = block.words[np.maximum(block.at[window] - 1, 0)]
-    leftmost = (block.start[window] == 0) | (before != text[at - 1])
-    window, at = window[leftmost], at[leftmost]
-    length = block.length[window].copy()
-    growing = np.flatnonzero(length == WINDOW)
-    while len(growing):
-        a, b = block.words[block.at[window[growing]] + length[growing]], text[at[growing] + length[growing]]
-        growing = growing[(a == b) & (a > 0)]
-        length[growing] += 1
+    window, at = np.repeat(np.arange(len(n)), n), suffixes[ragged(lo, n)]
+    if not len(at):
+        return none
     base = words.first[:-1] + np.arange(len(words.count)) + 1
+    of = np.searchsorted(base, at, "right") - 1
+    lists = np.unique((of << 32) | block.list_of[window])
+
+    whole = block.length[window] == WINDOW
+    opens = np.full(len(text), -1, np.int64)
+    opens[at[whole]] = window[whole]
+    starts = np.flatnonzero((opens >= 0) & (np.append(-1, opens[:-1]) < 0))
+    out = [(at[~whole], block.edges[window[~whole]], block.length[window[~whole]].astype(np.int64))]
+    while len(starts):
+        length, suffix = _longest(text, starts, opens[starts], block)
+        out.append((starts, suffix, length))
+        starts = starts + length - WINDOW + 1  # the first window that is not inside the match
+        starts = starts[opens[starts] >= 0]
+    at, suffix, length = (np.concatenate([x[k] for x in out]) for k in range(3))
     row = np.searchsorted(base, at, "right") - 1
-    order = np.lexsort((window, at))
-    return row[order], window[order], (at - base[row])[order], length[order]
+    order = np.lexsort((length, at))
+    return (row[order], suffix[order], (at - base[row])[order], length[order]), (lists >> 32, lists & 0xFFFFFFFF)
+
 
+def _pieces(benchmark: DataFrame) -> DataFrame:
+    """(item_id, offset, text, size) of the benchmark's items; those above BLOCK_BYTES are cut into pieces, the words before each of which are its offset."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", F.octet_length("text").alias("size"))
+    short = items.where(F.col("size") <= BLOCK_BYTES).select("item_id", F.lit(0).cast("long").alias("offset"), "text", "size")
+    words = F.array_remove(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    long = items.where(F.col("size") > BLOCK_BYTES).select("item_id", words.alias("words"), (F.ceil(F.col("size") / BLOCK_BYTES)).alias("parts"))
+    step = F.greatest(F.ceil(F.size("words") / F.col("parts")), F.lit(WINDOW))
+    long = long.select("item_id", "words", step.alias("step"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.size("words") - (WINDOW - 1)) / step) - 1, F.lit(0)))).alias("k"))
+    cut = F.array_join(F.slice("words", (F.col("k") * F.col("step") + 1).cast("int"), (F.col("step") + WINDOW - 1).cast("int")), " ")
+    return short.unionByName(long.select("item_id", (F.col("k") * F.col("step")).cast("long").alias("offset"), cut.alias("text"), F.octet_length(cut).alias("size")))
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id) of docs with _n_words and _found, all longest verbatim matches of at least a window (or a whole shorter item): item, its first word there, the document's first word, and the number of words."""
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("n_words", "found", "items")) -> DataFrame:
+    """The columns `keep` (doc_id) of docs with n_words, found (longest verbatim matches of at least a window, or of a whole shorter item, that cover all windows found: item, its first word there, the document's first word, and the number of words) and items (all items with a window in the document)."""
     keep = ["doc_id"] if keep is None else keep
-    spark, items = docs.sparkSession, benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    out = docs.select(*keep, F.col(text).alias("_text"))
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        block, last = spark.sparkContext.broadcast(Block([tuple(r) for r in own.collect()])), k == blocks - 1
-        made = T.StructType.fromDDL(f"_n_words long, _found {FOUND}" + ("" if last else ", _text string"))
-        out = out.mapInArrow(_searcher(block, k > 0, last, len(keep)), T.StructType([*out.select(*keep).schema, *made]))
+    spark, items = docs.sparkSession, checkpoint(_pieces(benchmark))
+    blocks = -(-(items.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES) or 1
+    n_words, found, listed = names
+    (carried,) = fresh(docs.select(*keep).withColumns({n: F.lit(0) for n in names}), "text")
+    out = docs.select(*keep, F.col(text).alias(carried))
+    made = [T.StructField(n_words, T.LongType()), T.StructField(found, T._parse_datatype_string(FOUND)), T.StructField(listed, T.ArrayType(T.LongType()))]
+    kept = [T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema]
+    for k in range(0, blocks, CHAIN):
+        of_block = F.pmod(F.xxhash64("item_id", "offset"), F.lit(blocks))
+        own = [Block([tuple(r) for r in (items.where(of_block == i) if blocks > 1 else items).select("item_id", "offset", "text").collect()]) for i in range(k, min(blocks, k + CHAIN))]
+        last = k + CHAIN >= blocks
+        schema = T.StructType([*kept, *made, *([] if last else [T.StructField(carried, T.StringType())])])
+        out = out.mapInArrow(_searcher([spark.sparkContext.broadcast(b) for b in own], k > 0, last, len(keep), schema.names), schema)
+        out = out if last else checkpoint(out)
     return out
 
 
-def _searcher(block, earlier: bool, last: bool, keep: int):
+def _merged(n: int, parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows and their values of several parts, by row."""
+    row = np.concatenate([r for r, _ in parts])
+    order = np.argsort(row, kind="stable")
+    return np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32), [np.concatenate(v)[order] for v in zip(*(v for _, v in parts), strict=True)]
+
+
+def _searcher(blocks: list, earlier: bool, last: bool, keep: int, names: list[str]):
     def search(batches):
         for b in batches:
             text = b.column(b.num_columns - 1)
             for w in word_chunks(text, ALNUM, size=SHARD_BYTES):
                 n = w.hi - w.lo
-                row, window, start, length = matches(w, block.value)
-                item, item_start = block.value.item[window], block.value.start[window]
+                spans, lists = [], []
                 if earlier:
-                    old = b.column(keep + 1).slice(w.lo, n)
-                    flat = old.flatten()
-                    olds = np.repeat(np.arange(n), np.asarray(old.value_lengths()))
-                    both = [np.concatenate([np.asarray(flat.field(i)), x]) for i, x in enumerate((item, item_start, start, length))]
-                    row = np.concatenate([olds, row])
-                    order = np.argsort(row, kind="stable")
-                    row, (item, item_start, start, length) = row[order], (x[order] for x in both)
-                fields = [pa.array(x, pa.int64()) for x in (item, item_start, start, length)]
-                offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=["item", "item_start", "start", "length"]))
-                columns = [b.column(i).slice(w.lo, n) for i in range(keep)] + [pa.array(w.count.astype(np.int64)), found]
-                names = [b.schema.names[i] for i in range(keep)] + ["_n_words", "_found"]
-                yield pa.RecordBatch.from_arrays(columns + ([] if last else [text.slice(w.lo, n)]), names=names + ([] if last else ["_text"]))
+                    for out, old in ((spans, b.column(keep + 1).slice(w.lo, n)), (lists, b.column(keep + 2).slice(w.lo, n))):
+                        flat = old.flatten()
+                        values = [np.asarray(flat.field(i)) for i in range(4)] if out is spans else [np.asarray(flat)]
+                        out.append((np.repeat(np.arange(n), np.asarray(old.value_lengths())), values))
+                for block in blocks:
+                    (row, suffix, start, length), (of, which) = matches(w, block.value)
+                    spans.append((row, [block.value.item[suffix], block.value.start[suffix], start, length]))
+                    own = [block.value.lists[i] for i in which.tolist()]
+                    lists.append((np.repeat(of, [len(x) for x in own]) if own else of, [np.concatenate(own) if own else of]))
+                at, values = _merged(n, spans)
+                found = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in values], names=["item", "item_start", "start", "length"]))
+                at, (ids,) = _merged(n, lists)
+                of = np.repeat(np.arange(n), np.diff(at))
+                order = np.lexsort((ids, of))
+                of, ids = of[order], ids[order]
+                new = np.ones(len(ids), bool)
+                new[1:] = (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])
+                items = pa.ListArray.from_arrays(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32), pa.array(ids[new], pa.int64()))
+                columns = [b.column(i).slice(w.lo, n) for i in range(keep)] + [pa.array(w.count.astype(np.int64)), found, items]
+                yield pa.RecordBatch.from_arrays(columns + ([] if last else [text.slice(w.lo, n)]), names=names)
 
     return search
 
@@ -153,29 +253,32 @@ _NONE = hashlib.sha256(b"").hexdigest()
 
 
 def _digest(batches):
+    """(doc_id, n_words, found, items) as the query's digests."""
     for b in batches:
-        found = b.column(2)
-        n_hit, n_items, sha = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64), [_NONE] * len(found)
-        lengths = np.asarray(found.value_lengths())
-        for i in np.flatnonzero(lengths).tolist():
-            hits, reach = found[i].as_py(), 0
-            for start, end in sorted((x["start"], x["start"] + x["length"]) for x in hits):
-                n_hit[i] += max(0, end - max(start, reach))
-                reach = max(reach, end)
-            items = sorted({str(x["item"]) for x in hits})
-            n_items[i], sha[i] = len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
+        found, items = b.column(2), b.column(3)
+        n_hit, n_items, sha = np.zeros(len(found), np.int64), np.asarray(items.value_lengths()).astype(np.int64), [_NONE] * len(found)
+        for i in np.flatnonzero(np.asarray(found.value_lengths())).tolist():
+            reach, spans = 0, found[i].values
+            start, length = np.asarray(spans.field("start")), np.asarray(spans.field("length"))
+            for s, e in sorted(zip(start.tolist(), (start + length).tolist(), strict=True)):
+                n_hit[i] += max(0, e - max(s, reach))
+                reach = max(reach, e)
+            sha[i] = hashlib.sha256(",".join(sorted(map(str, items[i].as_py()))).encode()).hexdigest()
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_hit), pa.array(n_items), pa.array(sha, pa.string()), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = longest_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return longest_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).mapInArrow(_digest, DIGEST)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
-    found = longest_matches(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(F.size("_found") == 0).select(*docs.columns)
+    """Documents with a benchmark window go; each row is judged by its own text."""
+    names = tuple(fresh(docs, "n_words", "found", "items"))
+    found = longest_matches(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns, names=names)
+    return found.where(F.size(names[1]) == 0).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
