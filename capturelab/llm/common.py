@@ -26,22 +26,47 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
+    """The folder that driver and executors share. Only a session that runs in one process may do without a setting; it gets a fresh folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, materialised in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+#: A key's rows are dealt over so many tasks where its table is too large to broadcast.
+SALTS = 32
+
+
+def attached(rows: DataFrame, table: DataFrame, condition, most: int, by: str) -> DataFrame:
+    """rows left-joined with a table that has few rows a key: by broadcast up to `most` rows, else by a shuffle in which a hot key's rows are dealt by the column `by`."""
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), condition, "left")
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_dealt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(table, condition & (F.col("_dealt") == F.col("_salt")), "left")
+
+
 def crc_bucket(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

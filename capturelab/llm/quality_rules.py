@@ -1,14 +1,18 @@
 """Quality rules with host-level verdicts, in DataFrame functions only.
 
 Each document gets its rule counts in one pass, without a shuffle of text. Rule failures
-are counted by host (`source`); a host's failure rate is shrunk towards all hosts' by a
-beta prior whose two parameters are fitted to the hosts' rates by moments. A host whose
-shrunk rate is at least STRICT is strict: its documents go if they fail any rule. On
-other hosts a document goes if it fails two. A document that fails no rule stays
-whatever its host. Documents that fail the base rule always go.
-
-Null text has no words and fails the base rule. A null source is a host of its own.
-Repeated rows count as often as they occur. Columns besides doc_id, text and source play no part.
+are counted by host (`source`). The hosts' true failure rates are taken to follow a beta
+prior, fitted by moments: its mean is the pooled rate, and its variance is that of the hosts'
+rates, weighted by their documents, less the part that sampling explains. The prior weighs
+1 to MOST_WEIGHT documents, so that a large host's own rate counts whatever the fit. A host is
+strict if its rate's posterior lies above the pooled rate by SURE standard deviations (the 90 %
+point): its documents go if they fail any rule. On other hosts a document goes if it fails two.
+A document that fails no rule stays whatever its host. Documents that fail the base rule always go.
+
+Null text has no words and fails the base rule. A null source is a host of its own; an empty
+table has no host and no row. A host just at the cut is strict. Repeated rows count as often as
+they occur and are judged alike. A very long text is one row of work. Columns besides doc_id, text
+and source play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read
+from .common import attached, checkpoint, read
 
-STRICT = 0.05
-#: So many hosts' rates are broadcast; more are joined by a shuffle.
+SURE, MOST_WEIGHT = 1.2816, 50.0
+#: So many strict hosts are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 SPACE = r"[ \t-\r]+"
 RULES = ("base_failed", "f_symbols", "f_lines", "f_shout")
@@ -74,28 +78,28 @@ def rule_counts(docs: DataFrame, *carried: str) -> DataFrame:
 
 
 def host_verdicts(counts: DataFrame) -> DataFrame:
-    """(host, host_rate, strict): every host's failure rate, shrunk by the empirical beta prior."""
+    """(host, n, host_rate, strict): every host's documents, its failure rate shrunk by the empirical beta prior, and the verdict."""
     failed = F.col("base_failed") | F.col("f_symbols") | F.col("f_lines") | F.col("f_shout")
     hosts = counts.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("failed"))
-    m, v = hosts.agg(F.sum("failed") / F.sum("n"), F.var_pop(F.col("failed") / F.col("n"))).first()
-    # beta moments: m = a / (a + b), v = m (1 - m) / (a + b + 1); hosts that hardly differ get a strong prior
-    m, weight = m or 0.0, 1e6
-    if v and m * (1 - m) / v - 1 < weight:
-        weight = max(m * (1 - m) / v - 1, 1.0)
-    rate = (F.col("failed") + m * weight) / (F.col("n") + weight)
-    return hosts.select("host", rate.alias("host_rate"), (rate >= STRICT).alias("strict"))
+    total, bad, squares, several = hosts.agg(F.sum("n"), F.sum("failed"), F.sum(F.col("failed") * F.col("failed") / F.col("n")), F.count("*")).first()
+    m, weight = (bad / total if total else 0.0), MOST_WEIGHT
+    between = squares / total - m * m - m * (1 - m) * several / total if total else 0.0
+    if between > 0:
+        weight = min(MOST_WEIGHT, max(1.0, m * (1 - m) / between - 1))
+    size = F.col("n") + F.lit(weight)
+    rate = (F.col("failed") + F.lit(m * weight)) / size
+    return hosts.select("host", "n", rate.alias("host_rate"), (rate - F.lit(m) >= SURE * F.sqrt(rate * (1 - rate) / (size + 1))).alias("_sure")).select("host", "n", "host_rate", (F.col("_sure") & (F.col("host_rate") > m)).alias("strict"))
 
 
 def judged(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, rule counts, base_failed, strict, kept and carried columns for every row of docs (doc_id, text, source)."""
     counts = checkpoint(rule_counts(docs.select("doc_id", "text", "source", *carried), *carried))
-    hosts = host_verdicts(counts)
-    if hosts.count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
-    rows = counts.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
+    hosts = checkpoint(host_verdicts(counts).where("strict").select("host", F.lit(True).alias("found")))
+    rows = attached(counts, hosts, F.col("source").eqNullSafe(F.col("host")), BROADCAST_HOSTS, "doc_id")
+    strict = F.coalesce("found", F.lit(False))
     soft = sum((F.col(c).cast("int") for c in RULES[1:]), F.lit(0))
-    kept = ~F.col("base_failed") & (soft < F.when(F.col("strict"), 1).otherwise(2))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "strict", *carried)
+    kept = ~F.col("base_failed") & (soft < F.when(strict, 1).otherwise(2))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), strict.alias("strict"), *carried)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +122,11 @@ c AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
   length(text)-length(regexp_replace(text,'[A-Z]','','g')) AS n_capitals FROM t LEFT JOIN rep USING (r)),
 f AS (SELECT *, n_words<50 OR 100*n_repeat_words>50*n_words AS base_failed, 100*n_symbols>20*n_words AS f1, 100*n_dup_lines>50*n_lines AS f2, 100*n_capitals>30*word_chars AS f3 FROM c),
 h AS (SELECT source, count(*) AS n, sum(CAST(base_failed OR f1 OR f2 OR f3 AS BIGINT)) AS failed FROM f GROUP BY 1),
-p AS (SELECT CAST(sum(failed) AS DOUBLE)/sum(n) AS m, var_pop(CAST(failed AS DOUBLE)/n) AS v FROM h),
-q AS (SELECT m, CASE WHEN v>0 AND m*(1-m)/v-1 < 1e6 THEN greatest(m*(1-m)/v-1, 1e0) ELSE 1e6 END AS wt FROM p),
-s AS (SELECT source, (failed+m*wt)/(n+wt) >= 5e-2 AS strict FROM h, q)
+p AS (SELECT CAST(sum(failed) AS DOUBLE)/sum(n) AS m, sum(n) AS t, sum(CAST(failed*failed AS DOUBLE)/n) AS sq, count(*) AS hs FROM h),
+v AS (SELECT m, sq/t - m*m - m*(1-m)*hs/t AS tau FROM p),
+q AS (SELECT m, CASE WHEN tau>0 THEN least(greatest(m*(1-m)/tau-1, 1e0), 5e1) ELSE 5e1 END AS wt FROM v),
+z AS (SELECT source, n, m, wt, (failed+m*wt)/(n+wt) AS rate FROM h, q),
+s AS (SELECT source, rate>m AND rate-m >= 12816e-4*sqrt(rate*(1-rate)/(n+wt+1)) AS strict FROM z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND CAST(f1 AS INT)+CAST(f2 AS INT)+CAST(f3 AS INT) < CASE WHEN strict THEN 1 ELSE 2 END AS kept, strict
 FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source

@@ -4,7 +4,7 @@ Writing is plain DataFrame work: a record is a row's text, and Spark's text sink
 WARC files, with the record separator "\r\n\r\n" as its line separator. Of pages with equal
 payloads the smallest page_id is a response and the others revisit it. Only digests are
 shuffled to find them: those that occur twice are joined back by broadcast up to
-BROADCAST_DIGESTS of them, and beyond that by a join whose hot digests are dealt over SALTS.
+BROADCAST_DIGESTS of them, and beyond that by a join whose hot digests are dealt over tasks.
 Each task rolls its files by FILE_BYTES.
 
 Reading takes whole files, plain, of gzip members, or of both. A record must have a version line,
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read, shared_dir
+from .common import attached, checkpoint, read, shared_dir
 
 SEPARATOR, FILE_BYTES, LEAST_REVISIT_BYTES = "\r\n\r\n", 32 << 20, 0
-BROADCAST_DIGESTS, SALTS = 200_000, 32  # a digest and an id have 28 bytes
+BROADCAST_DIGESTS = 200_000  # a digest and an id have 28 bytes
 ROWS = "archive string, start long, end long, kind string, reason string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -60,13 +60,8 @@ def records(pages: DataFrame) -> DataFrame:
     """One WARC record, a string, for every row of pages (page_id, url, html)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"), base32_sha1(payload.cast("binary")).alias("digest"), F.unhex(F.sha1(payload.cast("binary"))).alias("own"))
-    first = checkpoint(first_pages(pages))
     same = (F.col("own") == F.col("key")) & (F.col("page_id") > F.col("first"))
-    if first.count() <= BROADCAST_DIGESTS:
-        rows = rows.join(F.broadcast(first), same, "left")
-    else:
-        first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("dealt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(first, same & (F.col("dealt") == F.col("salt")), "left")
+    rows = attached(rows, checkpoint(first_pages(pages)), same, BROADCAST_DIGESTS, "page_id")
     revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     rows = rows.withColumn("block", F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))))
