@@ -15,8 +15,11 @@
    that, no pair that shares a bucket is left untested, unless already connected.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32 = 5e-6.
-Nulls: no text means no set, linked with nothing. A null doc_id takes part in nothing; its
-component is null and it is kept. Rows that repeat a doc_id are one node: each has its own set's size and the node's component.
+No text means no set, linked with nothing. A null doc_id takes part in nothing; its
+component is null and it is kept. Rows that repeat a doc_id are one node, linked by any of its
+texts: each row has its own set's size and the node's component. A text of any length is one
+row of work; an empty table has no rows. Columns besides doc_id and text play no part, whatever
+their names. A bucket's pairs are dealt over one task for every BUCKET_ROWS of its rows.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, U, checkpoint, mix, pair_hash, ragged, read, word_chunks
+from .common import SPACED, U, checkpoint, fresh, mix, pair_hash, ragged, read, word_chunks
 
 WIDTH, ALIKE = 5, 75  # words in a shingle; percent of similarity that links
 BANDS, ROWS = 32, 4
 BROADCAST_PAIRS = 1_000_000  # 16 bytes each
+BUCKET_ROWS = 1000
 #: Two sketches of a pair at 0.75 agree in 112 of 128 bits on average, deviation 3.7; fewer than 90 is 5.9 deviations off.
 AGREE = 90
 
@@ -189,24 +193,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     head = shared.groupBy("bucket").agg(F.min(F.struct("rep", "n", "s1", "s2")).alias("head")).select("bucket", "head.*")
     x, y = shared.alias("x"), head.alias("y")
     tried = checkpoint(x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.rep") > F.col("y.rep")) & _close("x", "y")).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct())
-    links = checkpoint(_alike(docs, tried))
+    # the classes of an id with several texts are one node
+    texts = base.where("doc_id is not null").select("doc_id", F.coalesce("digest", F.lit(b"")).alias("d"))
+    several_texts = checkpoint(texts.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select(F.col("doc_id").alias("id")))
+    split = not several_texts.isEmpty()
+    links = _alike(docs, tried)
+    if split:
+        reps = several_texts.join(base, F.col("id") == F.col("doc_id")).select("id", "digest").distinct().join(classes.select("digest", "rep"), "digest").select("id", "rep")
+        links = links.unionByName(reps.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")))
+    links = checkpoint(links)
     found = components(links)
 
     # pairs of a bucket that lie in different components and have not been tried
     placed = shared.join(found, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("bucket").agg(F.count("*").alias("several"), F.max(F.struct("size", "component")).alias("top")).where("several > 1").select("bucket", F.col("top.component").alias("main"))
-    mixed = checkpoint(placed.join(main, "bucket").select("bucket", "rep", "n", "component", "main"))
+    main = parts.groupBy("bucket").agg(F.count("*").alias("several"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top")).where("several > 1").select("bucket", F.col("top.component").alias("main"), F.ceil(F.col("all") / BUCKET_ROWS).alias("pieces"))
+    mixed = checkpoint(placed.join(main, "bucket").select("bucket", "rep", "n", "component", "main", "pieces"))
     members = checkpoint(mixed.select(F.col("rep").alias("_rep")).distinct())
     near = F.broadcast if members.count() <= BROADCAST_PAIRS else (lambda d: d)
     words = [f"f{i}" for i in range(FINE // 64)]
     fine = docs.join(near(members), docs["doc_id"] == F.col("_rep"), "left_semi").select("doc_id", "text").mapInArrow(_fine_sketches, "rep long, " + ", ".join(f"{c} long" for c in words))
     mixed = mixed.join(fine, "rep").join(classes.select("rep", "bands"), "rep")
-    x, y = mixed.alias("x"), mixed.where("component <> main").alias("y")
+    x = mixed.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces"))).alias("x")
+    y = mixed.where("component <> main").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("y")
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in words), F.lit(0))
     first = F.get(F.filter(F.col("x.bands"), lambda v, i: v == F.get(F.col("y.bands"), i)), 0)
     new = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep")))
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & new & _sizes("x", "y") & (differ <= FINE - FINE_AGREE) & (first == F.col("x.bucket")))
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.piece") == F.col("y.piece")) & new & _sizes("x", "y") & (differ <= FINE - FINE_AGREE) & (first == F.col("x.bucket")))
     pairs = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     more = checkpoint(_alike(docs, checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))))
     if not more.isEmpty():
@@ -214,7 +227,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     known = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     rows = base.select("doc_id", "digest", "n").join(known, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    if split:
+        nodes = several_texts.join(found.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("whole"))
+        rows = rows.join(nodes, F.col("doc_id") == F.col("id"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(*(["whole"] if split else []), "component", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -223,9 +239,10 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of rows with the same doc_id and text, one stays. Rows without doc_id stay. Rows of one doc_id with different texts are one node: they go or stay together."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each group stays, that with the smallest doc_id; of rows with the same doc_id and text, one stays. Rows without doc_id stay. Rows of one doc_id with different texts are one node: they go or stay together. Columns besides doc_id and text are carried along, whatever their names."""
+    (name,) = fresh(docs, "gone")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col(name), "left_anti").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
