@@ -6,16 +6,20 @@ The weights are learned by expectation-maximisation on counts that the estimates
 out: the fold DELETED of the training documents. Scoring then uses counts of all training
 documents with those weights.
 
-Counting works on blocks, about a million tokens of documents of one role (estimation,
+Counting works on blocks, about BLOCK_TOKENS tokens of documents of one role (estimation,
 deleted fold, scored only). A block's distinct n-grams go, with their counts, to the task
 that owns their hash range; it adds the counts of all blocks and sends each block the
 totals of its own n-grams. A frequent n-gram is therefore one entry a block, never a row a
-token, and no task or driver holds the table. The number of ranges follows the corpus.
-For EM the deleted fold's tokens are counted in cells of bucket and estimates (four to an
+token, and no task or driver holds the table. The number of ranges follows the corpus. Beyond
+COARSE of them the exchange has two levels: the blocks of a group first add up their counts in
+coarse ranges, and only the groups' sums go to the fine ranges within, so that rows never
+shrink to a few keys and their number grows with the tokens, not with their square. For EM the deleted fold's tokens are counted in cells of bucket and estimates (four to an
 octave, with means), a table of bounded size.
 
 Null text is empty text, one end token. A row without doc_id is scored but not learned from,
-and is not held out. With nothing to learn from, every token has the uniform share.
+and is not held out. With nothing to learn from, every token has the uniform share. Repeated rows
+count and are scored as often as they occur; an empty table has no rows. A text of any length is
+scored whole. Columns besides doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .common import SPACED, U, checkpoint, crc_bucket, pair_hash, read, word_chu
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 BLOCK_TOKENS, RANGE_KEYS, LEAST_RANGES = 2_000_000, 2_000_000, 32
+#: The most ranges that one block's n-grams are dealt to, and the blocks of a group where there are more ranges.
+COARSE, GROUP = 1024, 512
 #: A bigram's key has this many bits more than the number of tokens, so that at any size one key in two million shares its counts with another. Words have 64 bits.
 SPARE_BITS = 21
 BUCKETS, PER_OCTAVE, ROUNDS = 24, 4, 40
@@ -48,6 +54,15 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def pack_index(x: np.ndarray) -> bytes:
+    """Small int32 values, their first bytes together, then their second bytes, and so on."""
+    return pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T))
+
+
+def unpack_index(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).reshape(-1).view(np.int32)
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Sorted uint64 keys as differences, their first bytes together, then their second bytes, and so on."""
     step = np.diff(x, prepend=U(0))
@@ -67,7 +82,7 @@ def _block(block: int, role: int, ids: list, counts: list, hashes: list) -> pa.R
     token[keep] = np.concatenate(hashes)
     vocabulary, index = np.unique(token, return_inverse=True)
     columns = [pa.array([block]), pa.array([role], pa.int32()), pa.array([len(token)]), pa.array([[x for part in ids for x in part.to_pylist()]], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in (pack((n + 1).astype(np.int32)), pack_sorted(vocabulary), pack(index.astype(np.int32))))], names=["block", "role", "tokens", "ids", "lengths", "vocabulary", "index"])
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in (pack((n + 1).astype(np.int32)), pack_sorted(vocabulary), pack_index(index.astype(np.int32))))], names=["block", "role", "tokens", "ids", "lengths", "vocabulary", "index"])
 
 
 def _blocks(batches):
@@ -96,7 +111,7 @@ class Tokens:
 
     def __init__(self, bits: int, lengths: bytes, vocabulary: bytes, index: bytes):
         self.lengths = unpack(lengths, np.int32).astype(np.int64)
-        self.one, self.word = unpack_sorted(vocabulary), unpack(index, np.int32)
+        self.one, self.word = unpack_sorted(vocabulary), unpack_index(index)
         self.first = np.cumsum(self.lengths) - self.lengths
         before = np.empty(len(self.word), np.int64)
         before[1:] = self.word[:-1]
@@ -129,29 +144,99 @@ def _requests(parts: int, bits: int):
     return run
 
 
+class Sums:
+    """The distinct keys of some rows of a range, each row's places among them, and their counts in all training rows and in those of estimation."""
+
+    def __init__(self, keys: list[np.ndarray], every: list[np.ndarray], kept: list[np.ndarray]):
+        self.edges = np.cumsum([0, *map(len, keys)])
+        self.keys, self.place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.every, self.kept = (np.bincount(self.place, np.concatenate(n), len(self.keys)) for n in (every, kept))
+
+    @classmethod
+    def of_blocks(cls, table: pa.Table, name: str) -> Sums:
+        role, keys = table["role"].to_pylist(), [unpack_sorted(x) for x in table[name].to_pylist()]
+        n = [unpack(x, np.uint32).astype(np.float64) for x in table[f"n_{name}"].to_pylist()]
+        return cls(keys, [x * (r != SCORE) for x, r in zip(n, role, strict=True)], [x * (r == ESTIMATE) for x, r in zip(n, role, strict=True)])
+
+    def own(self, i: int) -> np.ndarray:
+        return self.place[self.edges[i] : self.edges[i + 1]]
+
+
+def _answers(table: pa.Table, sums: dict[str, tuple[Sums, np.ndarray, np.ndarray]], vocabulary: int) -> pa.Table:
+    """A row for every block that asked, aligned with its keys; the fold also gets what estimation alone counts."""
+    role, out = table["role"].to_pylist(), []
+    for s, every, kept in sums.values():
+        out.append(pa.array([pack(every[s.own(i)].astype(np.uint32)) for i in range(len(role))], pa.binary()))
+        out.append(pa.array([pack(kept[s.own(i)].astype(np.uint32)) if r == FOLD else b"" for i, r in enumerate(role)], pa.binary()))
+    known = np.zeros(len(role), np.int64)
+    known[:1] = vocabulary
+    return pa.Table.from_arrays([table["block"], table["part"], table["role"], *out, pa.array(known)], names=["block", "part", "role", "one", "one_kept", "two", "two_kept", "vocabulary"])
+
+
 def _totals(table: pa.Table) -> pa.Table:
-    """Adds up a range's counts; a row for every block that asked, aligned with its keys."""
-    role = np.asarray(table["role"])
-    out, known = [], 0
+    """Adds up a range's counts."""
+    sums = {k: Sums.of_blocks(table, k) for k in ("one", "two")}
+    return _answers(table, {k: (s, s.every, s.kept) for k, s in sums.items()}, int((sums["one"].every > 0).sum()))
+
+
+ANSWER = "block long, part int, role int, one binary, one_kept binary, two binary, two_kept binary, vocabulary long"
+FINE = "fine long, part int, crowd long, " + ", ".join(f"{k} binary, {k}_every binary, {k}_kept binary" for k in ("one", "two"))
+
+
+def _group_sums(fine: int, coarse: int, bits: int):
+    """A group's sums in a coarse range, dealt to its fine ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, columns = table["part"][0].as_py(), []
+        for name, wide in (("one", 64), ("two", bits)):
+            s = Sums.of_blocks(table, name)
+            edge = np.searchsorted(_part(s.keys, wide, coarse * fine), part * fine + np.arange(fine + 1))
+            columns += [pa.array([how(x[edge[f] : edge[f + 1]]) for f in range(fine)], pa.binary()) for how, x in ((pack_sorted, s.keys), (pack, s.every.astype(np.uint64)), (pack, s.kept.astype(np.uint64)))]
+        same = lambda x, kind: pa.array([x] * fine, kind)
+        return pa.Table.from_arrays([pa.array(part * fine + np.arange(fine)), same(part, pa.int32()), same(table["crowd"][0].as_py(), pa.int64()), *columns], names=[x.split()[0] for x in FINE.split(", ")])
+
+    return run
+
+
+TOTAL = "fine long, part int, crowd long, one_every binary, one_kept binary, two_every binary, two_kept binary, vocabulary long"
+
+
+def _fine_totals(table: pa.Table) -> pa.Table:
+    """Adds up a fine range's sums over all groups; a row for every group that asked."""
+    n, out, known = table.num_rows, [], 0
     for name in ("one", "two"):
-        keys = [unpack_sorted(x) for x in table[name].to_pylist()]
-        counts = [unpack(x, np.uint32) for x in table[f"n_{name}"].to_pylist()]
-        size = np.array([len(k) for k in keys])
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        n, by = np.concatenate(counts).astype(np.float64), np.repeat(role, size)
-        every = np.bincount(place, n * (by != SCORE), len(distinct))
-        kept = np.bincount(place, n * (by == ESTIMATE), len(distinct))
-        known = int((every > 0).sum()) if name == "one" else known
-        edges = np.cumsum([0, *size])
-        answers = [[], []]
-        for i, r in enumerate(role.tolist()):
-            own = place[edges[i] : edges[i + 1]]
-            answers[0].append(pack(every[own].astype(np.uint32)))
-            answers[1].append(pack(kept[own].astype(np.uint32)) if r == FOLD else b"")
-        out += [pa.array(a, pa.binary()) for a in answers]
-    vocabulary = np.zeros(len(role), np.int64)
-    vocabulary[0] = known
-    return pa.Table.from_arrays([table["block"], table["part"], table["role"], *out, pa.array(vocabulary)], names=["block", "part", "role", "one", "one_kept", "two", "two_kept", "vocabulary"])
+        every, kept = ([unpack(x, np.uint64).astype(np.float64) for x in table[f"{name}_{k}"].to_pylist()] for k in ("every", "kept"))
+        s = Sums([unpack_sorted(x) for x in table[name].to_pylist()], every, kept)
+        known = int((s.every > 0).sum()) if name == "one" else known
+        out += [pa.array([pack(x[s.own(i)].astype(np.uint64)) for i in range(n)], pa.binary()) for x in (s.every, s.kept)]
+    vocabulary = np.zeros(n, np.int64)
+    vocabulary[:1] = known
+    return pa.Table.from_arrays([table["fine"], table["part"], table["crowd"], *out, pa.array(vocabulary)], names=[x.split()[0] for x in TOTAL.split(", ")])
+
+
+def _group_answers(asked: pa.Table, totals: pa.Table) -> pa.Table:
+    """A group's totals in a coarse range, sent to its blocks."""
+    if not asked.num_rows or not totals.num_rows:
+        return _answers(asked.slice(0, 0), {k: (Sums([np.zeros(0, U)], [np.zeros(0)], [np.zeros(0)]), np.zeros(0), np.zeros(0)) for k in ("one", "two")}, 0)
+    order, sums = np.argsort(np.asarray(totals["fine"])), {}
+    for name in ("one", "two"):
+        every, kept = (np.concatenate([unpack(x, np.uint64) for x in totals[f"{name}_{k}"].take(order).to_pylist()]) for k in ("every", "kept"))
+        sums[name] = Sums.of_blocks(asked, name), every, kept
+    return _answers(asked, sums, sum(totals["vocabulary"].to_pylist()))
+
+
+def totals(blocks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """The training counts of every block's n-grams."""
+    coarse = min(ranges, COARSE)
+    fine = math.ceil(ranges / coarse)
+    asked = blocks.mapInArrow(_requests(coarse, bits), "part int, block long, role int, one binary, n_one binary, two binary, n_two binary")
+    if fine == 1:
+        return asked.groupBy("part").applyInArrow(_totals, ANSWER)
+    crowds = math.ceil(blocks.count() / GROUP)
+    asked = checkpoint(asked.withColumn("crowd", F.pmod(F.xxhash64("block"), F.lit(crowds))))
+    sums = asked.groupBy("crowd", "part").applyInArrow(_group_sums(fine, coarse, bits), FINE)
+    added = checkpoint(sums.groupBy("fine").applyInArrow(_fine_totals, TOTAL))
+    return asked.groupBy("crowd", "part").cogroup(added.groupBy("crowd", "part")).applyInArrow(_group_answers, ANSWER)
 
 
 def _joined(answers: pa.Table, suffix: str) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +317,7 @@ def scored(docs: DataFrame) -> DataFrame:
     total = tokens.get(ESTIMATE, 0) + tokens.get(FOLD, 0)
     bits = min(64, max(40, sum(tokens.values()).bit_length() + SPARE_BITS))
     parts = max(LEAST_RANGES, math.ceil(sum(tokens.values()) / RANGE_KEYS))
-    asked = blocks.mapInArrow(_requests(parts, bits), "part int, block long, role int, one binary, n_one binary, two binary, n_two binary")
-    answers = checkpoint(asked.groupBy("part").applyInArrow(_totals, "block long, part int, role int, one binary, one_kept binary, two binary, two_kept binary, vocabulary long"))
+    answers = checkpoint(totals(blocks, parts, bits))
     vocabulary = answers.agg(F.sum("vocabulary")).first()[0] or 0
     uniform = 1 / (vocabulary + 1)
     fold_blocks, fold_answers = blocks.where(F.col("role") == FOLD), answers.where(F.col("role") == FOLD)
