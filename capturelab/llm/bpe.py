@@ -8,16 +8,18 @@ generations keeps the ids of text between spaces that a worker has seen: a full
 becomes the older, out of which what is asked for again moves to the younger.
 
 The vocabulary's size is fixed by its file, which is a parameter; it is sent to the tasks
-once as a broadcast. Null text is empty text: no ids, and the hash of no bytes.
+once as a broadcast. Null text is empty text: no ids, and the hash of no bytes. A long unbroken run
+costs its length times the logarithm of it and is kept in no memo. Repeated rows are each given their
+ids; an empty table has no rows. Columns besides doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import struct
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from xxhash import xxh3_64_intdigest
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MEMO = 160_000  # runs of text between spaces, and pieces, of a generation of the memo
+#: Runs of text between spaces, and pieces, of a generation of the memo; longer ones than LONGEST characters are not kept, so that its bytes are bounded too.
+MEMO, LONGEST = 240_000, 64
 #: A text is first cut where white space begins, which no match of the pattern crosses but for one space before other characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -87,45 +90,60 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    def prepare(self) -> None:
+        """What a worker makes for itself."""
+        self.cut, self.memo, self.older, self.pieces, self.older_pieces, self.ready = regex.compile(self.pattern), {}, {}, {}, {}, True
+        self.flat, self.size = np.frombuffer(b"".join(self.bytes), np.uint8), np.array([len(x) for x in self.bytes], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+
     def find(self, piece: bytes) -> int | None:
         p = self.hash.place(piece)
         return None if p < 0 else self.rank[p]
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a piece that is no token itself."""
-        union, part, n = self.union, [self.byte[x] for x in piece], len(piece)
+        union, part, n = self.union.get, [self.byte[x] for x in piece], len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := union.get((part[i] << 32) | part[i + 1])) is not None]
-        heapq.heapify(heap)
+        # the rank of each part's union with the next one; a heap entry whose rank is not its part's any more is stale
+        rank = [union((x << 32) | y, -1) for x, y in zip(part, part[1:])]
+        rank.append(-1)
+        heap = [(r << 32) | i for i, r in enumerate(rank) if r >= 0]
+        heapify(heap)
         while heap:
-            r, i, left, right = heapq.heappop(heap)
+            x = heappop(heap)
+            i, r = x & 0xFFFFFFFF, x >> 32
+            if rank[i] != r:
+                continue
             j = after[i]
-            if part[i] != left or j >= n or part[j] != right:
-                continue  # one of the two parts has been merged since
-            part[i], part[j] = r, -1
+            part[i], part[j], rank[j] = r, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (x := union.get((r << 32) | part[k])) is not None:
-                    heapq.heappush(heap, (x, i, r, part[k]))
-            if (h := before[i]) >= 0 and (x := union.get((part[h] << 32) | r)) is not None:
-                heapq.heappush(heap, (x, h, part[h], r))
+                rank[i] = x = union((r << 32) | part[k], -1)
+                if x >= 0:
+                    heappush(heap, (x << 32) | i)
+            else:
+                rank[i] = -1
+            if (h := before[i]) >= 0:
+                rank[h] = x = union((part[h] << 32) | r, -1)
+                if x >= 0:
+                    heappush(heap, (x << 32) | h)
         return [x for x in part if x >= 0]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
         if not self.ready:
-            self.cut, self.memo, self.older, self.pieces, self.older_pieces, self.ready = regex.compile(self.pattern), {}, {}, {}, {}, True
+            self.prepare()
         memo, runs = self.memo, _RUNS.findall(text)
         try:
             packed = b"".join([memo[p] for p in runs])
         except KeyError:
             if len(memo) > MEMO:
                 self.older, self.memo = memo, (memo := {})
-            older = self.older
+            older, long = self.older, {}
             for run in set(runs).difference(memo):
-                memo[run] = older[run] if run in older else b"".join([self.piece(p) for p in self.cut.findall(run)])
-            packed = b"".join([memo[p] for p in runs])
+                (memo if len(run) <= LONGEST else long)[run] = older[run] if run in older else b"".join([self.piece(p) for p in self.cut.findall(run)])
+            packed = b"".join([memo[p] if p in memo else long[p] for p in runs] if long else [memo[p] for p in runs])
         return np.frombuffer(packed, "<u4")
 
     def piece(self, piece: str) -> bytes:
@@ -138,15 +156,20 @@ class Vocabulary:
             r = self.find(raw)
             ids = [r] if r is not None else self.merged(raw)
             packed = struct.pack(f"<{len(ids)}I", *ids)
-        self.pieces[piece] = packed
+        if len(piece) <= LONGEST:
+            self.pieces[piece] = packed
         return packed
 
     def decode(self, ids: np.ndarray) -> bytes:
-        token = self.bytes
-        return b"".join([token[i] for i in ids.tolist()])
+        """The bytes of ids: each token's are taken from where they lie among all tokens'."""
+        if not self.ready:
+            self.prepare()
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.flat[np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[ids] - (end - size), size)].tobytes()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cut", "memo", "older", "pieces", "older_pieces")} | {"ready": False}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cut", "memo", "older", "pieces", "older_pieces", "flat", "size", "first")} | {"ready": False}
 
 
 def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None = None):

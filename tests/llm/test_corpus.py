@@ -115,12 +115,12 @@ def test_decontamination(spark, docs, empty):
     for size in (small, 40):  # the second size takes several blocks
         decontaminate.BLOCK_BYTES = size
         try:
-            found = decontaminate.longest_matches(docs, bench).mapInArrow(decontaminate._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+            found = decontaminate.longest_matches(docs, bench).mapInArrow(decontaminate._digest, decontaminate.DIGEST)
             assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == want
         finally:
             decontaminate.BLOCK_BYTES = small
     assert decontaminate.longest_matches(empty, bench).count() == 0
-    assert decontaminate.longest_matches(docs, bench.limit(0)).where("size(_found) > 0").count() == 0
+    assert decontaminate.longest_matches(docs, bench.limit(0)).where("size(found) > 0").count() == 0
 
 
 def test_quality_rules(docs, empty):
