@@ -14,7 +14,7 @@ def total(x: Column) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+    return F.try_divide(total(x), F.size(x))
 
 
 def quantile(ordered: Column, q: float) -> Column:

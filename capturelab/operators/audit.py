@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import labels as L
 
 FIELDS = ("min_db", "p01_db", "p05_db", "mean_db", "median_db", "p95_db", "p99_db", "max_db", "std_db", "p2p_db", "diff_p95", "diff_p99", "max_jump", "jump_ratio", "nonnegative_ratio", "boundary_ratio")
 ROBUST = ("mean_db", "median_db", "std_db", "p2p_db", "diff_p95")
 
 
 def signal_stats(captures: DataFrame, jump: float = 12.0) -> DataFrame:
-    """The captures without their signals, with 19 statistics rounded to 4 places."""
+    """The captures without their signals, with 19 statistics rounded to 4 places; those of an empty signal are null or 0."""
     x = captures.withColumn("_s", F.sort_array("signal")).withColumn("_d", A.steps(F.col("signal"))).withColumn("_e", F.sort_array("_d"))
     s, d, e, n = F.col("_s"), F.col("_d"), F.col("_e"), F.size("signal")
     low, high = F.get(s, 0), F.get(s, n - 1)
@@ -21,26 +22,59 @@ def signal_stats(captures: DataFrame, jump: float = 12.0) -> DataFrame:
     made = {
         "min_db": low, "p01_db": A.quantile(s, 0.01), "p05_db": A.quantile(s, 0.05), "mean_db": A.mean(s), "median_db": A.quantile(s, 0.5), "p95_db": A.quantile(s, 0.95), "p99_db": A.quantile(s, 0.99), "max_db": high,
         "std_db": A.std(s), "p2p_db": high - low, "diff_p95": F.coalesce(A.quantile(e, 0.95), F.lit(0.0)), "diff_p99": F.coalesce(A.quantile(e, 0.99), F.lit(0.0)), "max_jump": F.coalesce(F.get(e, n - 2), F.lit(0.0)),
-        "jump_ratio": F.when(n > 1, jumps / (n - 1)).otherwise(0.0), "nonnegative_ratio": A.matching(s, lambda v: v >= 0) / n, "boundary_ratio": F.greatest(A.matching(s, lambda v: v == low), A.matching(s, lambda v: v == high)) / n,
+        "jump_ratio": F.when(n > 1, jumps / (n - 1)).otherwise(0.0), "nonnegative_ratio": F.try_divide(A.matching(s, lambda v: v >= 0), n), "boundary_ratio": F.try_divide(F.greatest(A.matching(s, lambda v: v == low), A.matching(s, lambda v: v == high)), n),
     }
     counts = [n.cast("long").alias("n"), jumps.cast("long").alias("jump_count"), F.size(F.array_distinct("signal")).cast("long").alias("unique_values")]
     return x.select(*[c for c in captures.columns if c != "signal"], *counts, *(F.round(v, 4).alias(k) for k, v in made.items()))
 
 
-def issues(stats: DataFrame, no_signal_db: float | None = None) -> DataFrame:
+def issues(stats: DataFrame, no_signal_db: float | None = None, jump: float = 12.0) -> DataFrame:
     """One row for each rule that a capture breaks; rules compare the rounded statistics."""
     c = F.col
     rules = [
-        ("warning", "flat_or_nearly_flat", (c("std_db") <= 0.05) | (c("p2p_db") <= 0.5)),
-        ("warning", "implausible_db_range", (c("min_db") < -160) | (c("max_db") > 10)),
-        ("info", "nonnegative_db_values", c("nonnegative_ratio") > 0),
-        ("warning", "possible_clipping", (c("boundary_ratio") >= 0.10) & (c("unique_values") > 1)),
-        ("info", "large_db_jump", c("jump_count") > 0),
+        ("error", "flat_or_nearly_flat", (c("std_db") <= 0.05) | (c("p2p_db") <= 0.5), "std_db"),
+        ("error", "implausible_db_range", (c("min_db") < -160) | (c("max_db") > 10), "min_db"),
+        ("error", "nonnegative_db_values", c("nonnegative_ratio") > 0, "nonnegative_ratio"),
+        ("review", "possible_clipping", (c("boundary_ratio") >= 0.10) & (c("unique_values") > 1), "boundary_ratio"),
+        ("review", "large_db_jump", c("max_jump") >= jump, "max_jump"),
     ]
     if no_signal_db is not None:
-        rules.append(("warning", "possible_no_signal", c("p95_db") < no_signal_db))
-    found = F.array(*(F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("type"))) for s, t, test in rules))
-    return stats.select("file", "group", "condition_path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("i.severity", "i.type", "file", "group", "condition_path")
+        rules.append(("review", "possible_no_signal", c("p95_db") <= no_signal_db, "p95_db"))
+    found = F.array(*(F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("type"), F.concat(F.lit(f"{d}="), F.col(d).cast("string")).alias("detail"))) for s, t, test, d in rules))
+    return stats.select("file", "group", "condition_path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("i.severity", "i.type", "file", "group", "condition_path", "i.detail")
+
+
+def issue_table(rows: DataFrame, parsed: DataFrame, no_signal_db: float | None = None, expected_length: int | None = None, z: float = 5.0) -> DataFrame:
+    """Every issue of an index (file, group, condition_path, label) and its parsed captures, of one file or of the corpus: severity, type, file, group, condition_path, detail. The statistics are kept, for each kind of issue reads them."""
+    x = rows.select("file", "group", "condition_path", "label").join(parsed.select("file", "signal", "discarded_nonfinite_count", "parse_error"), "file")
+    marked = x.withColumn("fingerprint", fingerprint(F.col("signal"))).withColumn("signal", F.transform("signal", lambda v: v.cast("double")))
+    x = signal_stats(marked).persist()
+    good = x.where("parse_error is null")
+    stats = good
+    row = lambda severity, kind, df, detail: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), "file", "group", "condition_path", detail.alias("detail"))
+    out = issues(stats, no_signal_db)
+    out = out.unionByName(row("error", "parse_failure", x.where("parse_error is not null"), F.col("parse_error")))
+    out = out.unionByName(row("error", "nonfinite_values", good.where("discarded_nonfinite_count > 0"), F.concat(F.lit("discarded_nonfinite_count="), F.col("discarded_nonfinite_count"))))
+    mode = modal_length(stats) if expected_length is None else stats.where(F.col("n") != expected_length).select("file", "n", F.lit(expected_length).alias("mode"))
+    places = stats.select("file", "group", "condition_path")
+    out = out.unionByName(row("error", "length_mismatch", mode.join(places, "file"), F.concat(F.lit("num_samples="), F.col("n"), F.lit(", expected="), F.col("mode"))))
+    twice = repeated_across(good.select("file", F.col("label").alias("group"), "fingerprint")).select("file", "copies")
+    out = out.unionByName(row("error", "duplicate_across_labels", twice.join(places, "file"), F.concat(F.lit("duplicate_count="), F.col("copies"))))
+    return out.unionByName(row("review", "condition_outlier", condition_outliers(stats, z), F.concat(F.col("metric"), F.lit(" robust_z="), F.col("robust_z"))))
+
+
+def counts(rows: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(section, key, n) of an index and its parsed captures: files, parsed, failed, source roots, groups, labels, ratios, conditions, groups by ratio, lengths and layouts."""
+    x = rows.select("file", "source_root", "group", "label", "condition_path").join(parsed.select("file", F.size("signal").alias("size"), "has_data_marker", "parse_error"), "file", "left")
+    ratio, good = L.ratio(F.col("condition_path")), F.col("has_data_marker").isNotNull() & F.col("parse_error").isNull()
+    place = F.when(F.col("condition_path") == "", "(none)").otherwise(F.col("condition_path"))
+    keys = {
+        "discovered_files": F.lit(""), "parsed_files": F.when(good, ""), "parse_failed_files": F.when(~good, ""), "source_root": F.col("source_root"), "group": F.col("group"), "label": F.col("label"), "ratio": ratio,
+        "condition": F.concat_ws(" | ", "group", place), "group_ratio": F.concat_ws(" | ", F.col("group"), F.coalesce(ratio, F.lit("(none)"))), "length": F.when(good, F.col("size").cast("string")),
+        "layout": F.when(good, F.when(F.col("has_data_marker"), "with_DATA_marker").otherwise("legacy_without_DATA_marker")),
+    }
+    long = x.select(F.explode(F.array(*(F.struct(F.lit(s).alias("section"), k.alias("key")) for s, k in keys.items()))).alias("x")).select("x.*").where("key is not null")
+    return long.groupBy("section", "key").agg(F.count("*").alias("n"))
 
 
 def issue_counts(issue_rows: DataFrame) -> DataFrame:
@@ -82,8 +116,17 @@ def condition_outliers(stats: DataFrame, z: float = 5.0, least: int = 8) -> Data
     return mad.where((F.col("size") >= least) & (F.col("mad") >= 1e-8)).withColumn("z", score).where(F.col("z") >= z).select("file", "group", "condition_path", "metric", F.round("z", 6).alias("robust_z"))
 
 
-def duplicates_across_labels(captures: DataFrame) -> DataFrame:
-    """Captures whose very signal also occurs under another label; only hashes are shuffled."""
-    marked = captures.select("file", "group", F.sha1(F.concat_ws(",", F.transform("signal", lambda v: v.cast("string"))).cast("binary")).alias("fingerprint"))
+def fingerprint(signal):
+    """A hash of a signal's values."""
+    return F.sha1(F.concat_ws(",", F.transform(signal, lambda v: v.cast("string"))).cast("binary"))
+
+
+def repeated_across(marked: DataFrame) -> DataFrame:
+    """(file, group, copies, labels) of rows (file, group, fingerprint) whose fingerprint also occurs in another group."""
     twice = marked.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.count_distinct("group").alias("labels")).where("copies > 1 and labels > 1")
     return marked.join(twice, "fingerprint").select("file", "group", "copies", "labels")
+
+
+def duplicates_across_labels(captures: DataFrame) -> DataFrame:
+    """Captures whose very signal also occurs under another label; only hashes are shuffled."""
+    return repeated_across(captures.select("file", "group", fingerprint(F.col("signal")).alias("fingerprint")))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..functions.labels import combo
 
 
-def decided(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """scores with pred and the flags exact, over and under; probabilities are compared as 32-bit floats."""
-    t = F.lit(threshold).cast("float")
-    pred = F.transform("prob", lambda p: (p.cast("float") >= t).cast("int"))
+def decided(scores: DataFrame, threshold: float | list[float] = 0.5) -> DataFrame:
+    """scores with pred and the flags exact, over and under; probabilities are compared with one threshold or one for each class as 32-bit floats."""
+    several = F.array(*(F.lit(t).cast("float") for t in (threshold if isinstance(threshold, list) else [threshold])))
+    of = (lambda i: F.get(several, i)) if isinstance(threshold, list) else (lambda i: F.get(several, 0))
+    pred = F.transform("prob", lambda p, i: (p.cast("float") >= of(i)).cast("int"))
     x = scores.withColumn("pred", pred)
     over = F.exists(F.zip_with("pred", "target", lambda p, y: p > y), lambda v: v)
     under = F.exists(F.zip_with("pred", "target", lambda p, y: p < y), lambda v: v)
@@ -67,9 +68,15 @@ def accuracy_by(rows: DataFrame, by: str, expected: list[str]) -> DataFrame:
     return got.join(F.broadcast(keys), by, "full").select(by, F.coalesce("n", F.lit(0)).alias("n"), F.round(_ratio(F.coalesce("correct", F.lit(0)), F.coalesce("n", F.lit(0))), 9).alias("accuracy"))
 
 
+#: A grid of more points than this is refused; search it by class or with a wider step.
+MOST_POINTS = 1_000_000
+
+
 def threshold_search(scores: DataFrame, classes: int, start: float, end: float, step: float) -> DataFrame:
     """Exact match and micro F1 of every combination of per-class thresholds. Rows are first counted by the bins that decide them, so the grid meets a table of bounded size."""
     n = int(round((end - start) / step)) + 1
+    if n**classes > MOST_POINTS:
+        raise ValueError(f"a grid of {n}^{classes} points")
     grid = [round(start + i * step, 10) for i in range(n)]
     steps = F.array(*(F.lit(g).cast("float") for g in grid))
     bins = scores.select(F.transform("prob", lambda p: F.size(F.filter(steps, lambda g: p.cast("float") >= g))).alias("bin"), "target").groupBy("bin", "target").agg(F.count("*").alias("w"))
@@ -88,6 +95,19 @@ def threshold_search(scores: DataFrame, classes: int, start: float, end: float,
     return out.select(*(value(k) for k in range(classes)), F.round(F.col("exact") / F.col("n"), 9).alias("exact_match"), F.round(_ratio(2 * F.col("tp"), F.col("both")), 9).alias("micro_f1"))
 
 
+def ranked(search: DataFrame, metric: str, classes: int, most: int | None = None) -> DataFrame:
+    """The grid points of a search by a metric, the best first and equals in the grid's order, with place; the first `most` if given."""
+    order = [F.desc(metric), *(f"t{k}" for k in range(classes))]
+    best = search.orderBy(*order).limit(most) if most else search
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def source_counts(rows: DataFrame) -> DataFrame:
+    """decided rows with the numbers of true and predicted classes."""
+    ones = lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v)
+    return rows.withColumns({"true_sources": ones("target"), "pred_sources": ones("pred")})
+
+
 def open_set(scores: DataFrame, threshold: float, unknown: float) -> DataFrame:
     """known, uncertain (nothing over the threshold) or unknown (not even over the lower one)."""
     top = F.array_max("prob")

@@ -6,45 +6,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(vectors: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
-    """(id, neighbour, similarity, place): the k most similar other vectors of every vector by cosine; of equals, the smaller id.
+def nearest(vectors: DataFrame, k: int, block_rows: int = 2048, metric: str = "cosine") -> DataFrame:
+    """(id, neighbour, similarity, place): the k most similar other vectors of every vector by cosine, or by metric `rms` (the negated root mean square of differences); of equals, the smaller id.
 
-    vectors: id long, v array<float>. Rows are dealt to blocks by a hash of the id; every pair of blocks meets in one
-    task, which keeps k candidates a row, and the candidates of a row are then merged.
+    vectors: id long, v array<float>. Rows are dealt to blocks by a hash of the id; every two blocks meet once, in one
+    task, which keeps k candidates a row of both, and the candidates of a row are then merged.
     """
     blocks = max(1, -(-vectors.count() // block_rows))
     dealt = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    pairs = F.array(*map(F.lit, range(blocks)))
-    left = dealt.select("id", "v", F.col("block").alias("i"), F.explode(pairs).alias("j"), F.lit(0).alias("side"))
-    right = dealt.select("id", "v", F.explode(pairs).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    other = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    met = other.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "id", "v")
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            return np.round(a @ b.T, 9)
+        apart = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+        return -np.round(np.sqrt(np.maximum(apart, 0) / max(a.shape[1], 1)), 9)
+
+    def top(s: np.ndarray, mine: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
+        """The k best columns of each row, by value, then by id; `others` is in order."""
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        row, near = np.repeat(np.arange(len(mine)), best.shape[1]), best.ravel()
+        ok = np.isfinite(s[row, near])
+        return [mine[row[ok]], others[near[ok]], s[row[ok], near[ok]]]
 
     def best(t: pa.Table) -> pa.Table:
-        ids, side = np.asarray(t["id"]), np.asarray(t["side"])
-        v = np.array(t["v"].to_pylist(), np.float64).reshape(len(ids), -1)
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b[np.argsort(ids[b])]
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if len(a) and len(b):
-            s = np.round(v[a] @ v[b].T, 9)
-            s[ids[a][:, None] == ids[b][None, :]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(a)), top.shape[1])
-            near = top.ravel()
-            ok = np.isfinite(s[row, near])
-            out = [ids[a][row[ok]], ids[b][near[ok]], s[row[ok], near[ok]]]
-        return pa.Table.from_arrays([pa.array(x) for x in out], names=["id", "neighbour", "similarity"])
-
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(best, "id long, neighbour long, similarity double")
+        t = t.combine_chunks()
+        ids, side, flat = np.asarray(t["id"]), np.asarray(t["side"]), np.asarray(t["v"].chunk(0).flatten()).astype(np.float64)
+        v = flat.reshape(len(ids), -1)
+        if metric == "cosine":
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        order = np.argsort(ids, kind="stable")
+        a, b = order[~side[order]], order[side[order]]
+        within = t["i"][0] == t["j"][0]
+        s = close(v[a], v[a if within else b])
+        if within:
+            np.fill_diagonal(s, -np.inf)
+        found = [top(s, ids[a], ids[a if within else b])] + ([] if within else [top(s.T, ids[b], ids[a])])
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["id", "neighbour", "similarity"])
+
+    found = met.groupBy("i", "j").applyInArrow(best, "id long, neighbour long, similarity double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def categories(near: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each vector's share of neighbours with its own label and its category. isolated (the k-th distance beyond Q3 + 3 IQR of its label) wins over typical, boundary and other-dominated."""
+def profiles(near: DataFrame) -> DataFrame:
+    """(id, nearest, radius): the distances of the first and of the last neighbour of `nearest` by rms."""
+    return near.groupBy("id").agg(F.round(F.min(-F.col("similarity")), 6).alias("nearest"), F.round(F.max(-F.col("similarity")), 6).alias("radius"))
+
+
+def categories(near: DataFrame, labels: DataFrame, one: float = 1.0) -> DataFrame:
+    """Each vector's share of neighbours with its own label and its category. isolated (the k-th distance beyond Q3 + 3 IQR of its label) wins over typical, boundary and other-dominated. A distance is `one` less the similarity: 1 for cosine, 0 for rms."""
     mine, other = labels.select("id", "label"), labels.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
     x = near.join(mine, "id").join(other, "neighbour")
-    rows = x.groupBy("id", "label").agg(F.avg((F.col("label") == F.col("other")).cast("int")).alias("own"), F.max(1 - F.col("similarity")).alias("radius"))
+    rows = x.groupBy("id", "label").agg(F.avg((F.col("label") == F.col("other")).cast("int")).alias("own"), F.max(F.lit(one) - F.col("similarity")).alias("radius"))
     w = Window.partitionBy("label")
     q = lambda p: F.percentile("radius", F.lit(p)).over(w)
     fenced = rows.withColumn("fence", q(0.75) + 3 * (q(0.75) - q(0.25)))

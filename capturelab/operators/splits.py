@@ -11,6 +11,18 @@ def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
 
 
+def stratum_rank(rows: DataFrame, key: str, strata: list[str], seed: int = 42) -> DataFrame:
+    """rows with _rank, the place in the seeded order of their stratum, and _size, its rows. Ranks are those within 4,096 ranges of the order, after the counts of the ranges before, so that a large stratum is no single task."""
+    placed = rows.withColumn("_order", order_key(seed, F.col(key))).withColumn("_range", F.substring("_order", 1, 3))
+    sizes = placed.groupBy(*strata, "_range").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*strata)
+    before = sizes.select(*(F.col(c).alias(f"_by_{c}") for c in strata), F.col("_range").alias("_part"), (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_size"))
+    within = F.row_number().over(Window.partitionBy(*strata, "_range").orderBy("_order", key))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in strata]
+    joined = placed.withColumn("_within", within).join(before, [F.col("_range") == F.col("_part"), *same])
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_within")).alias("_rank"), "_size")
+
+
 def split_counts(n: Column, ratios=(0.7, 0.15, 0.15)) -> Column:
     """An array: largest-remainder counts of train, val and test; ties go to the earlier. With n >= 3 an empty split takes one from the largest."""
     floors = [F.floor(n * r + 1e-9) for r in ratios]
@@ -35,12 +47,9 @@ def _moved(c: Column, i: int) -> Column:
 
 
 def stratified_split(rows: DataFrame, key: str, strata: list[str], ratios=(0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """rows with a column split. Sizes of strata come from a small aggregate that is joined back."""
-    sizes = rows.groupBy(*strata).agg(F.count("*").alias("_n"))
-    cuts = sizes.withColumn("_c", split_counts(F.col("_n"), ratios)).select(*(F.col(c).alias(f"_{c}") for c in strata), F.get("_c", 0).alias("_train"), (F.get("_c", 0) + F.get("_c", 1)).alias("_val"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata]
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(order_key(seed, F.col(key)), key))
-    ranked = rows.withColumn("_rank", rank).join(cuts, same)
+    """rows with a column split."""
+    ranked = stratum_rank(rows, key, strata, seed).withColumn("_c", split_counts(F.col("_size"), ratios))
+    ranked = ranked.withColumns({"_train": F.get("_c", 0), "_val": F.get("_c", 0) + F.get("_c", 1)})
     split = F.when(F.col("_rank") <= F.col("_train"), "train").when(F.col("_rank") <= F.col("_val"), "val").otherwise("test")
     return ranked.select(*rows.columns, split.alias("split"))
 
@@ -50,14 +59,35 @@ def quota(rows: DataFrame, key: str, by: str, limits: dict[str, int], default: i
     most = F.lit(default)
     for k, n in limits.items():
         most = F.when(F.col(by) == k, n).otherwise(most)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order_key(seed, F.col(key)), key))
-    return rows.withColumn("selected", rank <= most)
-
-
-def nested_subsets(rows: DataFrame, key: str, by: str, sizes: list[int], seed: int = 42) -> DataFrame:
-    """For each group and size, how many rows there are and how many the size takes; larger subsets contain smaller ones."""
-    groups = rows.groupBy(by).agg(F.count("*").alias("available"))
-    return groups.select(by, "available", F.explode(F.array(*map(F.lit, sizes))).alias("requested")).select(by, "available", "requested", F.least("available", "requested").alias("actual"), (F.col("available") < F.col("requested")).alias("limited"))
+    return stratum_rank(rows, key, [by], seed).withColumn("selected", F.col("_rank") <= most).select(*rows.columns, "selected")
+
+
+def holdout_counts(n: Column, val: float, test: float) -> tuple[Column, Column]:
+    """How many of n rows are held out for val and test: shares rounded half to even, at least one each of three rows or more, and less while nothing is left to train on (val first if it is not smaller)."""
+    v, t = F.bround(n * F.lit(val)).cast("long"), F.bround(n * F.lit(test)).cast("long")
+    v, t = F.when(n >= 3, F.greatest(v, F.lit(1))).otherwise(v), F.when(n >= 3, F.greatest(t, F.lit(1))).otherwise(t)
+    pair = F.struct(v.alias("v"), t.alias("t"))
+    for _ in range(3):  # val + test < 1, so rounding up leaves at most two too many, and a floor of one one more
+        pair = let(pair, lambda p: F.when(p["v"] + p["t"] < n, p).when(p["v"] + p["t"] == 0, p).when((p["v"] >= p["t"]) & (p["v"] > 0), F.struct((p["v"] - 1).alias("v"), p["t"].alias("t"))).otherwise(F.struct(p["v"].alias("v"), (p["t"] - 1).alias("t"))))
+    return pair["v"], pair["t"]
+
+
+def nested_subsets(rows: DataFrame, key: str, by: str, sizes: list[int], val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
+    """rows with split (val, test or train, cut in seeded order in each group) and smallest: the smallest of the sizes whose training subset takes the row, null beyond all. A larger subset thus contains the smaller ones, and val and test are the same for all."""
+    v, t = holdout_counts(F.col("_size"), val, test)
+    ranked = stratum_rank(rows, key, [by], seed).withColumns({"_val": v, "_test": t})
+    rank = F.col("_rank")
+    split = F.when(rank <= F.col("_val"), "val").when(rank <= F.col("_val") + F.col("_test"), "test").otherwise("train")
+    smallest = F.lit(None).cast("int")
+    for s in sorted(sizes, reverse=True):
+        smallest = F.when(rank - F.col("_val") - F.col("_test") <= s, s).otherwise(smallest)
+    return ranked.withColumn("split", split).select(*rows.columns, "split", F.when(F.col("split") == "train", smallest).alias("smallest"))
+
+
+def subset_manifest(subsets: DataFrame, by: str, sizes: list[int]) -> DataFrame:
+    """For each group and size: all rows, those to train on, how many the size takes, and whether it is limited by what there is."""
+    groups = subsets.groupBy(by).agg(F.count("*").alias("total"), F.count(F.when(F.col("split") == "train", 1)).alias("available"))
+    return groups.select(by, "total", "available", F.explode(F.array(*map(F.lit, sizes))).alias("requested")).select("*", F.least("available", "requested").alias("actual"), (F.col("available") < F.col("requested")).alias("limited"))
 
 
 def first_per_group(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:

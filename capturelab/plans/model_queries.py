@@ -117,7 +117,7 @@ QUERIES = {
     "positive_weights": lambda s, d: decoding.positive_weights(_label_rows(s, d)),
     "spectral_stats": _spectral,
     "normalized_signals": _normalized,
-    "pair_metrics": lambda s, d: redundancy.pair_summary(_vectors(s, d), SEED, 2000),
+    "pair_metrics": lambda s, d: redundancy.pair_summary(_vectors(s, d), SEED, 20000),
     "population_variation": lambda s, d: redundancy.population(neighbors.point_statistics(_vectors(s, d))),
     "pca_dimensions": _dimensions,
     "coverage_curve": lambda s, d: redundancy.coverage(_vectors(s, d), SEED),
@@ -213,7 +213,7 @@ ORACLES = {
     "positive_weights": "WITH x AS (SELECT CAST(0 AS INT) AS class_id, quality AS y FROM labels UNION ALL SELECT 1, toxic FROM labels) SELECT class_id, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1-y) AS BIGINT) AS neg, round(CAST(sum(1-y) AS DOUBLE)/greatest(sum(y),1),9) AS pos_weight FROM x GROUP BY class_id",
     "spectral_stats": _FFT,
     "normalized_signals": _CAP + _FIXED.format(pad="med") + "SELECT file, CAST(pos AS INT) AS pos, round(z,6) AS x FROM z",
-    "pair_metrics": _VEC + f""", d AS (SELECT {_DRAW.format("a", "i")} % n AS a, {_DRAW.format("b", "i")} % n AS b FROM (SELECT unnest(range(0,(SELECT least(2000,n*(n-1)//2) FROM c))) AS i), c),
+    "pair_metrics": _VEC + f""", d AS (SELECT {_DRAW.format("a", "i")} % n AS a, {_DRAW.format("b", "i")} % n AS b FROM (SELECT unnest(range(0,(SELECT least(20000,n*(n-1)//2) FROM c))) AS i), c),
   p AS (SELECT oa.v AS x, ob.v AS y FROM d JOIN o oa ON oa.place=d.a JOIN o ob ON ob.place=d.b WHERE d.a<>d.b),
   m AS (SELECT sqrt(list_avg([(x[i]-y[i])*(x[i]-y[i]) FOR i IN range(1,65)])) AS rmse, list_avg([abs(x[i]-y[i]) FOR i IN range(1,65)]) AS mae, [u-list_avg(x) FOR u IN x] AS xc, [u-list_avg(y) FOR u IN y] AS yc FROM p),
   r AS (SELECT rmse, mae, list_cosine_similarity(xc,yc) AS corr FROM m), s AS (SELECT greatest(quantile_cont(CAST(list_max(embedding)-list_min(embedding) AS DOUBLE),5e-1),1e-12) AS sc FROM embeddings)

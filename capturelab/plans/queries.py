@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import audit, metrics, neighbors, splits
 from ..sources.captures import parsed
-from . import late_queries, model_queries, views
+from . import index_queries, late_queries, model_queries, views
 
 CLASSES = ["source_1", "source_3", "source_5"]
 GROUPS = ["1", "2", "3", "4", "5", "6", "7", "8"]
@@ -69,19 +69,18 @@ def _distribution(s, d):
 QUERIES = {
     "signal_stats": _stats,
     "signal_stats_by_group": lambda s, d: audit.summary_by(_stats(s, d)),
-    "signal_issues": lambda s, d: audit.issues(_stats(s, d), no_signal_db=-40.0),
+    "signal_issues": lambda s, d: audit.issues(_stats(s, d), no_signal_db=-40.0).drop("detail"),
     "issue_counts": lambda s, d: audit.issue_counts(audit.issues(_stats(s, d), no_signal_db=-40.0)),
     "length_mismatch": lambda s, d: audit.modal_length(_stats(s, d)),
     "recommended_preprocessing": lambda s, d: audit.recommended(_stats(s, d)),
     "condition_outliers": lambda s, d: audit.condition_outliers(_stats(s, d), z=3.5),
-    "duplicates_across_labels": lambda s, d: audit.duplicates_across_labels(views.table(s, d, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("group"), F.array(F.length("text").cast("double")).alias("signal"))),
+    "duplicates_across_labels": lambda s, d: audit.duplicates_across_labels(views.table(s, d, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("group"), F.split("text", "").alias("signal"))),
     "parse_captures": _parsed_text,
     "group_labels": _group_labels,
     "path_parts": _paths,
     "index_summary": _index_summary,
     "stratified_split": lambda s, d: splits.stratified_split(views.index(s, d), "file", ["group", "ratio"]).select("file", "group", "ratio", "split"),
     "quota_selection": lambda s, d: splits.quota(views.index(s, d), "file", "group", {"1-URGENT": 100, "5-LOW": 50}, 80),
-    "nested_subsets": lambda s, d: splits.nested_subsets(views.index(s, d), "file", "group", [100, 1000, 3000]),
     "first_per_group": lambda s, d: splits.first_per_group(views.index(s, d), "group", "file", 7),
     "combo_weights": lambda s, d: splits.combo_weights(views.table(s, d, "labels").select(F.concat(F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("combo")), "combo"),
     "label_distribution": _distribution,
@@ -111,12 +110,12 @@ st AS (SELECT file, any_value("group") AS "group", any_value(ratio) || '/600MHz'
   round(CAST(greatest(count(*) FILTER (x=lo), count(*) FILTER (x=hi)) AS DOUBLE)/count(*),4) AS boundary_ratio FROM e GROUP BY file)
 """
 _ISS = _CAP + """, iss AS (SELECT * FROM (
-  SELECT 'warning' AS severity, 'flat_or_nearly_flat' AS type, file, "group", condition_path FROM st WHERE std_db<=5e-2 OR p2p_db<=5e-1
-  UNION ALL SELECT 'warning','implausible_db_range',file,"group",condition_path FROM st WHERE min_db < -160 OR max_db > 10
-  UNION ALL SELECT 'info','nonnegative_db_values',file,"group",condition_path FROM st WHERE nonnegative_ratio>0
-  UNION ALL SELECT 'warning','possible_clipping',file,"group",condition_path FROM st WHERE boundary_ratio>=1e-1 AND unique_values>1
-  UNION ALL SELECT 'info','large_db_jump',file,"group",condition_path FROM st WHERE jump_count>0
-  UNION ALL SELECT 'warning','possible_no_signal',file,"group",condition_path FROM st WHERE p95_db < -40))
+  SELECT 'error' AS severity, 'flat_or_nearly_flat' AS type, file, "group", condition_path FROM st WHERE std_db<=5e-2 OR p2p_db<=5e-1
+  UNION ALL SELECT 'error','implausible_db_range',file,"group",condition_path FROM st WHERE min_db < -160 OR max_db > 10
+  UNION ALL SELECT 'error','nonnegative_db_values',file,"group",condition_path FROM st WHERE nonnegative_ratio>0
+  UNION ALL SELECT 'review','possible_clipping',file,"group",condition_path FROM st WHERE boundary_ratio>=1e-1 AND unique_values>1
+  UNION ALL SELECT 'review','large_db_jump',file,"group",condition_path FROM st WHERE max_jump>=12
+  UNION ALL SELECT 'review','possible_no_signal',file,"group",condition_path FROM st WHERE p95_db <= -40))
 """
 _SC = """WITH s AS (SELECT vec_id AS file, CAST(label % 7 + 1 AS VARCHAR) AS "group", label % 7 + 1 AS y, [1/(1+exp(-8*CAST(embedding[i] AS DOUBLE))) FOR i IN [1,2,3]] AS prob FROM embeddings),
 k AS (SELECT *, [CAST((y >> (3-i)) & 1 AS INT) FOR i IN [1,2,3]] AS target FROM s)
@@ -156,7 +155,7 @@ ORACLES = {
   o AS (SELECT m.*, ce, sz, abs(v-ce) AS off FROM m JOIN c USING ("group", condition_path, metric)),
   a AS (SELECT "group", condition_path, metric, quantile_cont(off,5e-1) AS mad FROM o GROUP BY ALL)
   SELECT file, "group", condition_path, metric, round(6744897501960817e-16*off/mad,6) AS robust_z FROM o JOIN a USING ("group", condition_path, metric) WHERE sz>=8 AND mad>=1e-8 AND 6744897501960817e-16*off/mad >= 35e-1""",
-    "duplicates_across_labels": "WITH x AS (SELECT doc_id AS file, source AS \"group\", length(text) AS k FROM documents), t AS (SELECT k, count(*) AS copies, count(DISTINCT \"group\") AS labels FROM x GROUP BY k HAVING count(*)>1 AND count(DISTINCT \"group\")>1) SELECT file, \"group\", copies, labels FROM x JOIN t USING (k)",
+    "duplicates_across_labels": "WITH x AS (SELECT doc_id AS file, source AS \"group\", text AS k FROM documents), t AS (SELECT k, count(*) AS copies, count(DISTINCT \"group\") AS labels FROM x GROUP BY k HAVING count(*)>1 AND count(DISTINCT \"group\")>1) SELECT file, \"group\", copies, labels FROM x JOIN t USING (k)",
     "parse_captures": "SELECT event_type || '/' || user_id AS file, true AS has_data_marker, CAST(2 AS INT) AS data_marker_line, count(*) AS n, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE) ORDER BY ts, event_id),3) AS total, CAST(NULL AS VARCHAR) AS parse_error FROM events GROUP BY event_type, user_id",
     "group_labels": """WITH x AS (SELECT doc_id, CASE WHEN doc_id%11=0 THEN 'unknown_x' WHEN doc_id%3=0 THEN 'source_'||(doc_id%6) ELSE 'source_'||(doc_id%6)||'_source_'||(doc_id%4)||'_mix' END AS "group" FROM documents),
   t AS (SELECT *, regexp_extract_all("group", 'source_\\d+') AS tk FROM x),
@@ -166,7 +165,6 @@ ORACLES = {
     "index_summary": _IDX + """SELECT 1 AS level, "group", '*' AS ratio, count(*) AS n FROM x GROUP BY "group" UNION ALL SELECT 2, '*', ratio, count(*) FROM x GROUP BY ratio UNION ALL SELECT 0, "group", ratio, count(*) FROM x GROUP BY "group", ratio UNION ALL SELECT 3, '*', '*', count(*) FROM x""",
     "stratified_split": _IDX + ", " + _SPLIT.format(by='"group", ratio', key="file") + ' SELECT file, "group", ratio, split FROM z',
     "quota_selection": _IDX + """SELECT file, "group", ratio, row_number() OVER (PARTITION BY "group" ORDER BY md5('42|' || CAST(file AS VARCHAR)), file) <= CASE "group" WHEN '1-URGENT' THEN 100 WHEN '5-LOW' THEN 50 ELSE 80 END AS selected FROM x""",
-    "nested_subsets": _IDX + """, c AS (SELECT "group", count(*) AS available FROM x GROUP BY 1) SELECT "group", available, CAST(s AS INT) AS requested, least(available, s) AS actual, available < s AS limited FROM c, (SELECT unnest([100,1000,3000]) AS s)""",
     "first_per_group": _IDX + """SELECT file, "group", ratio FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY file) AS r FROM x) WHERE r<=7""",
     "combo_weights": "SELECT CAST(quality AS VARCHAR)||CAST(toxic AS VARCHAR) AS combo, count(*) AS n, round(1e0/count(*),9) AS weight FROM labels GROUP BY 1",
     "label_distribution": "WITH x AS (SELECT *, CAST(quality AS VARCHAR)||CAST(toxic AS VARCHAR) AS combo FROM labels), " + _SPLIT.format(by="combo", key="doc_id") + " SELECT split, combo, count(*) AS n FROM z GROUP BY ALL UNION ALL SELECT 'overall', combo, count(*) FROM z GROUP BY combo",
@@ -189,5 +187,7 @@ r AS (SELECT *, pred = target AS exact, pred[1]>target[1] OR pred[2]>target[2] O
     "point_statistics": "WITH x AS (SELECT CAST(i-1 AS INT) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1,65) u(i)) SELECT pos, round(avg(x),6) AS mean, round(stddev_pop(x),6) AS std, round(quantile_cont(x,5e-2),6) AS p05, round(quantile_cont(x,95e-2),6) AS p95 FROM x GROUP BY pos",
 }
 
-QUERIES |= model_queries.QUERIES | late_queries.QUERIES
-ORACLES |= model_queries.ORACLES | late_queries.ORACLES
+QUERIES |= model_queries.QUERIES | late_queries.QUERIES | index_queries.QUERIES
+ORACLES |= model_queries.ORACLES | late_queries.ORACLES | index_queries.oracles()
+ORACLES["metrics_on_indices"] = ORACLES["metrics_on_indices"].format(metrics=_MET)
+ORACLES["ranked_thresholds"] = f"SELECT *, CAST(row_number() OVER (ORDER BY exact_match DESC, t0, t1, t2) AS INT) AS place FROM ({ORACLES['threshold_search']}) ORDER BY place LIMIT 20"

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from capturelab.functions import labels as L
-from capturelab.operators import audit, metrics, neighbors, splits
+from capturelab.operators import audit, index, metrics, neighbors, reports, splits
+from capturelab.plans.queries import ORACLES, QUERIES
 
 
 def test_split_counts(spark):
@@ -48,21 +49,67 @@ def test_neighbours_do_not_depend_on_blocks(spark):
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-def test_queries_match_sql(spark):
-    duckdb = pytest.importorskip("duckdb")
-    from capturelab.plans.queries import ORACLES, QUERIES
+#: Held by tests of their parts against numpy or by conditions of the optimum.
+WITHOUT_SQL = {"pca_dimensions", "template_features", "augmented_spectra"}
+
+
+def test_every_query_has_sql_or_a_test():
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL and not set(ORACLES) - set(QUERIES)
+
 
-    con = duckdb.connect()
+@pytest.fixture(scope="module")
+def tables():
+    con = pytest.importorskip("duckdb").connect()
     for f in os.listdir(DATA):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
-    #: tested below against numpy
-    assert set(QUERIES) - set(ORACLES) == {"pca_dimensions", "template_features"}
-    for name in ORACLES:
-        query = QUERIES[name]
-        df = query(spark, DATA)
-        columns = sorted(df.columns)
-        cell = lambda v: repr(float(v) + 0.0) if isinstance(v, float) else str(v)
-        got = sorted(tuple(map(cell, r)) for r in df.select(*columns).collect())
-        want = sorted(tuple(map(cell, r)) for r in con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLES[name]})").fetchall())
-        assert got == want, name
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, tables, name):
+    df = QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    cell = lambda v: repr(float(v) + 0.0) if isinstance(v, float) else str(v)
+    got = sorted(tuple(map(cell, r)) for r in df.select(*columns).collect())
+    want = tables.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLES[name]})")
+    assert got == sorted(tuple(map(cell, r)) for r in want.fetchall())
+
+
+def test_issue_table_by_hand(spark):
+    rows = [("a", "s1", "p", "[1,0]"), ("b", "s2", "p", "[0,1]"), ("c", "s2", "p", "[0,1]"), ("d", "s2", "p", "[0,1]"), ("e", "s3", "", "[1,1]")]
+    parsed = [("a", [-80.0, -78.0, -76.0, -79.0], 1, None), ("b", [-80.0, -78.0, -76.0, -79.0], 0, None), ("c", [-95.0] * 4, 0, None), ("d", [], 0, "line 1: not numeric"), ("e", [-80.0, -60.0, 3.0], 0, None)]
+    x = audit.issue_table(spark.createDataFrame(rows, "file string, group string, condition_path string, label string"), spark.createDataFrame(parsed, "file string, signal array<float>, discarded_nonfinite_count int, parse_error string"), -90.0, 4)
+    assert sorted((r.severity, r.type, r.file) for r in x.collect()) == [
+        ("error", "duplicate_across_labels", "a"), ("error", "duplicate_across_labels", "b"), ("error", "flat_or_nearly_flat", "c"), ("error", "length_mismatch", "e"), ("error", "nonfinite_values", "a"), ("error", "nonnegative_db_values", "e"), ("error", "parse_failure", "d"),
+        ("review", "large_db_jump", "e"), ("review", "possible_clipping", "a"), ("review", "possible_clipping", "b"), ("review", "possible_clipping", "e"), ("review", "possible_no_signal", "c"),
+    ]
+
+
+def test_holdout_counts(spark):
+    want = {0: (0, 0), 1: (0, 0), 2: (0, 0), 3: (1, 1), 4: (1, 1), 10: (2, 2), 30: (4, 4), 50: (8, 8), 2000: (300, 300)}
+    rows = spark.createDataFrame([(n,) for n in want], "n long").select("n", *(c.alias(a) for a, c in zip("vt", splits.holdout_counts(F.col("n"), 0.15, 0.15), strict=True))).collect()
+    assert {r.n: (r.v, r.t) for r in rows} == want
+    x = spark.createDataFrame([(2,), (3,), (5,)], "n long").select(*(c.alias(a) for a, c in zip("vt", splits.holdout_counts(F.col("n"), 0.5, 0.49), strict=True))).collect()
+    assert [(r.v, r.t) for r in x] == [(0, 1), (1, 1), (2, 2)]
+
+
+def test_subsets_are_nested(spark):
+    x = splits.nested_subsets(spark.range(80).select(F.col("id").alias("file"), (F.col("id") % 2).alias("g")), "file", "g", [30, 5, 12])
+    rows = x.collect()
+    assert sum(r.split != "train" for r in rows) == 24 and {r.smallest for r in rows if r.split != "train"} == {None}
+    assert [sum(r.smallest is not None and r.smallest <= s for r in rows if r.g == 0) for s in (5, 12, 30)] == [5, 12, 28]
+
+
+def test_reports_refuse_what_does_not_fit(spark):
+    with pytest.raises(ValueError):
+        metrics.threshold_search(spark.createDataFrame([([0.5] * 4, [1] * 4)], "prob array<double>, target array<int>"), 4, 0, 1, 0.01)
+    p = spark.createDataFrame([(1, True), (2, False)], "id long, exact boolean")
+    c = spark.createDataFrame([(1, "typical"), (2, "boundary")], "id long, category string")
+    assert reports.expected_errors(900, 0.9933) == 6 and {r.category: r.errors for r in reports.error_locations(p, c, 1).collect()} == {"typical": 0, "boundary": 1}
+    with pytest.raises(ValueError):
+        reports.error_locations(p, c, 2)
+    rows = spark.createDataFrame([("train", "[1,0]", " TRUE "), ("train", "[1, 1]", "no"), ("val", "[0,1]", "no")], "split string, label string, selected_for_train string")
+    assert sorted(r.label_vec for r in index.training_rows(rows, 2).collect()) == [[0, 1], [1, 0]]
+    with pytest.raises(Exception, match="another length"):
+        index.training_rows(rows, 3).collect()
