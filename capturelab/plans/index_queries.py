@@ -164,7 +164,7 @@ i AS (SELECT file, CASE WHEN single THEN 'single' ELSE 'real_dataset' END AS sou
   WHERE "group" IN ('source_1','source_3','source_5','source_1_source_3_mix','source_3_source_5_mix') OR "group"='unknown_a')
 """
 _T = """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(round(-l_extendedprice/1000,3) AS DECIMAL(12,3)) AS v FROM lineitem WHERE l_orderkey%19<>0),
-c AS (SELECT *, CASE WHEN k%13=0 AND n=2 THEN 'bad' WHEN k%11=0 AND n=3 THEN 'inf' WHEN k%17=0 AND n=1 THEN 'none' ELSE 'ok' END AS kind, row_number() OVER (PARTITION BY k ORDER BY n, v) AS r FROM l),
+c AS (SELECT *, CASE WHEN k%13=0 AND n=2 THEN 'bad' WHEN k%11=0 AND n=3 THEN 'inf' WHEN k%17=0 AND n=1 THEN 'none' ELSE 'ok' END AS kind, row_number() OVER (PARTITION BY k ORDER BY n, v DESC) AS r FROM l),
 o AS (SELECT DISTINCT l_orderkey AS k, l_orderkey%5=0 AS legacy, CASE WHEN l_orderkey%5=0 THEN 0 WHEN l_orderkey%7=0 THEN 2 ELSE 3 END AS marker, CASE WHEN l_orderkey%5<>0 AND l_orderkey%7=0 THEN 1 ELSE 0 END AS blank, l_orderkey%23=0 AS zh FROM lineitem),
 """
 #: A missing second field leaves one field: an error after a marker, and the line's number as its last field without one. The odd first character joins the first line; the line is then no marker or no number.
