@@ -32,7 +32,7 @@ def _texts(s, d):
     """Capture files (file, content), one for each order, with its lines as rows: some without marker, with bad, endless or missing numbers, in another encoding, or with no rows at all."""
     x = views.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("x"))
     k = F.col("l_orderkey")
-    level = lambda r: F.round(-r["l_extendedprice"] / 1000, 3).cast("decimal(12,3)").cast("string")
+    level = lambda r: F.round(-r["l_extendedprice"] / 1000, 5).cast("decimal(14,5)").cast("string")
     cell = lambda r: F.when((k % 13 == 0) & (r["l_linenumber"] == 2), "bad").when((k % 11 == 0) & (r["l_linenumber"] == 3), "inf").when((k % 17 == 0) & (r["l_linenumber"] == 1), "").otherwise(level(r))
     rows = F.array_join(F.transform("x", lambda r: F.concat(r["l_linenumber"].cast("string"), F.when(k % 2 == 0, ",").otherwise("\t"), cell(r))), "\n")
     head = F.when(k % 5 == 0, "").when(k % 7 == 0, "note\nDATA\n\n").otherwise("a,b\nc\ndata\n")
@@ -129,7 +129,7 @@ QUERIES = {
     "lenient_captures": _parsed({"need_marker": False, "skip_invalid": True}),
     "mixed_policy_captures": _parsed({"need_marker": False}),
     "capture_cells": lambda s, d: captures.parsed_cells(_texts(s, d)).select("file", F.size("signal").alias("n"), F.round(F.aggregate("signal", F.lit(0.0), lambda a, v: a + v), 2).alias("total"), "parse_error"),
-    "capture_points": lambda s, d: captures.parsed_points(_texts(s, d)).select("file", F.size("points").alias("n"), F.round(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["t"] * p["v"]), 3).alias("total"), "parse_error"),
+    "capture_points": lambda s, d: captures.parsed_points(_texts(s, d)).select("file", F.size("points").alias("n"), F.round(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["t"] * p["v"]), 5).alias("total"), "parse_error"),
     "issue_table": _issue_table,
     "audit_counts": lambda s, d: audit.counts(*_audited(s, d)),
     "distribution_report": _distribution,
@@ -163,7 +163,7 @@ p AS (SELECT k, file, string_split(file,'/') AS q FROM paths), i0 AS (SELECT *,
 i AS (SELECT file, CASE WHEN single THEN 'single' ELSE 'real_dataset' END AS source_root, "group", condition_path, CASE "group" WHEN 'source_1' THEN '[1,0,0]' WHEN 'source_3' THEN '[0,1,0]' WHEN 'source_5' THEN '[0,0,1]' WHEN 'source_1_source_3_mix' THEN '[1,1,0]' WHEN 'source_3_source_5_mix' THEN '[0,1,1]' WHEN 'unknown_a' THEN '[0,0,0]' END AS label FROM i0
   WHERE "group" IN ('source_1','source_3','source_5','source_1_source_3_mix','source_3_source_5_mix') OR "group"='unknown_a')
 """
-_T = """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(round(-l_extendedprice/1000,3) AS DECIMAL(12,3)) AS v FROM lineitem WHERE l_orderkey%19<>0),
+_T = """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(round(-l_extendedprice/1000,5) AS DECIMAL(14,5)) AS v FROM lineitem WHERE l_orderkey%19<>0),
 c AS (SELECT *, CASE WHEN k%13=0 AND n=2 THEN 'bad' WHEN k%11=0 AND n=3 THEN 'inf' WHEN k%17=0 AND n=1 THEN 'none' ELSE 'ok' END AS kind, row_number() OVER (PARTITION BY k ORDER BY n, v DESC) AS r FROM l),
 o AS (SELECT DISTINCT l_orderkey AS k, l_orderkey%5=0 AS legacy, CASE WHEN l_orderkey%5=0 THEN 0 WHEN l_orderkey%7=0 THEN 2 ELSE 3 END AS marker, CASE WHEN l_orderkey%5<>0 AND l_orderkey%7=0 THEN 1 ELSE 0 END AS blank, l_orderkey%23=0 AS zh FROM lineitem),
 """
@@ -245,7 +245,7 @@ def oracles() -> dict[str, str]:
     return {
         "issue_table": _issues_sql(),
         "capture_points": _T + """p AS (SELECT k, count(*) AS n, sum(n*CAST(v AS DOUBLE)) AS t FROM c WHERE kind='ok' GROUP BY k)
-  SELECT CAST(o.k AS VARCHAR) AS file, CAST(CASE WHEN legacy THEN 0 ELSE coalesce(n,0) END AS INT) AS n, round(CASE WHEN legacy THEN 0e0 ELSE coalesce(t,0e0) END,3) AS total, CASE WHEN legacy THEN 'no DATA section' WHEN n IS NULL THEN 'no numeric values' END AS parse_error FROM o LEFT JOIN p ON p.k=o.k""",
+  SELECT CAST(o.k AS VARCHAR) AS file, CAST(CASE WHEN legacy THEN 0 ELSE coalesce(n,0) END AS INT) AS n, round(CASE WHEN legacy THEN 0e0 ELSE coalesce(t,0e0) END,5) AS total, CASE WHEN legacy THEN 'no DATA section' WHEN n IS NULL THEN 'no numeric values' END AS parse_error FROM o LEFT JOIN p ON p.k=o.k""",
         "capture_cells": _T + """w AS (SELECT c.k, CASE WHEN c.k%2=0 AND kind='ok' THEN CAST(v AS DOUBLE) WHEN zh AND legacy AND r=1 THEN NULL WHEN c.k%2=0 AND legacy THEN n WHEN c.k%2=1 AND kind='none' THEN n END AS x FROM c JOIN o USING (k)),
   p AS (SELECT k, count(x) AS n, sum(CAST(CAST(x AS FLOAT) AS DOUBLE)) AS t FROM w GROUP BY k) SELECT CAST(o.k AS VARCHAR) AS file, CAST(coalesce(n,0) AS INT) AS n, round(coalesce(t,0e0),2) AS total, CASE WHEN coalesce(n,0)=0 THEN 'no numeric values' END AS parse_error FROM o LEFT JOIN p ON p.k=o.k""",
         "audit_counts": f"""WITH pr AS (SELECT * FROM ({lenient})), x AS (SELECT o_orderkey AS k, o_orderpriority AS g, CASE WHEN o_orderstatus='O' THEN '[1,1]' ELSE '[1,0]' END AS label, 'ratio_' || (o_orderkey%4) AS r, 'radio_' || (o_orderkey%4) || '/600MHz' AS cp, pr.* FROM orders LEFT JOIN pr ON pr.file=CAST(o_orderkey AS VARCHAR)),
