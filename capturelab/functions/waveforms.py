@@ -15,14 +15,19 @@ from . import arrays as A
 STATS = ("mean", "std", "rms", "peak", "p2p", "energy", "fft_energy", "peak_freq", "peak_amp", "centroid", "bandwidth", "stft_mean", "stft_std", "stft_max", "stft_energy")
 
 
-def fix_length(signal: Column, length: int, pad: Column | float = 0.0) -> Column:
-    """The middle of a longer signal; a shorter one padded on the right."""
+def fix_length(signal: Column, length: int, pad: Column | float = 0.0, start: Column | None = None) -> Column:
+    """The middle of a longer signal, or what begins at `start`; a shorter one padded on the right."""
     n = F.size(signal)
-    start = F.floor((n - length) / 2).cast("int") + 1
+    start = (F.floor((n - length) / 2) if start is None else start).cast("int") + 1
     padded = F.concat(signal, F.array_repeat(pad if isinstance(pad, Column) else F.lit(pad), F.greatest(F.lit(length) - n, F.lit(0))))
     return F.when(n >= length, F.slice(signal, F.greatest(start, F.lit(1)), F.lit(length))).otherwise(padded)
 
 
+def random_crop(signal: Column, length: int, key: Column, seed: int = 42, epoch: int = 0, pad: Column | float = 0.0) -> Column:
+    """fix_length for training: a part of a longer signal whose place is drawn by seed, epoch and key, so that a task run again draws the same."""
+    return fix_length(signal, length, pad, A.draw(seed, f"crop|{epoch}", key) % F.greatest(F.size(signal) - length + 1, F.lit(1)))
+
+
 def fix_trace(signal: Column, length: int) -> Column:
     """fix_length for level traces: padded with the median of the finite values."""
     finite = F.filter(signal, lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -48,50 +53,85 @@ def unit_rms(signal: Column) -> Column:
     return A.let(F.sqrt(A.mean(F.transform(signal, lambda v: v * v))), lambda r: F.transform(signal, lambda v: F.when(r < 1e-8, v).otherwise(v / r)))
 
 
+def by_length(signals: pd.Series, work, cells: int = 2**20) -> list:
+    """work(matrix) for rows of equal length, at most so many numbers at a time, and its results by row; None for a null or empty row."""
+    out, places = [None] * len(signals), {}
+    values = signals.to_numpy()
+    for i, v in enumerate(values):
+        if v is not None and len(v):
+            places.setdefault(len(v), []).append(i)
+    for n, at in places.items():
+        step = max(1, cells // n)
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            for i, y in zip(part, work(np.stack([values[i] for i in part]).astype(np.float64)), strict=True):
+                out[i] = y
+    return out
+
+
+def _made(kind: str, work):
+    """A column function that does work(matrix) by length, with rows of this type."""
+
+    @F.pandas_udf(kind)
+    def made(s: pd.Series) -> pd.Series:
+        return pd.Series(by_length(s, work), dtype=object)
+
+    return made
+
+
+def _clean(x: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(x, nan=0, posinf=0, neginf=0)
+
+
 def magnitudes(x: np.ndarray, segment: int, overlap: int) -> np.ndarray:
-    """Frequencies x frames: magnitudes under a periodic Hann window that sums to 1, without padding."""
-    segment = max(1, min(segment, len(x)))
+    """Frequencies x frames of each signal (last axis): magnitudes under a periodic Hann window that sums to 1, without padding."""
+    segment = max(1, min(segment, x.shape[-1]))
     hop = segment - min(max(overlap, 0), segment - 1)
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment) if segment > 1 else np.ones(1)
-    frames = np.lib.stride_tricks.sliding_window_view(x, segment)[::hop]
-    return np.abs(np.fft.rfft(frames * window, axis=1)).T / window.sum()
+    frames = np.lib.stride_tricks.sliding_window_view(x, segment, axis=-1)[..., ::hop, :]
+    return np.abs(np.fft.rfft(frames * window, axis=-1)).swapaxes(-1, -2) / window.sum()
 
 
 def boxed(m: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    out = np.zeros((rows, columns))
-    part = m[:rows, :columns]
-    out[: part.shape[0], : part.shape[1]] = part
+    out = np.zeros((*m.shape[:-2], rows, columns))
+    part = m[..., :rows, :columns]
+    out[..., : part.shape[-2], : part.shape[-1]] = part
     return out
 
 
-def stft(signal: Column, segment: int, overlap: int, rows: int, columns: int, scale: str = "absolute", representation: str = "single") -> Column:
-    """array<array<float>>, a flat array of rows x columns for each channel: the magnitudes (absolute or log1p); absolute_relative adds log1p of them by their root mean square. Null for an empty signal."""
+def relative(m: np.ndarray) -> np.ndarray:
+    """log1p of magnitudes by their root mean square."""
+    return np.log1p(m / np.maximum(np.sqrt(np.mean(m * m, axis=(-2, -1), keepdims=True)), 1e-12))
+
+
+def _flat(channels: list[np.ndarray], kind: str = "f4") -> list[list[np.ndarray]]:
+    """Channels, each signals x rows x columns, as a list of flat ones for each signal."""
+    return [list(c) for c in np.stack([m.reshape(len(m), -1) for m in channels], axis=1).astype(kind)]
+
+
+def stft(signal: Column, segment: int, overlap: int, rows: int, columns: int, scale: str = "absolute", representation: str = "single", kind: str = "float") -> Column:
+    """array<array<float>> (or double, by kind), a flat array of rows x columns for each channel: the magnitudes (absolute or log1p); absolute_relative adds log1p of them by their root mean square. Null for an empty signal."""
     if scale not in ("absolute", "log1p") or representation not in ("single", "absolute_relative"):
         raise ValueError(f"unknown scale or representation: {scale}, {representation}")
 
-    def one(values):
-        if values is None or not len(values):
-            return None
-        m = boxed(magnitudes(np.nan_to_num(np.asarray(values, np.float64), nan=0, posinf=0, neginf=0), segment, overlap), rows, columns)
+    def work(x):
+        m = boxed(magnitudes(_clean(x), segment, overlap), rows, columns)
         m = np.log1p(m) if scale == "log1p" else m
-        channels = [m] if representation == "single" else [m, relative(m)]
-        return [c.ravel().astype(np.float32) for c in channels]
+        return _flat([m] if representation == "single" else [m, relative(m)], "f4" if kind == "float" else "f8")
 
-    @F.pandas_udf("array<array<float>>")
-    def made(s: pd.Series) -> pd.Series:
-        return s.map(one)
-
-    return made(signal)
+    return _made(f"array<array<{kind}>>", work)(signal)
 
 
-def _stats(x: np.ndarray, rate: float, segment: int, overlap: int) -> list[float]:
-    x = np.nan_to_num(x, nan=0, posinf=0, neginf=0)
-    amp, freq = np.abs(np.fft.rfft(x)), np.fft.rfftfreq(len(x), 1 / rate)
-    peak, weight = int(np.argmax(np.round(amp, 9))), amp.sum()
-    centroid = float((freq * amp).sum() / weight) if weight > 0 else 0.0
-    width = float(np.sqrt((((freq - centroid) ** 2) * amp).sum() / weight)) if weight > 0 else 0.0
-    m = magnitudes(x, segment, overlap)
-    return [x.mean(), x.std(), np.sqrt((x * x).mean()), np.abs(x).max(), np.ptp(x), (x * x).sum(), (amp * amp).sum(), freq[peak], amp[peak], centroid, width, m.mean(), m.std(), m.max(), (m * m).sum()]
+def _stats(x: np.ndarray, rate: float, segment: int, overlap: int) -> np.ndarray:
+    x = _clean(x)
+    amp, freq = np.abs(np.fft.rfft(x)), np.fft.rfftfreq(x.shape[1], 1 / rate)
+    peak, weight = np.argmax(np.round(amp, 9), axis=1), amp.sum(1)
+    by = np.where(weight > 0, weight, 1)
+    centroid = np.where(weight > 0, (freq * amp).sum(1) / by, 0)
+    width = np.where(weight > 0, np.sqrt((((freq - centroid[:, None]) ** 2) * amp).sum(1) / by), 0)
+    m = magnitudes(x, segment, overlap).reshape(len(x), -1)
+    waves = [x.mean(1), x.std(1), np.sqrt((x * x).mean(1)), np.abs(x).max(1), np.ptp(x, axis=1), (x * x).sum(1)]
+    return np.column_stack([*waves, (amp * amp).sum(1), freq[peak], amp[np.arange(len(x)), peak], centroid, width, m.mean(1), m.std(1), m.max(1), (m * m).sum(1)])
 
 
 def spectral_stats(signal: Column, rate: float, segment: int, overlap: int) -> Column:
@@ -99,76 +139,85 @@ def spectral_stats(signal: Column, rate: float, segment: int, overlap: int) -> C
 
     @F.pandas_udf(", ".join(f"{k} double" for k in STATS))
     def made(s: pd.Series) -> pd.DataFrame:
-        rows = [_stats(np.asarray(v, np.float64), rate, segment, overlap) if v is not None and len(v) else [None] * len(STATS) for v in s]
-        return pd.DataFrame(rows, columns=list(STATS), dtype="float64")
+        rows = by_length(s, lambda x: _stats(x, rate, segment, overlap))
+        return pd.DataFrame([[None] * len(STATS) if r is None else r for r in rows], columns=list(STATS), dtype="float64")
+
+    return made(signal)
+
+
+#: The statistics by which domains are compared; energies are mean squares.
+GAP = ("signal_mean", "signal_std", "signal_rms", "signal_p2p", "stft_mean", "stft_std", "stft_max", "stft_energy")
+
+
+def gap_statistics(signal: Column, segment: int, overlap: int, rows: int, columns: int) -> Column:
+    """A struct of the GAP statistics of a signal of fixed length: four of its values, four of the log spectrum of the standardized signal. Null for an empty signal; values that are not finite count as 0."""
+
+    def work(x):
+        x = _clean(x)
+        centred, by = x - x.mean(1, keepdims=True), x.std(1, keepdims=True)
+        m = np.log1p(boxed(magnitudes(centred / np.where(by < 1e-8, 1, by), segment, overlap), rows, columns)).reshape(len(x), -1)
+        return np.column_stack([x.mean(1), x.std(1), np.sqrt((x * x).mean(1)), np.ptp(x, axis=1), m.mean(1), m.std(1), m.max(1), (m * m).mean(1)])
+
+    @F.pandas_udf(", ".join(f"{k} double" for k in GAP))
+    def made(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([[None] * len(GAP) if r is None else r for r in by_length(s, work)], columns=list(GAP), dtype="float64")
 
     return made(signal)
 
 
 def _banded(x: np.ndarray, bins: int) -> np.ndarray:
-    edges = np.linspace(0, len(x), bins + 1).astype(int)
-    return np.array([x[a:b].mean() if b > a else 0.0 for a, b in zip(edges, edges[1:], strict=False)])
+    """The means of so many bands of each row; 0 for a band without places."""
+    edges = np.linspace(0, x.shape[1], bins + 1).astype(int)
+    return np.column_stack([x[:, a:b].mean(1) if b > a else np.zeros(len(x)) for a, b in zip(edges, edges[1:], strict=False)])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / (np.linalg.norm(x) + 1e-12)
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+
+
+def _log_spectrum(x: np.ndarray) -> np.ndarray:
+    return np.log1p(np.abs(np.fft.rfft(x - x.mean(1, keepdims=True))))
 
 
 def shape_feature(signal: Column, bins: int = 128) -> Column:
     """The standardized trace in bands, then its log spectrum's start, each of unit length."""
 
-    def one(values):
-        x = np.asarray(values, np.float64)
-        x = x - x.mean()
-        x = x / (x.std() if x.std() >= 1e-12 else 1.0)
-        return np.concatenate([_unit(_banded(x, bins)), _unit(np.log1p(np.abs(np.fft.rfft(x)))[:bins])]).astype(np.float32)
-
-    @F.pandas_udf("array<float>")
-    def made(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: one(v) if v is not None and len(v) else None)
+    def work(x):
+        sd = x.std(1, keepdims=True)
+        x = (x - x.mean(1, keepdims=True)) / np.where(sd >= 1e-12, sd, 1)
+        return np.hstack([_unit(_banded(x, bins)), _unit(_log_spectrum(x)[:, :bins])]).astype(np.float32)
 
-    return made(signal)
+    return _made("array<float>", work)(signal)
 
 
 def spectral_signature(signal: Column, bins: int = 128) -> Column:
     """The log spectrum of the centred signal, averaged in bands."""
 
-    def one(values):
-        x = np.asarray(values, np.float64)
-        s = np.log1p(np.abs(np.fft.rfft(x - x.mean())))
-        return _banded(s, min(bins, len(s)))
-
-    @F.pandas_udf("array<double>")
-    def made(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: one(v) if v is not None and len(v) else None)
+    def work(x):
+        s = _log_spectrum(x)
+        return _banded(s, min(bins, s.shape[1]))
 
-    return made(signal)
+    return _made("array<double>", work)(signal)
 
 
 def _resampled(x: np.ndarray, n: int) -> np.ndarray:
-    return x if len(x) == n else np.interp(np.linspace(0, 1, n), np.linspace(0, 1, len(x)), x)
+    """Each row at n even places, by linear interpolation."""
+    at = np.linspace(0, x.shape[1] - 1, n)
+    low = np.minimum(at.astype(int), max(x.shape[1] - 2, 0))
+    return x[:, low] + (x[:, np.minimum(low + 1, x.shape[1] - 1)] - x[:, low]) * (at - low)
 
 
 def audit_feature(signal: Column) -> Column:
     """616 numbers: level and shape at 256 places, the spectrum at 96, and 8 statistics."""
 
-    def one(values):
-        y = _resampled(np.asarray(values, np.float64), 256)
-        c, span = y - y.mean(), np.ptp(y)
-        spectrum = _resampled(np.log1p(np.abs(np.fft.rfft(c))), 96)
-        stats = [y.mean(), y.std(), y.min(), y.max(), span, *np.percentile(y, [5, 50, 95])]
-        return np.concatenate([y, c / max(span, 1e-6), spectrum, stats]).astype(np.float32)
-
-    @F.pandas_udf("array<float>")
-    def made(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: one(v) if v is not None and len(v) else None)
+    def work(x):
+        y = _resampled(x, 256)
+        span = np.ptp(y, axis=1)
+        stats = [y.mean(1), y.std(1), y.min(1), y.max(1), span, *np.percentile(y, [5, 50, 95], axis=1)]
+        shape = (y - y.mean(1, keepdims=True)) / np.maximum(span, 1e-6)[:, None]
+        return np.hstack([y, shape, _resampled(_log_spectrum(y), 96), np.column_stack(stats)]).astype(np.float32)
 
-    return made(signal)
-
-
-def relative(m: np.ndarray) -> np.ndarray:
-    """log1p of magnitudes by their root mean square."""
-    return np.log1p(m / max(np.sqrt(np.mean(m * m)), 1e-12))
+    return _made("array<float>", work)(signal)
 
 
 def db_trace_channels(signal: Column, segment: int, overlap: int, rows: int, columns: int, level: tuple[float, float] = (-110.0, -50.0), variation: float = 15.0) -> Column:
@@ -178,22 +227,17 @@ def db_trace_channels(signal: Column, segment: int, overlap: int, rows: int, col
     if level[1] <= level[0] or variation <= 0:
         raise ValueError("level must rise and variation be positive")
 
-    def one(values):
-        x = np.asarray([np.nan if v is None else v for v in values], np.float64) if values is not None else np.zeros(0)
-        sound = x[np.isfinite(x)]
-        if not len(sound):
-            return None
-        median = np.median(sound)
-        x = np.where(np.isfinite(x), x, median) - median
+    def work(x):
+        sound = np.isfinite(x)
+        has = sound.any(axis=1)
+        median = np.array([np.median(r[ok]) if any_ else 0.0 for r, ok, any_ in zip(x, sound, has, strict=True)])
+        x = np.where(sound, x, median[:, None]) - median[:, None]
         m = boxed(magnitudes(x, segment, overlap), rows, columns)
-        constants = [(median - level[0]) / (level[1] - level[0]), x.std() / variation]
-        return [c.ravel().astype(np.float32) for c in (m, relative(m), *(np.full(m.shape, np.clip(c, 0, 1)) for c in constants))]
-
-    @F.pandas_udf("array<array<float>>")
-    def made(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        constants = [(median - level[0]) / (level[1] - level[0]), x.std(1) / variation]
+        made = _flat([m, relative(m), *(np.broadcast_to(np.clip(c, 0, 1)[:, None, None], m.shape) for c in constants)])
+        return [c if any_ else None for c, any_ in zip(made, has, strict=True)]
 
-    return made(signal)
+    return _made("array<array<float>>", work)(signal)
 
 
 #: Ranges, largest shifts and masks of spectrum augmentation.

@@ -3,7 +3,7 @@
 captures: file, group, condition_path, ratio, label, signal (array<double>).
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -108,12 +108,21 @@ def recommended(stats: DataFrame) -> DataFrame:
 def condition_outliers(stats: DataFrame, z: float = 5.0, least: int = 8) -> DataFrame:
     """Captures far from their (group, condition) by median and MAD, in any of five metrics."""
     long = stats.select("file", "group", "condition_path", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ROBUST))).alias("x")).select("file", "group", "condition_path", "x.*")
-    w = Window.partitionBy("group", "condition_path", "metric")
-    half = F.percentile("v", F.lit(0.5))
-    centred = long.withColumn("centre", half.over(w)).withColumn("size", F.count("*").over(w)).withColumn("off", F.abs(F.col("v") - F.col("centre")))
-    mad = centred.withColumn("mad", F.percentile("off", F.lit(0.5)).over(w))
-    score = 0.6744897501960817 * F.col("off") / F.col("mad")
-    return mad.where((F.col("size") >= least) & (F.col("mad") >= 1e-8)).withColumn("z", score).where(F.col("z") >= z).select("file", "group", "condition_path", "metric", F.round("z", 6).alias("robust_z"))
+    by = ["group", "condition_path", "metric"]
+    # counts of the rounded values first, so that no task gets all rows of a condition
+    tally = long.where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
+    centre = tally.groupBy(*by).agg(F.percentile("v", F.lit(0.5), F.col("c")).alias("centre"), F.sum("c").alias("size")).where(F.col("size") >= least)
+    off = F.abs(F.col("v") - F.col("centre"))
+    mad = _with(tally, centre, by).groupBy(*by, "centre").agg(F.percentile(off, F.lit(0.5), F.col("c")).alias("mad")).where("mad >= 1e-8")
+    score = 0.6744897501960817 * off / F.col("mad")
+    return _with(long, mad, by).withColumn("z", score).where(F.col("z") >= z).select("file", "group", "condition_path", "metric", F.round("z", 6).alias("robust_z"))
+
+
+def _with(rows: DataFrame, statistics: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined with the statistics of their keys, where null equals null."""
+    named = statistics.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return rows.join(named, same).drop(*(f"_by_{c}" for c in by))
 
 
 def fingerprint(signal):

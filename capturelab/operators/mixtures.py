@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import waveforms as W
+from ..functions.arrays import draw
 from .decoding import combinations
-from .redundancy import draw, numbered
+from .redundancy import numbered
 
 
 def plan(spark, samples: int, names: list[str], seed: int, ratios=(0.8, 0.1)) -> DataFrame:
@@ -67,6 +68,16 @@ def mixed(slot_rows: DataFrame, captures: DataFrame, length: int, normalize: str
     return y.withColumn("signal", (W.standardized if normalize == "zscore" else W.unit_rms)(F.col("signal")))
 
 
+def store(mixtures: DataFrame, planned: DataFrame, path: str) -> None:
+    """Writes mixtures with their labels and sources, a folder for each split; a mixture that is not planned is left out."""
+    mixtures.join(planned.select("sample_id", "label", "split"), "sample_id").write.partitionBy("split").parquet(path)
+
+
+def stored(spark, path: str, split: str) -> DataFrame:
+    """The mixtures of a split, as store() wrote them; only that split's folder is read."""
+    return spark.read.parquet(path).where(F.col("split") == split)
+
+
 def with_background(mixtures: DataFrame, backgrounds: DataFrame, seed: int, length: int, scale=(0.05, 0.2)) -> DataFrame:
     """Mixtures plus a scaled, standardized background capture each; unchanged if there is none. backgrounds: file, signal."""
     n = backgrounds.count()

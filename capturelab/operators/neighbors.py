@@ -60,9 +60,9 @@ def categories(near: DataFrame, labels: DataFrame, one: float = 1.0) -> DataFram
     mine, other = labels.select("id", "label"), labels.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
     x = near.join(mine, "id").join(other, "neighbour")
     rows = x.groupBy("id", "label").agg(F.avg((F.col("label") == F.col("other")).cast("int")).alias("own"), F.max(F.lit(one) - F.col("similarity")).alias("radius"))
-    w = Window.partitionBy("label")
-    q = lambda p: F.percentile("radius", F.lit(p)).over(w)
-    fenced = rows.withColumn("fence", q(0.75) + 3 * (q(0.75) - q(0.25)))
+    q = lambda p: F.percentile("radius", F.lit(p))
+    fences = rows.groupBy(F.col("label").alias("_label")).agg((q(0.75) + 3 * (q(0.75) - q(0.25))).alias("fence"))
+    fenced = rows.join(fences, F.col("label").eqNullSafe(F.col("_label")))
     kind = F.when(F.col("radius") > F.col("fence"), "isolated").when(F.col("own") >= 0.8, "typical").when(F.col("own") >= 0.5, "boundary").otherwise("other_dominated")
     return fenced.select("id", "label", F.round("own", 6).alias("own_fraction"), F.round("radius", 6).alias("radius"), kind.alias("category"))
 

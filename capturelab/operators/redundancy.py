@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from .splits import order_key
+from ..functions import waveforms as W
+from ..functions.arrays import draw
+from .splits import order_key, stratum_rank
 
 #: Sizes of reference sets and subsets: fixed values.
 SIZES = (100, 200, 500, 1000, 1500, 2000)
@@ -29,11 +31,6 @@ def numbered(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return x.withColumn("_w", within).join(starts, "_p").select(*rows.columns, (F.col("_s") + F.col("_w") - 1).alias("place"))
 
 
-def draw(seed: int, name: str, key: Column) -> Column:
-    """An integer from 0 to 2^32 - 1, fixed by seed, name and key."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{name}|"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-
-
 def _doubles(c: str) -> Column:
     return F.transform(c, lambda v: v.cast("double"))
 
@@ -130,23 +127,27 @@ def coverage(vectors: DataFrame, seed: int, sizes=SIZES) -> DataFrame:
 
 
 def saturation(vectors: DataFrame, seed: int, sizes=SIZES, repeats: int = 5) -> DataFrame:
-    """(size, mean_wave_nrmse, point_std_error): how far random subsets are from the whole, averaged over repeats; each repeat's subsets are nested."""
+    """(size, mean_wave_nrmse, point_std_error, spectrum_relative_error): how far random subsets are from the whole, averaged over repeats; each repeat's subsets are nested. The spectrum is the mean signature in 128 bands."""
     n = vectors.count()
     sizes = [k for k in sizes if k < n]
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], "size long, mean_wave_nrmse double, point_std_error double")
-    x = vectors.select("id", _doubles("v").alias("v"))
-    ids = x.select("id", F.explode(F.array(*map(F.lit, range(repeats)))).alias("repeat"))
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("repeat").cast("string"), F.lit("|"), F.col("id").cast("string")).cast("binary"))
-    chosen = ids.withColumn("_r", F.row_number().over(Window.partitionBy("repeat").orderBy(key, "id"))).where(F.col("_r") <= max(sizes))
-    taken = chosen.select("id", "repeat", F.explode(F.filter(F.array(*(F.lit(k).cast("long") for k in sizes)), lambda k: k >= F.col("_r"))).alias("size"))
-    wave = lambda rows, *by: rows.select(*by, F.posexplode("v").alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    full = wave(x).select("pos", F.col("m").alias("fm"), F.col("s").alias("fs"))
-    scale = full.agg((F.max("fm") - F.min("fm")).alias("a")).crossJoin(x.agg(F.percentile(F.array_max("v") - F.array_min("v"), F.lit(0.5)).alias("b"))).select(F.greatest("a", "b", F.lit(1e-12)).alias("scale"))
-    sub = wave(taken.join(x, "id"), "repeat", "size").join(F.broadcast(full), "pos")  # full has d rows
-    errors = sub.groupBy("repeat", "size").agg(F.sqrt(F.avg((F.col("m") - F.col("fm")) ** 2)).alias("e"), F.avg(F.abs(F.col("s") - F.col("fs"))).alias("d"))
-    out = errors.crossJoin(F.broadcast(scale)).groupBy("size")  # one row
-    return out.agg(F.round(F.avg(F.col("e") / F.col("scale")), 6).alias("mean_wave_nrmse"), F.round(F.avg(F.col("d") / F.col("scale")), 6).alias("point_std_error"))
+        return vectors.sparkSession.createDataFrame([], "size long, mean_wave_nrmse double, point_std_error double, spectrum_relative_error double")
+    x = vectors.select("id", F.col("v").cast("array<double>").alias("v")).withColumn("spectrum", W.spectral_signature(F.col("v")))
+    ids = x.select("id", F.explode(F.array(*map(F.lit, range(repeats)))).alias("repeat")).withColumn("_key", F.concat_ws("|", F.col("repeat").cast("string"), F.col("id").cast("string")))
+    chosen = stratum_rank(ids, "_key", ["repeat"], seed).where(F.col("_rank") <= max(sizes))
+    taken = chosen.select("id", "repeat", F.explode(F.filter(F.array(*(F.lit(k).cast("long") for k in sizes)), lambda k: k >= F.col("_rank"))).alias("size"))
+    wave = lambda rows, c, *by: rows.select(*by, F.posexplode(c).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    full, sub = ({c: wave(rows, c, *by) for c in ("v", "spectrum")} for rows, by in ((x, ()), (taken.join(x, "id"), ("repeat", "size"))))
+    full = {c: f.select("pos", F.col("m").alias("fm"), F.col("s").alias("fs")) for c, f in full.items()}
+    both = {c: sub[c].join(F.broadcast(full[c]), "pos").groupBy("repeat", "size") for c in sub}  # full has one row for each place
+    span = x.agg(F.percentile(F.array_max("v") - F.array_min("v"), F.lit(0.5)).alias("b"))
+    scale = full["v"].agg((F.max("fm") - F.min("fm")).alias("a")).crossJoin(span).select(F.greatest("a", "b", F.lit(1e-12)).alias("scale"))
+    length = full["spectrum"].agg(F.greatest(F.sqrt(F.sum(F.col("fm") ** 2)), F.lit(1e-12)).alias("length"))
+    off = (F.col("m") - F.col("fm")) ** 2
+    errors = both["v"].agg(F.sqrt(F.avg(off)).alias("e"), F.avg(F.abs(F.col("s") - F.col("fs"))).alias("d")).join(both["spectrum"].agg(F.sqrt(F.sum(off)).alias("f")), ["repeat", "size"])
+    out = errors.crossJoin(F.broadcast(scale)).crossJoin(F.broadcast(length)).groupBy("size")  # one row each
+    made = {"mean_wave_nrmse": F.col("e") / F.col("scale"), "point_std_error": F.col("d") / F.col("scale"), "spectrum_relative_error": F.col("f") / F.col("length")}
+    return out.agg(*(F.round(F.avg(v), 6).alias(k) for k, v in made.items()))
 
 
 def robust_columns(vectors: DataFrame) -> DataFrame:

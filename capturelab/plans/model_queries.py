@@ -197,8 +197,12 @@ _PT = "x AS (SELECT id, i-1 AS pos, v[i] AS x FROM e, (SELECT unnest(range(1,65)
 _SAT = _VEC + ", " + _PT + """, f AS (SELECT pos, avg(x) AS fm, stddev_pop(x) AS fs FROM x GROUP BY pos), sc AS (SELECT greatest((SELECT max(fm)-min(fm) FROM f),(SELECT median(list_max(v)-list_min(v)) FROM e),1e-12) AS s),
 r AS (SELECT id, rp, row_number() OVER (PARTITION BY rp ORDER BY md5('42|' || rp || '|' || id), id) AS k FROM e, (SELECT unnest(range(0,5)) AS rp)),
 w AS (SELECT rp, size, pos, avg(x) AS m, stddev_pop(x) AS sd FROM r JOIN (SELECT unnest([100,200,500,1000,1500,2000]) AS size) ON k<=size JOIN x USING (id), c WHERE size < c.n GROUP BY ALL),
-er AS (SELECT rp, size, sqrt(avg((m-fm)*(m-fm))) AS a, avg(abs(sd-fs)) AS b FROM w JOIN f USING (pos) GROUP BY ALL)
-SELECT CAST(size AS BIGINT) AS size, round(avg(a/s),6) AS mean_wave_nrmse, round(avg(b/s),6) AS point_std_error FROM er, sc GROUP BY size"""
+er AS (SELECT rp, size, sqrt(avg((m-fm)*(m-fm))) AS a, avg(abs(sd-fs)) AS b FROM w JOIN f USING (pos) GROUP BY ALL),
+dm AS (SELECT id, pos, x-avg(x) OVER (PARTITION BY id) AS x FROM x), sx AS (SELECT id, k, ln(1+sqrt(power(sum(x*cos(2*pi()*k*pos/64)),2)+power(sum(x*sin(2*pi()*k*pos/64)),2))) AS l FROM dm, (SELECT unnest(range(0,33)) AS k) GROUP BY ALL),
+fl AS (SELECT k, avg(l) AS m FROM sx GROUP BY k), ln AS (SELECT greatest(sqrt(sum(m*m)),1e-12) AS len FROM fl),
+su AS (SELECT rp, size, sx.k, avg(l) AS l FROM r JOIN (SELECT unnest([100,200,500,1000,1500,2000]) AS size) ON r.k<=size JOIN sx USING (id), c WHERE size < c.n GROUP BY ALL),
+se AS (SELECT rp, size, sqrt(sum((l-m)*(l-m))) AS q FROM su JOIN fl USING (k) GROUP BY ALL)
+SELECT CAST(size AS BIGINT) AS size, round(avg(a/s),6) AS mean_wave_nrmse, round(avg(b/s),6) AS point_std_error, round(avg(q/len),6) AS spectrum_relative_error FROM er JOIN se USING (rp, size), sc, ln GROUP BY size"""
 
 ORACLES = {
     "structured_decoding": _LOG + _SHOW.format("w", "w2"),

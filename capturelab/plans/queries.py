@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import audit, metrics, neighbors, splits
 from ..sources.captures import parsed
-from . import index_queries, late_queries, model_queries, views
+from . import index_queries, late_queries, model_queries, preparation_queries, views
 
 CLASSES = ["source_1", "source_3", "source_5"]
 GROUPS = ["1", "2", "3", "4", "5", "6", "7", "8"]
@@ -187,7 +187,7 @@ r AS (SELECT *, pred = target AS exact, pred[1]>target[1] OR pred[2]>target[2] O
     "point_statistics": "WITH x AS (SELECT CAST(i-1 AS INT) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1,65) u(i)) SELECT pos, round(avg(x),6) AS mean, round(stddev_pop(x),6) AS std, round(quantile_cont(x,5e-2),6) AS p05, round(quantile_cont(x,95e-2),6) AS p95 FROM x GROUP BY pos",
 }
 
-QUERIES |= model_queries.QUERIES | late_queries.QUERIES | index_queries.QUERIES
-ORACLES |= model_queries.ORACLES | late_queries.ORACLES | index_queries.oracles()
+QUERIES |= model_queries.QUERIES | late_queries.QUERIES | index_queries.QUERIES | preparation_queries.QUERIES
+ORACLES |= model_queries.ORACLES | late_queries.ORACLES | index_queries.oracles() | preparation_queries.oracles(_SPLIT)
 ORACLES["metrics_on_indices"] = ORACLES["metrics_on_indices"].format(metrics=_MET)
 ORACLES["ranked_thresholds"] = f"SELECT *, CAST(row_number() OVER (ORDER BY exact_match DESC, t0, t1, t2) AS INT) AS place FROM ({ORACLES['threshold_search']}) ORDER BY place LIMIT 20"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -144,3 +145,16 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
 def read_folder(spark: SparkSession, folder: str, **policy) -> DataFrame:
     """All *.csv files below a folder, parsed."""
     return parsed(listed(spark, folder), **policy)
+
+
+def backgrounds(spark: SparkSession, folder: str, enabled: bool = True, **policy) -> DataFrame:
+    """The captures below a folder of background noise, parsed; none if it is not enabled or there is no such folder."""
+    nothing = parsed(spark.createDataFrame([], "file string, content binary"), **policy)
+    if not enabled:
+        return nothing
+    try:
+        return read_folder(spark, folder, **policy)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return nothing

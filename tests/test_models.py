@@ -143,3 +143,25 @@ def test_feature_store(spark, tmp_path):
     assert feature_store.update(x, path, {"n": 2}, compute).count() == 3
     feature_store.update(x, path, {"n": 1}, compute, rebuild=True)
     assert [len(s) for s in seen] == [2, 1, 3, 3]
+
+
+def test_features_of_batches(spark):
+    """Rows of several lengths in one batch have the features that numpy gives each alone."""
+    rng = np.random.default_rng(5)
+    rows = [rng.normal(size=n).tolist() for n in (1, 2, 7, 300, 7, 300)] + [[], None]
+    x = spark.createDataFrame(list(enumerate(rows)), "id int, x array<double>").coalesce(1)
+    got = x.select("id", W.audit_feature(F.col("x")).alias("a"), W.spectral_signature(F.col("x")).alias("s"), W.stft(F.col("x"), 4, 2, 3, 5, "log1p", "absolute_relative", "double").alias("m")).collect()
+    for r in got:
+        if not rows[r.id]:
+            assert (r.a, r.s, r.m) == (None, None, None)
+            continue
+        v = np.array(rows[r.id])
+        spread = lambda y, n: np.interp(np.linspace(0, 1, n), np.linspace(0, 1, len(y)), y) if len(y) > 1 else np.full(n, y[0])
+        level = spread(v, 256)
+        spectrum = np.log1p(np.abs(np.fft.rfft(v - v.mean())))
+        edges = np.linspace(0, len(spectrum), min(128, len(spectrum)) + 1).astype(int)
+        assert r.a[:256] == pytest.approx(level, abs=1e-5) and r.a[512:608] == pytest.approx(spread(np.log1p(np.abs(np.fft.rfft(level - level.mean()))), 96), abs=1e-4)
+        assert r.a[608:] == pytest.approx([level.mean(), level.std(), level.min(), level.max(), np.ptp(level), *np.percentile(level, [5, 50, 95])], abs=1e-5)
+        assert r.s == pytest.approx([spectrum[a:b].mean() for a, b in zip(edges, edges[1:], strict=False)])
+        m = np.log1p(W.boxed(W.magnitudes(v, 4, 2), 3, 5))
+        assert r.m[0] == pytest.approx(m.ravel()) and r.m[1] == pytest.approx(np.log1p(m / max(np.sqrt(np.mean(m * m)), 1e-12)).ravel())
