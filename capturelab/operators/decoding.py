@@ -108,13 +108,19 @@ def confidence_report(rows: DataFrame, low: float = 0.6, failures: int = 0) -> D
 
 
 def unknown_rejection(rows: DataFrame) -> DataFrame:
-    """One row over captures of unknown groups: how many are fully rejected, false accepts of each class, and their highest probabilities; zeros if there are none."""
+    """One row over captures of unknown groups: how many are fully rejected, and their highest probabilities; zeros if there are none. `false_accepts` has the others by class."""
     top = F.array_max("prob")
     zero = F.forall("pred", lambda v: v == 0)
     out = rows.agg(F.count("*").alias("n"), F.count_if(zero).alias("rejected"), F.avg(top).alias("m"), F.max(top).alias("x"))
     return out.select("n", "rejected", F.round(F.when(F.col("n") > 0, F.col("rejected") / F.col("n")).otherwise(0.0), 9).alias("rejection_rate"), F.round(F.coalesce("m", F.lit(0.0)), 6).alias("mean_top"), F.round(F.coalesce("x", F.lit(0.0)), 6).alias("max_top"))
 
 
+def false_accepts(rows: DataFrame) -> DataFrame:
+    """(class_id, n, accepted, rate) over captures of unknown groups: how often each class was said to be present, though none is."""
+    x = rows.select(F.posexplode("pred").alias("class_id", "p")).groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(F.col("p") == 1).alias("accepted"))
+    return x.withColumn("rate", F.round(F.col("accepted") / F.col("n"), 9))
+
+
 def blend_search(rows: DataFrame, step: float) -> DataFrame:
     """(alpha, accuracy) of (1 - alpha) a + alpha b against the index y, best first; of equals, the smaller alpha. rows: a, b array<double>, y int."""
     if not 0 < step <= 1:

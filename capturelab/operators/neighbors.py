@@ -1,53 +1,158 @@
-"""Exact nearest neighbours by blocks, and what they say about each vector."""
+"""Nearest neighbours, exact by blocks or searched in cells, and what they say about each vector."""
+
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import order_key
+
+FOUND = "id long, neighbour long, similarity double"
+
+
+def _close(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return np.round(a @ b.T, 9)
+    apart = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    return -np.round(np.sqrt(np.maximum(apart, 0) / max(a.shape[1], 1)), 9)
+
+
+def _top(s: np.ndarray, mine: np.ndarray, others: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best columns of each row, by value, then by id; `others` is in order."""
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    row, near = np.repeat(np.arange(len(mine)), best.shape[1]), best.ravel()
+    ok = np.isfinite(s[row, near])
+    return [mine[row[ok]], others[near[ok]], s[row[ok], near[ok]]]
+
+
+def _matrix(v, rows: int, metric: str) -> np.ndarray:
+    """The vectors of an Arrow column, of length 1 for cosine."""
+    v = np.asarray((v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten()).astype(np.float64).reshape(rows, -1 if rows else 0)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if metric == "cosine" else v
+
+
+def _placed(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
 
 def nearest(vectors: DataFrame, k: int, block_rows: int = 2048, metric: str = "cosine") -> DataFrame:
-    """(id, neighbour, similarity, place): the k most similar other vectors of every vector by cosine, or by metric `rms` (the negated root mean square of differences); of equals, the smaller id.
+    """(id, neighbour, similarity, place): the k most similar other vectors of every vector by cosine, or by metric `rms` (the negated root mean square of differences); of equals, the smaller id. Null vectors are left out.
 
     vectors: id long, v array<float>. Rows are dealt to blocks by a hash of the id; every two blocks meet once, in one
-    task, which keeps k candidates a row of both, and the candidates of a row are then merged.
+    task, which keeps k candidates a row of both, and the candidates of a row are then merged. The work is quadratic; `probed` is for large collections.
     """
+    vectors = vectors.where("v is not null")
     blocks = max(1, -(-vectors.count() // block_rows))
     dealt = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     other = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     met = other.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "id", "v")
 
-    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            return np.round(a @ b.T, 9)
-        apart = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-        return -np.round(np.sqrt(np.maximum(apart, 0) / max(a.shape[1], 1)), 9)
-
-    def top(s: np.ndarray, mine: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
-        """The k best columns of each row, by value, then by id; `others` is in order."""
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        row, near = np.repeat(np.arange(len(mine)), best.shape[1]), best.ravel()
-        ok = np.isfinite(s[row, near])
-        return [mine[row[ok]], others[near[ok]], s[row[ok], near[ok]]]
-
     def best(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids, side, flat = np.asarray(t["id"]), np.asarray(t["side"]), np.asarray(t["v"].chunk(0).flatten()).astype(np.float64)
-        v = flat.reshape(len(ids), -1)
-        if metric == "cosine":
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        order = np.argsort(ids, kind="stable")
+        ids, side = np.asarray(t["id"]), np.asarray(t["side"])
+        v, order = _matrix(t["v"], len(ids), metric), np.argsort(ids, kind="stable")
         a, b = order[~side[order]], order[side[order]]
         within = t["i"][0] == t["j"][0]
-        s = close(v[a], v[a if within else b])
+        s = _close(v[a], v[a if within else b], metric)
         if within:
             np.fill_diagonal(s, -np.inf)
-        found = [top(s, ids[a], ids[a if within else b])] + ([] if within else [top(s.T, ids[b], ids[a])])
+        found = [_top(s, ids[a], ids[a if within else b], k)] + ([] if within else [_top(s.T, ids[b], ids[a], k)])
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["id", "neighbour", "similarity"])
 
-    found = met.groupBy("i", "j").applyInArrow(best, "id long, neighbour long, similarity double")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return _placed(met.groupBy("i", "j").applyInArrow(best, FOUND), k)
+
+
+def centres(vectors: DataFrame, cells: int, metric: str = "cosine", sample: int = 65536, seed: int = 42, rounds: int = 10) -> np.ndarray:
+    """So many centres, by rounds of k-means on the driver over a bounded sample: the first rows in seeded order, at most `sample` and 64 for a cell."""
+    t = vectors.where("v is not null").orderBy(order_key(seed, F.col("id")), "id").limit(min(sample, 64 * cells)).select("v").toArrow()
+    x = _matrix(t["v"], t.num_rows, metric)
+    c = x[:cells].copy()
+    for _ in range(rounds if len(x) else 0):
+        home = ((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
+        sums, n = np.zeros_like(c), np.bincount(home, minlength=len(c))
+        np.add.at(sums, home, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def _cells(v: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
+    """For each vector, the nearest centres in order."""
+    return np.argsort((c * c).sum(1)[None, :] - 2 * (v @ c.T), axis=1, kind="stable")[:, :most]
+
+
+def fewest_probes(vectors: DataFrame, c: np.ndarray, k: int, recall: float, metric: str = "cosine", questions: int = 256, seed: int = 42) -> int:
+    """In how many cells a vector must ask to find this share of its k neighbours: measured on the exact neighbours, among all rows, of the first so many rows in seeded order."""
+    t = vectors.orderBy(order_key(seed + 1, F.col("id")), "id").limit(questions).select("id", "v").toArrow()
+    if not t.num_rows:
+        return 1
+    sent = vectors.sparkSession.sparkContext.broadcast((np.asarray(t["id"]), _matrix(t["v"], t.num_rows, metric), c))  # of bounded size
+
+    def best(batches):
+        names, q, c = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, v = np.asarray(b.column(0)), _matrix(b.column(1), b.num_rows, metric)
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            s = _close(q, v, metric)
+            s[names[:, None] == ids[None, :]] = -np.inf
+            found = _top(s, names, ids, k)
+            home = _cells(v, c, 1)[:, 0][np.searchsorted(ids, found[1])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(home.astype(np.int32))], names=["id", "neighbour", "similarity", "cell"])
+
+    rows = _placed(vectors.select("id", "v").mapInArrow(best, FOUND + ", cell int"), k).select("id", "cell").collect()  # questions x k rows
+    place = {i: np.argsort(o) for i, o in zip(sent.value[0].tolist(), _cells(sent.value[1], c, len(c)), strict=True)}
+    asked = sorted(int(place[r.id][r.cell]) for r in rows)
+    return asked[math.ceil(recall * len(asked)) - 1] + 1 if asked else 1
+
+
+def probed(vectors: DataFrame, k: int, probes: int | None = None, recall: float = 0.95, cells: int | None = None, block_rows: int = 2048, metric: str = "cosine", seed: int = 42) -> DataFrame:
+    """`nearest`, searched for only in the cells of the `probes` nearest centres, so some neighbours may be missing. Unless given, probes are the fewest that find this share of the neighbours of 256 rows; as many as cells find all.
+
+    There are about sqrt(rows) cells, at most 4,096. Every vector lies in one cell and asks in several. A cell's rows and its
+    questions are dealt to blocks by a hash of the id, so that no task holds a crowded cell.
+    """
+    vectors = vectors.where("v is not null")
+    vectors = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    if cells is None:
+        cells = min(4096, max(1, round(math.sqrt(vectors.count()))))
+    c = centres(vectors, cells, metric, seed=seed)
+    probes = min(probes or fewest_probes(vectors, c, k, recall, metric, seed=seed), len(c))
+    if not probes:
+        return vectors.sparkSession.createDataFrame([], FOUND + ", place int")
+    sent = vectors.sparkSession.sparkContext.broadcast(c)  # at most 4,096 centres
+
+    def asked(batches):
+        c = sent.value
+        for b in batches:
+            v, n = b.column(1), b.num_rows
+            if not n:
+                continue
+            cell = _cells(_matrix(v, n, metric), c, probes)
+            row = pa.array(np.repeat(np.arange(n), probes))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), v.take(row), pa.array(cell.ravel().astype(np.int32)), pa.array(np.tile(np.arange(probes) == 0, n))], names=["id", "v", "cell", "home"])
+
+    x = vectors.mapInArrow(asked, "id long, v array<float>, cell int, home boolean")
+    blocks = lambda n: F.ceil(n / block_rows).cast("int")
+    sizes = x.groupBy("cell").agg(blocks(F.count("*")).alias("asking"), blocks(F.count_if("home")).alias("lying")).where("lying > 0")
+    sized = x.join(F.broadcast(sizes), "cell")  # at most 4,096 rows
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lying = sized.where("home").select("cell", every("asking").alias("i"), dealt("lying").alias("j"), F.lit(False).alias("asks"), "id", "v")
+    asking = sized.select("cell", dealt("asking").alias("i"), every("lying").alias("j"), F.lit(True).alias("asks"), "id", "v")
+
+    def best(t: pa.Table) -> pa.Table:
+        ids, asks = np.asarray(t["id"]), np.asarray(t["asks"])
+        v, order = _matrix(t["v"], len(ids), metric), np.argsort(ids, kind="stable")
+        a, b = order[asks[order]], order[~asks[order]]
+        s = _close(v[a], v[b], metric)
+        s[ids[a][:, None] == ids[b][None, :]] = -np.inf
+        return pa.Table.from_arrays([pa.array(x) for x in _top(s, ids[a], ids[b], k)], names=["id", "neighbour", "similarity"])
+
+    return _placed(asking.unionByName(lying).groupBy("cell", "i", "j").applyInArrow(best, FOUND), k)
 
 
 def profiles(near: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _shown(rows):
 
 def _unknown(s, d):
     x = decoding.independent(views.scores(s, d), 3, 0.6)
-    return decoding.unknown_rejection(x.where(F.col("group").cast("int") <= 2))
+    return x.where(F.col("group").cast("int") <= 2)
 
 
 def _blend(s, d):
@@ -111,7 +111,8 @@ QUERIES = {
     "combination_report": lambda s, d: decoding.combination_report(_structured(s, d), NAMES),
     "class_report": lambda s, d: decoding.class_report(_structured(s, d)),
     "confidence_report": lambda s, d: decoding.confidence_report(_structured(s, d)),
-    "unknown_rejection": _unknown,
+    "unknown_rejection": lambda s, d: decoding.unknown_rejection(_unknown(s, d)),
+    "false_accepts": lambda s, d: decoding.false_accepts(_unknown(s, d)),
     "blend_search": _blend,
     "source_weights": lambda s, d: decoding.source_weights(_label_rows(s, d), "doc_id", 2),
     "positive_weights": lambda s, d: decoding.positive_weights(_label_rows(s, d)),
@@ -211,6 +212,7 @@ ORACLES = {
     "class_report": _LOG + "SELECT CAST(i-1 AS INT) AS class_id, CAST(sum((w >> (3-i)) & 1) AS BIGINT) AS present, round(avg((w >> (3-i)) & 1),9) AS present_rate, round(avg(prob[i]),6) AS mean_prob FROM dg, (SELECT unnest([1,2,3]) AS i) GROUP BY i",
     "confidence_report": _LOG + _CONF,
     "unknown_rejection": _IND + "u AS (SELECT list_max(prob) AS t, NOT list_bool_or([CAST(v AS FLOAT)>=CAST(0.6 AS FLOAT) FOR v IN prob]) AS z FROM s WHERE g<=2) SELECT count(*) AS n, count(*) FILTER (z) AS rejected, round(coalesce(avg(CAST(z AS INT)),0e0),9) AS rejection_rate, round(coalesce(avg(t),0e0),6) AS mean_top, round(coalesce(max(t),0e0),6) AS max_top FROM u",
+    "false_accepts": _IND + "u AS (SELECT CAST(i-1 AS INT) AS class_id, CAST(prob[i] AS FLOAT)>=CAST(0.6 AS FLOAT) AS z FROM s, (SELECT unnest([1,2,3]) AS i) WHERE g<=2) SELECT class_id, count(*) AS n, count(*) FILTER (z) AS accepted, round(avg(CAST(z AS INT)),9) AS rate FROM u GROUP BY class_id",
     "blend_search": _LOG + """, b AS (SELECT label % 7 AS y, cp, [exp(v)/list_sum([exp(u) FOR u IN o]) FOR v IN o] AS q FROM st), h AS (SELECT alpha, y, [(1-alpha)*cp[i]+alpha*q[i] FOR i IN range(1,8)] AS m FROM b, (SELECT unnest([0e0,25e-2,5e-1,75e-2,1e0]) AS alpha))
   SELECT alpha, round(avg(CAST(list_position(m,list_max(m))-1=y AS INT)),9) AS accuracy FROM h GROUP BY alpha""",
     "source_weights": "WITH c AS (SELECT count(*) AS n, sum(quality) AS a, sum(toxic) AS b FROM labels) SELECT doc_id, round((CAST(n AS DOUBLE)/greatest(CASE WHEN quality=1 THEN a ELSE n-a END,1)+CAST(n AS DOUBLE)/greatest(CASE WHEN toxic=1 THEN b ELSE n-b END,1))/2,9) AS weight FROM labels, c",

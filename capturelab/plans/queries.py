@@ -94,6 +94,7 @@ QUERIES = {
     "open_set": lambda s, d: metrics.open_set(views.scores(s, d), 0.8, 0.55),
     "presence_status": lambda s, d: metrics.presence(views.scores(s, d)),
     "nearest_neighbours": lambda s, d: neighbors.nearest(_vectors(s, d), 5).select("id", "neighbour", "place", F.round("similarity", 6).alias("similarity")),
+    "probed_neighbours": lambda s, d: neighbors.probed(_vectors(s, d), 5).select("id", "neighbour", "place", F.round("similarity", 6).alias("similarity")),
     "neighbour_categories": lambda s, d: neighbors.categories(neighbors.nearest(_vectors(s, d), 10), _labels(s, d)),
     "point_statistics": lambda s, d: neighbors.point_statistics(_vectors(s, d)),
 }

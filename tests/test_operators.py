@@ -46,11 +46,26 @@ def test_neighbours_do_not_depend_on_blocks(spark):
     assert one == many and len(one) == 180
 
 
+def test_probed_neighbours(spark):
+    v = spark.range(300).select("id", F.when(F.col("id") < 299, F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i).cast("float"))).alias("v"))
+    for metric in ("cosine", "rms"):
+        exact, whole, some = (set(map(tuple, x.select("id", "neighbour", "place").collect())) for x in (neighbors.nearest(v, 3, metric=metric), neighbors.probed(v, 3, probes=17, block_rows=9, metric=metric), neighbors.probed(v, 3, metric=metric)))
+        assert exact == whole and len(exact) == 897
+        assert len({t[:2] for t in exact} & {t[:2] for t in some}) >= 0.9 * len(exact)
+    assert neighbors.probed(v.limit(0), 3).count() == 0
+
+
 DATA = "/root/testdata/sf0.001"
 
 
-#: Held by tests of their parts against numpy or by conditions of the optimum.
-WITHOUT_SQL = {"pca_dimensions", "template_features", "augmented_spectra"}
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_probed_query_finds_the_neighbours(spark):
+    exact, some = ({(r.id, r.neighbour) for r in QUERIES[q](spark, "/root/testdata/sf0.01").collect()} for q in ("nearest_neighbours", "probed_neighbours"))
+    assert len(exact & some) >= 0.9 * len(exact)
+
+
+#: Held by tests of their parts against numpy, by conditions of the optimum or by their recall.
+WITHOUT_SQL = {"pca_dimensions", "template_features", "augmented_spectra", "probed_neighbours"}
 
 
 def test_every_query_has_sql_or_a_test():
