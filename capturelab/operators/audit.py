@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import labels as L
+from .quantiles import quantiles
 
 FIELDS = ("min_db", "p01_db", "p05_db", "mean_db", "median_db", "p95_db", "p99_db", "max_db", "std_db", "p2p_db", "diff_p95", "diff_p99", "max_jump", "jump_ratio", "nonnegative_ratio", "boundary_ratio")
 ROBUST = ("mean_db", "median_db", "std_db", "p2p_db", "diff_p95")
@@ -84,11 +85,10 @@ def issue_counts(issue_rows: DataFrame) -> DataFrame:
 def summary_by(stats: DataFrame, metrics=("mean_db", "std_db", "p2p_db", "max_jump")) -> DataFrame:
     """Five numbers and the mean of each metric: overall, by group and by ratio."""
     long = stats.select("group", F.coalesce("ratio", F.lit("(none)")).alias("ratio"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))).alias("x")).select("group", "ratio", "x.metric", "x.v")
-    q = F.percentile("v", F.array(*map(F.lit, (0.05, 0.5, 0.95))))
-    sets = long.groupingSets([["metric"], ["metric", "group"], ["metric", "ratio"]], "metric", "group", "ratio")
-    out = sets.agg(F.count("*").alias("n"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.grouping_id().alias("gid"))
-    scope = F.when(F.col("gid") == 3, "overall").when(F.col("gid") == 1, "group").otherwise("ratio")
-    key = F.coalesce("group", "ratio", F.lit("all"))
+    of = lambda scope, key: F.struct(F.lit(scope).alias("scope"), F.coalesce(key, F.lit("all")).alias("key"))
+    sets = long.select(F.explode(F.array(of("overall", F.lit("all")), of("group", F.col("group")), of("ratio", F.col("ratio")))).alias("s"), "metric", "v").select("s.*", "metric", "v")
+    out = quantiles(sets, ["scope", "key", "metric"], F.col("v"), [0.05, 0.5, 0.95], F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    scope, key = F.col("scope"), F.col("key")
     rounded = [F.round(v, 6).alias(k) for k, v in (("min_value", F.col("min")), ("p05", F.col("q")[0]), ("median", F.col("q")[1]), ("p95", F.col("q")[2]), ("max_value", F.col("max")), ("mean", F.col("mean")))]
     return out.select(scope.alias("scope"), key.alias("key"), "metric", "n", *rounded)
 
@@ -101,8 +101,10 @@ def modal_length(stats: DataFrame) -> DataFrame:
 
 def recommended(stats: DataFrame) -> DataFrame:
     """Clip range and deviation floor from the corpus."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return stats.agg(F.floor(q("median_db", 0.01) - 5).cast("long").alias("clip_low"), F.ceil(q("median_db", 0.99) + 5).cast("long").alias("clip_high"), F.greatest(F.lit(1), F.ceil(q("std_db", 0.99))).cast("long").alias("variation_max"))
+    long = stats.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("median_db", "std_db")))).alias("x")).select("x.*")
+    q = quantiles(long, ["metric"], F.col("v"), [0.01, 0.99])
+    of = lambda c, i: F.max(F.when(F.col("metric") == c, F.get("q", F.lit(i))))
+    return q.agg(F.floor(of("median_db", 0) - 5).cast("long").alias("clip_low"), F.ceil(of("median_db", 1) + 5).cast("long").alias("clip_high"), F.greatest(F.lit(1), F.ceil(of("std_db", 1))).cast("long").alias("variation_max"))
 
 
 def condition_outliers(stats: DataFrame, z: float = 5.0, least: int = 8) -> DataFrame:

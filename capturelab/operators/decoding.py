@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, total
+from .quantiles import quantiles
 
 #: Weights of the combination, label and count heads: fixed values.
 HEADS = (1.0, 0.3, 0.2)
@@ -97,12 +98,14 @@ def class_report(rows: DataFrame) -> DataFrame:
 
 def confidence_report(rows: DataFrame, low: float = 0.6, failures: int = 0) -> DataFrame:
     """One row: totals, five numbers and mean of confidence, margin and entropy, and which warnings hold."""
-    cells = [F.count("*").alias("n"), F.count_if(F.col("confidence") < low).alias("low_confidence")]
-    for c in ("confidence", "margin", "entropy"):
-        q = F.percentile(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-        cells += [F.round(F.min(c), 6).alias(f"{c}_min"), *(F.round(q[i], 6).alias(f"{c}_{p}") for i, p in enumerate(("p05", "median", "p95"))), F.round(F.max(c), 6).alias(f"{c}_max"), F.round(F.avg(c), 6).alias(f"{c}_mean")]
+    totals = rows.agg(F.count("*").alias("n"), F.count_if(F.col("confidence") < low).alias("low_confidence"))
+    metrics = ("confidence", "margin", "entropy")
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in metrics))).alias("x")).select("x.*")
+    five = quantiles(long, ["metric"], F.col("v"), [0.05, 0.5, 0.95], F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    parts = {"min": F.col("min"), "p05": F.get("q", F.lit(0)), "median": F.get("q", F.lit(1)), "p95": F.get("q", F.lit(2)), "max": F.col("max"), "mean": F.col("mean")}
+    cells = five.agg(*(F.round(F.max(F.when(F.col("metric") == c, v)), 6).alias(f"{c}_{p}") for c in metrics for p, v in parts.items()))
     dominant = rows.groupBy(F.array_join("pred", "").alias("combo")).agg(F.count("*").alias("c")).agg(F.max("c").alias("dominant"))
-    one = rows.agg(*cells).crossJoin(dominant)  # both have one row
+    one = totals.crossJoin(cells).crossJoin(dominant)  # one row each
     n = F.col("n")
     return one.select(*[c for c in one.columns if c != "dominant"], F.lit(failures > 0).alias("warn_failures"), ((n > 0) & (F.col("low_confidence") >= 0.10 * n)).alias("warn_low_confidence"), F.coalesce((n > 0) & (F.col("dominant") >= 0.80 * n), F.lit(False)).alias("warn_dominant"))
 

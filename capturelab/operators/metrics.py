@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import combo
+from ..sources.shared import kept
+from .quantiles import placed
 
 
 def decided(scores: DataFrame, threshold: float | list[float] = 0.5) -> DataFrame:
@@ -68,38 +70,53 @@ def accuracy_by(rows: DataFrame, by: str, expected: list[str]) -> DataFrame:
     return got.join(F.broadcast(keys), by, "full").select(by, F.coalesce("n", F.lit(0)).alias("n"), F.round(_ratio(F.coalesce("correct", F.lit(0)), F.coalesce("n", F.lit(0))), 9).alias("accuracy"))
 
 
-#: A grid of more points than this is refused; search it by class or with a wider step.
-MOST_POINTS = 1_000_000
-
-
 def threshold_search(scores: DataFrame, classes: int, start: float, end: float, step: float) -> DataFrame:
-    """Exact match and micro F1 of every combination of per-class thresholds. Rows are first counted by the bins that decide them, so the grid meets a table of bounded size."""
+    """Exact match and micro F1 of every combination of per-class thresholds.
+
+    Rows are first counted by the bins that decide them. A row is an exact match in a box of the grid: for a class that is there below its bin, for another from its bin on.
+    So it adds its weight at the box's lower corner and takes it back where the box ends, 2 corners a class that is there, and sums along one class after another give the count at each
+    point. True and predicted positives add up over classes, so they come from one table of bins a class. The work grows with the bins and with the points, not with both at once.
+    """
     n = int(round((end - start) / step)) + 1
-    if n**classes > MOST_POINTS:
-        raise ValueError(f"a grid of {n}^{classes} points")
     grid = [round(start + i * step, 10) for i in range(n)]
     steps = F.array(*(F.lit(g).cast("float") for g in grid))
-    bins = scores.select(F.transform("prob", lambda p: F.size(F.filter(steps, lambda g: p.cast("float") >= g))).alias("bin"), "target").groupBy("bin", "target").agg(F.count("*").alias("w"))
-    spark = scores.sparkSession
-    points = spark.range(n**classes).select(*((F.floor(F.col("id") / n ** (classes - 1 - k)) % n).cast("int").alias(f"g{k}") for k in range(classes)))
-    pred = lambda k: (F.col("bin")[k] > F.col(f"g{k}")).cast("long")
-    y = lambda k: F.col("target")[k].cast("long")
-    w = F.col("w")
-    exact = F.lit(True)
-    for k in range(classes):
-        exact = exact & (pred(k) == y(k))
-    add = lambda f: F.sum(w * sum((f(k) for k in range(1, classes)), f(0)))
-    # every cell meets every grid point: both sides are bounded by the grid, whatever the corpus
-    out = bins.crossJoin(F.broadcast(points)).groupBy(*(f"g{k}" for k in range(classes))).agg(F.sum(w).alias("n"), F.sum(F.when(exact, w).otherwise(0)).alias("exact"), add(lambda k: pred(k) * y(k)).alias("tp"), add(lambda k: pred(k) + y(k)).alias("both"))
+    bins = kept(scores.select(F.transform("prob", lambda p: F.size(F.filter(steps, lambda g: p.cast("float") >= g))).alias("bin"), "target").groupBy("bin", "target").agg(F.count("*").alias("w")))
+    axes = range(classes)
+    there = lambda k: F.get("target", F.lit(k)) == 1
+    bin_ = lambda k: F.get("bin", F.lit(k)).cast("long")
+    corners = bins.select(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("w").alias("w"))).alias("x"), "bin", "target")
+    for k in axes:
+        size = n ** (classes - 1 - k)
+        moved = lambda x, by, sign: F.struct((x["at"] + by).alias("at"), (sign * x["w"]).alias("w"))
+        lower = F.transform("x", lambda x: moved(x, F.when(there(k), 0).otherwise(bin_(k) * size), 1))
+        upper = F.when(there(k) & (bin_(k) < n), F.transform("x", lambda x: moved(x, bin_(k) * size, -1)))
+        # a box that begins behind the last point has none
+        corners = corners.where(there(k) | (bin_(k) < n)).withColumn("x", F.concat(lower, F.coalesce(upper, F.array().cast("array<struct<at:bigint,w:bigint>>"))))
+    deltas = corners.select(F.explode("x").alias("x")).groupBy("x.at").agg(F.sum("x.w").alias("exact"))
+    points = scores.sparkSession.range(n**classes).withColumnRenamed("id", "at").join(deltas, "at", "left").withColumn("exact", F.coalesce("exact", F.lit(0)))
+    points = points.select("at", "exact", *((F.floor(F.col("at") / n ** (classes - 1 - k)) % n).cast("int").alias(f"g{k}") for k in axes))
+    for k in axes:
+        others = [f"g{j}" for j in axes if j != k]
+        points = points.withColumn("exact", F.sum("exact").over(Window.partitionBy(*others).orderBy(f"g{k}")))
+    long = bins.select("w", F.posexplode(F.arrays_zip("bin", "target")).alias("k", "x")).select("k", "x.bin", (F.col("x.target") == 1).cast("long").alias("y"), "w")
+    by_bin = long.groupBy("k", "bin").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("t")).collect()  # a row for each class and bin
+    total = bins.agg(F.sum("w")).first()[0] or 0
+    if not total:
+        points = points.limit(0)
+    past = lambda k, i, c: sum(r[c] for r in by_bin if r.k == k and r.bin > i)
+    table = lambda c: [F.get(F.array(*(F.lit(past(k, i, c)).cast("long") for i in range(n))), F.col(f"g{k}")) for k in axes]
+    tp, predicted = sum(table("t")[1:], table("t")[0]), sum(table("w")[1:], table("w")[0])
+    both = predicted + F.lit(sum(r.t for r in by_bin))
     value = lambda k: F.element_at(F.array(*map(F.lit, grid)), F.col(f"g{k}") + 1).alias(f"t{k}")
-    return out.select(*(value(k) for k in range(classes)), F.round(F.col("exact") / F.col("n"), 9).alias("exact_match"), F.round(_ratio(2 * F.col("tp"), F.col("both")), 9).alias("micro_f1"))
+    return points.select(*(value(k) for k in axes), F.round(F.col("exact") / F.lit(total), 9).alias("exact_match"), F.round(_ratio(2 * tp, both), 9).alias("micro_f1"))
 
 
 def ranked(search: DataFrame, metric: str, classes: int, most: int | None = None) -> DataFrame:
     """The grid points of a search by a metric, the best first and equals in the grid's order, with place; the first `most` if given."""
     order = [F.desc(metric), *(f"t{k}" for k in range(classes))]
-    best = search.orderBy(*order).limit(most) if most else search
-    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    if most is None:
+        return placed(search, *order).withColumn("place", F.col("place").cast("int"))
+    return search.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def source_counts(rows: DataFrame) -> DataFrame:

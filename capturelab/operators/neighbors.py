@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .splits import order_key
 
 FOUND = "id long, neighbour long, similarity double"
@@ -165,8 +166,8 @@ def categories(near: DataFrame, labels: DataFrame, one: float = 1.0) -> DataFram
     mine, other = labels.select("id", "label"), labels.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
     x = near.join(mine, "id").join(other, "neighbour")
     rows = x.groupBy("id", "label").agg(F.avg((F.col("label") == F.col("other")).cast("int")).alias("own"), F.max(F.lit(one) - F.col("similarity")).alias("radius"))
-    q = lambda p: F.percentile("radius", F.lit(p))
-    fences = rows.groupBy(F.col("label").alias("_label")).agg((q(0.75) + 3 * (q(0.75) - q(0.25))).alias("fence"))
+    high, low = F.get("q", F.lit(1)), F.get("q", F.lit(0))
+    fences = quantiles(rows, ["label"], F.col("radius"), [0.25, 0.75], most=labels.count()).select(F.col("label").alias("_label"), (high + 3 * (high - low)).alias("fence"))
     fenced = rows.join(fences, F.col("label").eqNullSafe(F.col("_label")))
     kind = F.when(F.col("radius") > F.col("fence"), "isolated").when(F.col("own") >= 0.8, "typical").when(F.col("own") >= 0.5, "boundary").otherwise("other_dominated")
     return fenced.select("id", "label", F.round("own", 6).alias("own_fraction"), F.round("radius", 6).alias("radius"), kind.alias("category"))
@@ -174,6 +175,7 @@ def categories(near: DataFrame, labels: DataFrame, one: float = 1.0) -> DataFram
 
 def point_statistics(signals: DataFrame) -> DataFrame:
     """Mean, deviation and quantiles of all signals at each place."""
+    signals = signals.where("v is not null")
     long = signals.select(F.posexplode("v").alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x"))
-    q = F.percentile("x", F.array(F.lit(0.05), F.lit(0.95)))
-    return long.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), q.alias("q")).select("pos", F.round("m", 6).alias("mean"), F.round("s", 6).alias("std"), F.round(F.col("q")[0], 6).alias("p05"), F.round(F.col("q")[1], 6).alias("p95"))
+    made = quantiles(long, ["pos"], F.col("x"), [0.05, 0.95], F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), most=signals.count())
+    return made.select("pos", F.round("m", 6).alias("mean"), F.round("s", 6).alias("std"), F.round(F.get("q", F.lit(0)), 6).alias("p05"), F.round(F.get("q", F.lit(1)), 6).alias("p95"))

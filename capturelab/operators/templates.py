@@ -1,7 +1,5 @@
 """Spectral templates of single sources and what they say about a mixture's power spectrum."""
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.arrays import let, total
+from .classifier import Softmax, softmax_classifier
 from .splits import order_key
 
 
@@ -28,27 +27,47 @@ def build(rows: DataFrame, most: int = 1000, seed: int = 42) -> DataFrame:
     return one.select("class", let(total(F.col("t")), lambda s: F.transform("t", lambda v: F.when(s <= 1e-20, v).otherwise(v / s))).alias("template"))
 
 
-def nonnegative_fit(design: np.ndarray, power: np.ndarray) -> np.ndarray:
-    """Least-squares coefficients >= 0 of rows of power on the columns of design, exact: the best feasible of all subsets of columns."""
+def nonnegative_fit(design: np.ndarray, power: np.ndarray, rounds: int = 10_000) -> np.ndarray:
+    """Least-squares coefficients >= 0 of rows of power on the columns of design, by block principal pivoting.
+
+    A row's columns are split into free ones, whose coefficients solve the normal equations, and bound ones, which are 0. Columns with a negative coefficient, or
+    with a gradient that asks for more, change sides: all of them while their number falls, and after three rounds without that only the last one, which ends for any
+    split. Rows with one split are solved together. A row is done when no column wants to change: these are the optimum's conditions.
+    """
     n, k = len(power), design.shape[1]
-    best, cost = np.zeros((n, k)), (power * power).sum(axis=1)
-    for size in range(1, k + 1):
-        for subset in map(list, itertools.combinations(range(k), size)):
-            c = power @ np.linalg.pinv(design[:, subset]).T
-            r = ((power - c @ design[:, subset].T) ** 2).sum(axis=1)
-            better = (c >= 0).all(axis=1) & (r < cost - 1e-15)
-            cost = np.where(better, r, cost)
-            best[better] = 0
-            best[np.ix_(better, subset)] = c[better]
-    return best
+    gram, right = design.T @ design, power @ design
+    scale = 1e-10 * np.maximum(np.abs(right).max(axis=1, initial=0.0), 1e-300)[:, None]
+    free, c, g = np.zeros((n, k), bool), np.zeros((n, k)), -right
+    fewest, tries = np.full(n, k + 1), np.full(n, 3)
+    for _ in range(rounds):
+        wrong = np.where(free, c < -1e-12 * np.maximum(np.abs(c).max(axis=1, initial=0.0), 1e-300)[:, None], g < -scale)
+        count = wrong.sum(axis=1)
+        todo = np.flatnonzero(count)
+        if not len(todo):
+            return np.where(free, np.maximum(c, 0), 0)
+        better = count[todo] < fewest[todo]
+        tries[todo] = np.where(better, 3, tries[todo] - 1)
+        fewest[todo] = np.where(better, count[todo], fewest[todo])
+        single = todo[tries[todo] < 0]
+        last = k - 1 - wrong[single, ::-1].argmax(axis=1)
+        flip = wrong[todo]
+        flip[tries[todo] < 0] = np.arange(k)[None, :] == last[:, None]
+        free[todo] ^= flip
+        splits, member = np.unique(free[todo], axis=0, return_inverse=True)
+        member = member.ravel()
+        for j, split in enumerate(splits):
+            rows, on = todo[member == j], np.flatnonzero(split)
+            c[rows] = 0
+            if len(on):
+                c[np.ix_(rows, on)] = np.linalg.lstsq(gram[np.ix_(on, on)], right[np.ix_(rows, on)].T, rcond=1e-13)[0].T
+            g[rows] = c[rows] @ gram - right[rows]
+    raise ArithmeticError("no split was found that meets the conditions")
 
 
 def mixture_features(rows: DataFrame, templates: np.ndarray) -> DataFrame:
-    """rows (power; null: null) with features: K fractions, K log1p coefficients, K cosines, the relative residual and the flat background's coefficient. templates: K x bins, K up to 10."""
+    """rows (power; null: null) with features: K fractions, K log1p coefficients, K cosines, the relative residual and the flat background's coefficient. templates: K x bins."""
     templates = np.asarray(templates, np.float64)
     k, bins = templates.shape
-    if k > 10:
-        raise ValueError("too many templates")
     design = np.column_stack([templates.T, np.full(bins, 1 / bins)])
 
     def made(batches):
@@ -67,19 +86,9 @@ def mixture_features(rows: DataFrame, templates: np.ndarray) -> DataFrame:
     return rows.mapInArrow(made, StructType([*rows.schema.fields, StructField("features", ArrayType(DoubleType()))]))
 
 
-def combination_model(rows: DataFrame, most: int = 2000, seed: int = 42):
-    """A fitted pipeline from features to the combination's index (y): standardized, then multinomial logistic with balanced weights. Learns from up to so many rows of each combination."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(order_key(seed, F.col("file")), "file"))
-    some = with_vectors(rows).withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
-    counts = some.groupBy("y").agg(F.count("*").alias("_n"))
-    sizes = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    weighted = some.join(F.broadcast(counts.crossJoin(sizes)), "y").withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n")))  # one row a combination
-    steps = [StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", family="multinomial", maxIter=200)]
-    return Pipeline(stages=steps).fit(weighted)
+def combination_model(rows: DataFrame, most: int | None = 2000, seed: int = 42) -> Softmax:
+    """The model from features to the combination's index (y), learnt from up to so many rows of each combination, or from all."""
+    return softmax_classifier(rows, most, seed=seed)
 
 
 def with_vectors(rows: DataFrame) -> DataFrame:
