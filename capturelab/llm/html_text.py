@@ -8,11 +8,15 @@ their own lines, with a blank line around paragraphs, headings, lists and tables
 have markers and are indented by depth; table cells are padded to their columns' widths;
 preformatted text keeps its white space.
 
-The builder works on a stack, so depth is no limit. Null html gives an empty text; text
+Numbered lists follow start, reversed, type and the items' values; of closed details only the summary shows.
+
+The builder works on a stack, so depth is no limit, and knows where the nearest open element of each
+name is, so that a tag costs the same at any depth. Null html gives an empty text; text
 without tags is one block; unclosed and unmatched tags are borne. A cell that spans rows leaves its
-columns free in the rows below. A table is padded unless that took more than PADDED times its text
-(a long article in one cell of many rows); its cells are then set apart by two spaces. A page of any
-length is one row of work, repeated rows are each given their text, an empty table gives none, and
+columns free in the rows below; one that spans columns is cut where such a cell begins, and spans 1,000 at most, as HTML has it. A column is as wide as its
+widest line of WIDEST characters or less; a longer line runs on over its column's end, and what stands right of it follows after two spaces.
+Columns that begin beyond REACH characters are set apart by two spaces. Both hold whatever else the table has, and bound the padding of a line. A page of any
+length is one row of work, in time linear in its length; repeated rows are each given their text, an empty table gives none, and
 columns besides page_id and html play no part, whatever their names.
 """
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +33,11 @@ from .common import read
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>][^\s>]*)))?""")
-_NOTABLE = re.compile("hidden|style|colspan|rowspan|start|display|visibility", re.I)
+_NOTABLE = re.compile("hidden|style|colspan|rowspan|start|display|visibility|open|reversed|type|value", re.I)
 #: What may still follow the last ">".
 _TAIL = re.compile(r"<!--.*|<!\[CDATA\[(.*)|<[!?].*", re.S)
-PADDED = 64
+#: Lines longer than WIDEST don't widen a column; columns beyond REACH aren't aligned.
+WIDEST, REACH = 120, 1200
 _COMMENT, _NUMBER = re.compile(r"/\*.*?(?:\*/|$)", re.S), re.compile(r"\s*([+-]?\d{1,9})")
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,11 +86,36 @@ def styles(value: str) -> dict[str, str]:
     return {k: v for k, (_, v) in out.items()}
 
 
-def _integer(value: str | None, default: int) -> int:
+def _integer(value: str | None, default: int | None) -> int | None:
     m = _NUMBER.match(value or "")
     return int(m[1]) if m else default
 
 
+class Marker:
+    """An item's number, which in a reversed list is known when the list ends."""
+
+    __slots__ = ("kind", "number")
+
+    def __init__(self, kind: str, number: int):
+        self.kind, self.number = kind, number
+
+    def __str__(self) -> str:
+        n, shown = self.number, ""
+        if self.kind in ("a", "A") and n > 0:
+            while n:
+                n, k = divmod(n - 1, 26)
+                shown = chr(ord(self.kind) + k) + shown
+        elif self.kind in ("i", "I") and 0 < n < 4000:
+            for value, sign in ROMAN:
+                shown += sign * (n // value)
+                n %= value
+            shown = shown if self.kind == "I" else shown.lower()
+        return f"{shown or self.number}. "
+
+
+ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+
+
 class Flow:
     """Lines of text in the making."""
 
@@ -100,7 +131,8 @@ class Flow:
         if self.breaks or not self.started:
             if self.started:
                 self.parts.append("\n" * self.breaks)
-            self.parts.append("  " * max(0, self.indent - bool(self.marker)) + self.marker)
+            self.parts.append("  " * max(0, self.indent - bool(self.marker)))
+            self.parts.append(self.marker)
             self.breaks, self.marker, self.started, self.space = 0, "", True, False
         elif self.space:
             self.parts.append(" ")
@@ -131,40 +163,73 @@ class Flow:
                 self.put(row)
 
     def text(self) -> str:
-        return "".join(self.parts)
+        return "".join(map(str, self.parts))
+
+
+class _Columns:
+    """The columns that cells of rows above leave free, as intervals in order."""
+
+    def __init__(self):
+        self.starts, self.ends, self.freed = [0], [1 << 60], {}
+
+    def row(self, r: int) -> None:
+        """Frees what cells have held up to this row."""
+        for a, b in self.freed.pop(r, ()):
+            k = bisect_left(self.starts, a)
+            if k and self.ends[k - 1] == a:
+                k -= 1
+                self.ends[k] = b
+            else:
+                self.starts.insert(k, a)
+                self.ends.insert(k, b)
+            if k + 1 < len(self.starts) and self.starts[k + 1] == b:
+                self.ends[k] = self.ends.pop(k + 1)
+                del self.starts[k + 1]
+
+    def take(self, at: int, columns: int, r: int, down: int) -> tuple[int, int]:
+        """The first free columns from `at` on, as many as are free of those asked for; held for the rows below too."""
+        k = bisect_right(self.starts, at) - 1
+        if k < 0 or self.ends[k] <= at:
+            k += 1
+        a = max(at, self.starts[k])
+        b = min(a + columns, self.ends[k])
+        if down > 1:
+            self.freed.setdefault(r + down, []).append((a, b))
+            rest = [(x, y) for x, y in ((self.starts[k], a), (b, self.ends[k])) if x < y]
+            self.starts[k : k + 1], self.ends[k : k + 1] = [x for x, _ in rest], [y for _, y in rest]
+        return a, b
 
 
 def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Lines of a table's rows of cells (text, columns, rows)."""
     width: dict[int, int] = {}
-    free: dict[int, int] = {}  # the first row in which a column is free again
-    cells, size, high = [], 0, 0
+    free, placed = _Columns(), []
     for r, row in enumerate(rows):
-        at, placed = 0, []
+        free.row(r)
+        at, lines = 0, []  # for each line of the row, its cells
         for text, columns, down in row:
-            while free.get(at, 0) > r:
-                at += 1
-            lines = text.split("\n")
-            if columns == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines))
-            if down > 1:
-                free.update(dict.fromkeys(range(at, at + columns), min(r + down, len(rows))))
-            placed.append((at, columns, lines))
-            size += len(text)
-            at += columns
-        cells.append(placed)
-        high += max((len(x) for *_, x in placed), default=0)
-    if high * (sum(width.values()) + 2 * len(width)) > PADDED * (size + 4096):
-        width = {}
+            begin, at = free.take(at, columns, r, down)
+            for k, line in enumerate(text.split("\n")):
+                if k == len(lines):
+                    lines.append([])
+                if line:
+                    lines[k].append((begin, line))
+                if len(line) <= WIDEST and columns == 1:
+                    width[begin] = max(width.get(begin, 0), len(line))
+        placed.append(lines)
+    known = sorted(width)
+    before = [0]
+    for c in known:
+        before.append(before[-1] + width[c])
     out = []
-    for placed in cells:
-        for k in range(max((len(x) for *_, x in placed), default=0)):
-            line, reach = [], 0
-            for at, columns, lines in placed:
-                if width:
-                    line.append(" " * sum(width.get(c, 0) + 2 for c in range(reach, at)))
-                reach = at + columns
-                line.append((lines[k] if k < len(lines) else "").ljust(sum(width.get(c, 0) for c in range(at, reach)) + 2 * (columns - 1) * bool(width)) + "  ")
+    for lines in placed:
+        for cells in lines:
+            line, size = [], 0
+            for column, text in cells:
+                begin = 2 * column + before[bisect_left(known, column)]
+                gap = max(begin - size if begin <= REACH else 0, 2 if size else 0)
+                line += [" " * gap, text]
+                size += gap + len(text)
             out.append("".join(line).rstrip())
     return out
 
@@ -173,25 +238,21 @@ class Page:
     """The stack of open elements and the flow that text goes to; a table's cells are flows of their own."""
 
     def __init__(self):
-        self.open: list[tuple[str, tuple[int, int, int], object]] = []  # name, what it adds to the counts below, what it holds
+        self.open: list[tuple] = []  # name, what it adds to the counts below, what it holds, whether a summary of it is still to show
         self.flow, self.pre = Flow(), 0
         #: Open elements that hide by name, attribute or display; svg outside its texts; hidden visibility.
         self.gone, self.svg, self.unseen = 0, 0, 0
         self.foreign, self.paragraphs = 0, [0]  # open svg and math; open paragraphs by scope
         self.lists: list[list] = []
-        self.named: dict[str, int] = {}  # open elements by name
+        self.places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+        self.tables: list[tuple] = []  # what open tables hold
 
     def start(self, name: str, rest: str) -> None:
         while self.open and self.open[-1][0] == "head" and name not in HEAD:
             self.pop()
         if self.foreign:
             if name in BREAKOUT:
-                for x in reversed(self.open):
-                    if x[0] in WITHIN:
-                        break
-                    if x[0] in ("svg", "math"):
-                        self.close({x[0]}, ())
-                        break
+                self.close({"svg", "math"}, WITHIN)
             if self.foreign and rest.endswith("/") and name not in VOID:
                 return
         if name in BLOCKS and self.paragraphs[-1]:
@@ -219,13 +280,13 @@ class Page:
             if name in BLOCKS:
                 f.line(2 if name in SPACED and not (name in ("ul", "ol") and self.lists) else 1)
             if name in ("ul", "ol", "menu"):
-                self.lists.append([name, _integer(given.get("start"), 1) if name == "ol" else 1])
+                back = name == "ol" and "reversed" in given
+                # kind, next number, step, type of numbers, markers that wait for the list's length
+                self.lists.append([name, _integer(given.get("start"), 1), -1 if back else 1, given.get("type", "1").strip(), [] if back and "start" not in given else None])
                 f.indent += 1
                 held = "list"
             elif name == "li":
-                kind = self.lists[-1] if self.lists else ["ul", 1]
-                f.marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                kind[1] += 1
+                self.item(given)
             elif name in ("dd", "blockquote"):
                 f.indent += 1
                 held = "indent"
@@ -234,6 +295,7 @@ class Page:
                 held = "pre"
             elif name == "table":
                 held = ([], self.flow, self.lists)
+                self.tables.append(held)
             elif name == "tr" and (t := self.table()):
                 t[0].append([])
             elif name in CELLS and (t := self.table()):
@@ -241,8 +303,30 @@ class Page:
                     t[0].append([])
                 held = (t[0][-1], max(1, min(_integer(given.get("colspan"), 1), 1000)), max(1, _integer(given.get("rowspan"), 1)))
                 self.flow, self.lists = Flow(), []
-        self.open.append((name, adds, held))
-        self.named[name] = self.named.get(name, 0) + 1
+        self.places.setdefault(name, []).append(len(self.open))
+        # a closed details still has its summary to show
+        self.open.append((name, adds, held, [name == "details" and "open" not in given]))
+
+    def item(self, given: dict[str, str]) -> None:
+        """Sets the marker of a list's next item."""
+        kind = self.lists[-1] if self.lists else None
+        if kind is None or kind[0] != "ol":
+            self.flow.marker = "- "
+            return
+        if (value := _integer(given.get("value"), None)) is not None:
+            self.waiting(kind)
+            kind[1], kind[4] = value, None
+        marker = Marker(given.get("type", kind[3]).strip(), kind[1])
+        if kind[4] is not None:
+            kind[4].append(marker)
+        kind[1] += kind[2]
+        self.flow.marker = marker
+
+    @staticmethod
+    def waiting(kind: list) -> None:
+        """Numbers the items of a reversed list, whose last item is 1."""
+        for k, marker in enumerate(kind[4] or ()):
+            marker.number = len(kind[4]) - k
 
     def hides(self, name: str, given: dict[str, str]) -> tuple[int, int, int]:
         """What an element adds to the counts of what hides; less than 0 where it shows again."""
@@ -252,6 +336,12 @@ class Page:
             gone = gone or name in UNDRAWN
             style = {**{k: given[k].strip().lower() for k in ("display", "visibility") if k in given}, **style}
         gone = gone or style.get("display") == "none"
+        gone = int(gone)
+        if name == "details" and "open" not in given:
+            gone += 1
+        elif name == "summary" and self.open and self.open[-1][0] == "details" and self.open[-1][3][0]:
+            self.open[-1][3][0] = False
+            gone -= 1
         if name == "svg":
             svg = 1
         elif name in DRAWN:
@@ -260,26 +350,21 @@ class Page:
             unseen = 1
         elif style.get("visibility") == "visible":
             unseen = -self.unseen
-        return int(gone), svg, unseen
+        return gone, svg, unseen
 
     def table(self):
-        return next((x[2] for x in reversed(self.open) if x[0] == "table" and x[2]), None)
+        return self.tables[-1] if self.tables else None
 
     def close(self, names, until) -> None:
         """Closes the nearest open element of those names, and what is open inside it, unless an element of `until` lies between."""
-        if not any(self.named.get(n) for n in names):
-            return
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                while len(self.open) > k:
-                    self.pop()
-                return
-            if self.open[k][0] in until:
-                return
+        last = lambda of: max((p[-1] for n in of if (p := self.places.get(n))), default=-1)
+        if (k := last(names)) >= 0 and k >= last(until):
+            while len(self.open) > k:
+                self.pop()
 
     def pop(self) -> None:
-        name, adds, held = self.open.pop()
-        self.named[name] -= 1
+        name, adds, held, _ = self.open.pop()
+        self.places[name].pop()
         shown = not (self.gone or self.svg)
         self.gone, self.svg, self.unseen = self.gone - adds[0], self.svg - adds[1], self.unseen - adds[2]
         self.foreign -= name in ("svg", "math")
@@ -293,10 +378,11 @@ class Page:
                 self.flow, self.lists = parent[1], parent[2]
                 return
             if name == "table" and held:
+                self.tables.pop()
                 self.flow.line(2)
                 self.flow.lines(_table(held[0]))
             elif held == "list":
-                self.lists.pop()
+                self.waiting(self.lists.pop())
                 self.flow.indent -= 1
             elif held == "indent":
                 self.flow.indent -= 1
