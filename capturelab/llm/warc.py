@@ -96,9 +96,10 @@ def write(pages: DataFrame, folder: str) -> None:
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _NEXT = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n")
+_HEADERS_END = re.compile(rb"\r\n\r\n|(?<=\n)WARC/1\.[01]\r?\n")
 _GZIP = b"\x1f\x8b\x08"
 _START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n|\x1f\x8b\x08")
-PIECE = 1 << 16  # bytes of a gzip member that are inflated at once
+FIRST_PIECE, PIECE = 1 << 8, 1 << 16  # bytes of a gzip member that are inflated at once, at first and at most
 _PAGE, _SIZE = re.compile(r"<urn:page:(-?[0-9]{1,18})>"), re.compile(r"[0-9]{1,18}")
 
 
@@ -115,9 +116,13 @@ def record(data: bytes, at: int) -> tuple[int, dict]:
     m = _VERSION.match(data, at)
     if not m:
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", m.end() - 2)
-    if end < 0:
+    # no header is searched for twice: the search ends at the next version line, which is the next place to try
+    until = _HEADERS_END.search(data, m.end() - 2)
+    if until is None:
         raise Bad("headers don't end")
+    if until[0] != b"\r\n\r\n":
+        raise Bad("a version line among the headers")
+    end = until.start()
     headers = {}
     for line in data[m.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -149,23 +154,47 @@ def record(data: bytes, at: int) -> tuple[int, dict]:
     return min(stop + 4, len(data)), {"page_id": int(page[1]) if page else None, "record_type": kind, "refers_to": int(refers[1]) if refers else None, "payload_bytes": size, "payload_digest": found}
 
 
+def _no_header(data: bytes, at: int) -> str:
+    """Why the bytes from the magic on are no header of a gzip member and the first bits of its content; empty if they are. A name or comment has PIECE bytes at most."""
+    if at + 10 >= len(data):
+        return "cut short"
+    flags, end = data[at + 3], at + 10
+    if flags & 0xE0:
+        return "gzip: reserved flags"
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            end = data.find(b"\0", end, end + PIECE) + 1
+            if not end:
+                return "gzip: the header doesn't end"
+    end += 2 if flags & 2 else 0
+    if end < len(data) and data[end] & 6 == 6:
+        return "gzip: no such kind of block"
+    return ""
+
+
 def member(data: bytes, at: int) -> tuple[int | None, bytes, str]:
     """The end of the gzip member at `at`, its content and why it is damaged; a damaged one has no end, and the content that precedes its error."""
     if data[at : at + 3] != _GZIP:
         raise Bad("no gzip member")
-    z, out, view, place = zlib.decompressobj(31), [], memoryview(data), at
+    if why := _no_header(data, at):
+        return None, b"", why
+    z, out, view, place, size = zlib.decompressobj(31), [], memoryview(data), at, FIRST_PIECE
     try:
         while place < len(data) and not z.eof:
-            step = view[place : place + PIECE]
+            step, size = view[place : place + size], min(2 * size, PIECE)
             held = z.copy()
             place += len(step)
             out.append(z.decompress(step))
     except zlib.error as e:
-        for k in range(len(step)):  # byte by byte, up to the error
+        while len(step) > 1:  # by halves, up to the byte of the error
+            half, before = len(step) // 2, held.copy()
             try:
-                out.append(held.decompress(step[k : k + 1]))
+                out.append(held.decompress(step[:half]))
+                step = step[half:]
             except zlib.error:
-                break
+                held, step = before, step[:half]
         return None, b"".join(out), f"gzip: {e}"
     if not z.eof:
         return None, b"".join(out), "cut short"

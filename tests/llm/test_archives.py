@@ -52,3 +52,15 @@ def test_rolled_files_and_shuffled_digests(spark, tmp_path, monkeypatch, limit):
         import glob
 
         assert len(glob.glob(f"{folder}/roll=*/*")) > 3
+
+
+@pytest.mark.parametrize("piece", [b"WARC/1.1\r\n", b"\x1f\x8b\x08", b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03", b"\x1f\x8b\x08\x08abcdef", b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\x03\xff\xff", b"WARC/1.1\r\nContent-Length: 99\r\n", b"WARC/1.0\na: b\r\n\r\n"])
+def test_salvage_is_linear(piece):
+    import time
+
+    took, tail = [], rec(5)
+    for size in (200_000, 400_000):
+        began = time.process_time()
+        assert pages(piece * (size // len(piece)) + b"\n" + tail)[0] == [5]
+        took.append(time.process_time() - began)
+    assert took[1] < 4 and took[1] < 3 * took[0] + 0.3, took
