@@ -12,7 +12,9 @@ initial vector and ciphertext fit the cipher's blocks).
 Null text is empty text; an empty text has no spans. Repeated rows are each given their
 spans, which depend on the text alone. Every pattern is linear in the text's length. Where
 base and added spans, or two added ones, cover the same text, all are reported, ordered by
-start, then kind. Columns besides doc_id and text play no part, whatever their names.
+start, then kind. A key on one line has 40 characters of base64 or 60 of hex at least, which is less than any of the structures takes; DER nests
+12 levels at most, keys some 5. A wrapped key may begin at any line of a run of lines of one width, and ends where its lengths say.
+Columns besides doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import math
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +43,8 @@ _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
 _WRAPPED = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]++={0,2})(?![^\s\"'])")
 _HEX_KEY = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{60,}(?![0-9A-Za-z])")
 
+_HEX_LINE = re.compile(r"[0-9A-Fa-f]{40,}+")
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out, low = [], text.lower()
@@ -189,27 +195,78 @@ def _decoded(text: str) -> str | None:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("jwt", m.start(1), m.end(3)) for m in _JWT.finditer(text) if signed_token(m[1], m[2], m[3])]
     pem = [("key", s, e) for s, e, body in pem_blocks(text) if pem_key(body)] if "PRIVATE KEY-----" in text else []
-    out, known, reach, done = out + pem, Cover(pem), 0, 0
+    out, known, reach, runs = out + pem, Cover(pem), 0, []
     out += [("key", *m.span()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and not known.meets(*m.span()) and private_key(bytes.fromhex(m[0]))]
     hexes = set(out)
     for m in _B64.finditer(text):
-        if m.start() < done or known.meets(*m.span()):
+        if known.meets(*m.span()):
             continue
-        # lines as long as the first, and a shorter one at the end, are tried as one; each of them is also tried alone
-        lines, end = [m[0]], m.end()
+        # lines as long as the first, and a shorter one at the end, are a run; a key may begin at any of its lines
         if m.start() >= reach:
-            while len(lines[-1]) == len(m[0]) and (more := _WRAPPED.match(text, end)) and len(more[1]) <= len(m[0]):
-                lines.append(more[1])
-                end = more.end()
-            reach = end
-        if len(lines) > 1 and _decoded("".join(lines)):
-            out.append(("key", m.start(), end))
-            done = end
-        elif ("key", *m.span()) not in hexes and private_key(unbase64(m[0])):
+            lines = [m.span()]
+            while lines[-1][1] - lines[-1][0] == len(m[0]) and (more := _WRAPPED.match(text, lines[-1][1])) and len(more[1]) <= len(m[0]):
+                lines.append(more.span(1))
+            reach = max(e for s, e in lines if e - s == len(m[0]))
+            for first, last in wrapped_keys(text, lines):
+                out.append(("key", lines[first][0], lines[last][1]))
+                runs.append(out[-1])
+        if (i := bisect_right(runs, m.start(), key=lambda r: r[1])) and runs[i - 1][2] > m.start():
+            continue
+        if ("key", *m.span()) not in hexes and private_key(unbase64(m[0])):
             out.append(("key", *m.span()))
     return out
 
 
+def _reach(head: bytes) -> int | None:
+    """How many bytes the key takes whose first bytes these are: a DER sequence that opens with a small integer or a sequence; 0 if only what follows can tell; None if no key begins like that."""
+    if head.startswith((b"openssh-key-v1\0", b"-----BEGIN ")):
+        return 0
+    if len(head) < 12 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return None
+    size, inner = (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]), head[2 + n : 5 + n]
+    if not (inner[:1] == b"\x30" or (inner[:2] == b"\2\1" and inner[2] <= 3)):
+        return None
+    return 2 + n + size
+
+
+def wrapped_keys(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, last) of the lines of a run that together are a key, from the top. A line is joined with others only if a key can begin with it, and with as many as its length asks for."""
+    out, k, width = [], 0, lines[0][1] - lines[0][0]
+    whole = lambda i, j: "".join(text[s:e] for s, e in lines[i : j + 1])
+    while k + 1 < len(lines):
+        line, last = text[slice(*lines[k])], None
+        if k == 0 and _decoded(whole(0, len(lines) - 1)):
+            last = len(lines) - 1
+        starts = [(2, bytes.fromhex(line[:40]))] if _HEX_LINE.fullmatch(line) else []
+        starts.append((4 / 3, unbase64(line[:40]) or b""))
+        for each, head in starts:
+            size = _reach(head) if last is None else None
+            if size is None:
+                continue
+            # in whole lines, of which only the last may be shorter
+            end = min(len(lines), k - (-math.ceil(size * each) // width)) - 1 if size else len(lines) - 1
+            if end > k and _decoded(whole(k, end)):
+                last = end
+            elif not size and (n := _container(unbase64(whole(k, len(lines) - 1)))) and (end := k - (-math.ceil(n * each) // width) - 1) > k and _decoded(whole(k, end)):
+                last = end
+        if last is not None:
+            out.append((k, last))
+            k = last
+        k += 1
+    return out
+
+
+def _container(data: bytes | None) -> int | None:
+    """The bytes that an OpenSSH container at the beginning of data takes."""
+    if not data or (head := _strings(data, 15, 3)) is None or not 1 <= (n := int.from_bytes(data[head[1] : head[1] + 4], "big")) <= 64:
+        return None
+    body = _strings(data, head[1] + 4, n + 1)
+    return body and body[1]
+
+
 def find(texts: list[str]):
     return [(base_spans(t), confirmed_spans(t)) for t in texts]
 
