@@ -38,7 +38,9 @@ from .spans import Cover, digest_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"lstm_{k}" for k in BASE))
-SAMPLE_DOCS, SAMPLE_WINDOWS, WRITTEN = 1500, 900, 6000
+SAMPLE_DOCS, SAMPLE_WINDOWS, WRITTEN = 1500, 900, 8000
+#: How often a written number has another beside it.
+BESIDE = 0.5
 WINDOW, STEP, SHORT, HIDDEN, LABELS = 128, 96, 64, 12, 1 + 2 * len(BASE)  # label 0: nothing; 1 + 2k: first character of kind k; 2 + 2k: a further one
 
 #: An address from its @ on; what stands before is found from there. As patterns of whole addresses, these would try every character of a long run as a start.
@@ -453,11 +455,21 @@ def _examples(windows: list[str], seed: int = 11) -> tuple[list[str], list[list[
     texts, spans = [], []
     for w in windows:
         kind = r.choice([*BASE, *BASE[2:], *["email"] * 6, *[None] * 4])
-        s = {"email": lambda: email(w), "ip": ip, "card": card, "phone": phone, None: odd}[kind]()  # noqa: B023
+        make = {"email": lambda: email(w), "ip": ip, "card": card, "phone": phone, None: odd}[kind]  # noqa: B023
+        written = [make()]
+        while kind in ("card", "phone") and r.random() < BESIDE and len(written) < 3 and sum(map(len, written)) < SHORT - 24:
+            written.append(r.choice([written[0], make()]))
+        beside = r.choice([" ", " ", " ", ", ", "; ", "\n"])
+        s = beside.join(written)
         at = r.randint(0, max(0, SHORT - len(s) - 2))
         left = w[:at] + r.choice(["", " ", " "]) + (f"{odd()} " if kind and len(s) < SHORT // 2 and r.random() < 0.3 else "")
         texts.append((left + s + r.choice([" ", " ", ". ", ", "]) + w[at:])[:SHORT])
-        spans.append([(kind, len(left), len(left) + len(s))] if kind else [])
+        begin, own = len(left), []
+        for x in written:
+            if begin + len(x) <= SHORT:
+                own.append((kind, begin, begin + len(x)))
+            begin += len(x) + len(beside)
+        spans.append(own if kind else [])
     return texts, spans
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from capturelab.llm import pii, secrets
@@ -144,3 +145,63 @@ def test_tables_with_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "token: abcdefgh1 x@y.zz", 5, "k"), (1, "token: abcdefgh1 x@y.zz", 6, "l"), (None, None, None, None)], "doc_id long, text string, n_assign int, spans string")
     got = secrets.secret_spans(rows).collect()
     assert sorted(r.n_assign for r in got) == [0, 1, 1] and sorted(r.spans for r in got) == ["", "assign:0:16", "assign:0:16"]
+
+
+def test_wrapped_keys_within_runs_of_lines():
+    """A key between lines of its own width, or of others, is found alone and once, and a run of such lines takes linear time."""
+
+    key = _pkcs1(600)
+    wrap = lambda t, w: [t[i : i + w] for i in range(0, len(t), w)]
+    for form in (B64(key), key.hex()):
+        lines = wrap(form, 64)
+        for before, after in ((["A" * 64], []), (["MIIC" + "B" * 60] * 3, ["C" * 64] * 2), (["A" * 70], []), ([], ["D" * 64]), (["A" * 50], ["E" * 20])):
+            text = "\n".join([*before, *lines, *after])
+            if after and len(lines[-1]) != 64:
+                text = "\n".join([*before, *lines]) + "\n\n" + "\n".join(after)
+            start = sum(len(x) + 1 for x in before)
+            spans = [x for x in secrets.confirmed_spans(text) if x[0] == "key"]
+            assert spans == [("key", start, start + len("\n".join(lines)))], (before, after)
+    full = _pkcs1(600, 48 * 13)  # fills its last line, so that lines of its width may follow
+    text = "\n".join(["A" * 64, *wrap(B64(full), 64), "B" * 64, *wrap(B64(full), 64)])
+    assert [s for s, *_ in secrets.confirmed_spans(text)] == ["key", "key"] and secrets.confirmed_spans(text)[0][1:] == (65, 65 + 13 * 65 - 1)
+    took = []
+    for n in (4000, 8000):
+        began = time.process_time()
+        assert secrets.confirmed_spans("\n".join(["MIICXAIBAAKB" + "A" * 52] * n)) == []
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.2, took
+
+
+def _pkcs1(size, total=None):
+    """An RSA key's DER structure of some bytes, with as many as asked for in all."""
+    number = lambda b: b"\x02" + (bytes([len(b)]) if len(b) < 128 else b"\x82" + len(b).to_bytes(2, "big")) + b
+    r = np.random.RandomState(size)
+    for extra in range(0, 400):
+        part = lambda n: b"\x01" + bytes(r.randint(1, 255, n - 1, np.uint8))  # noqa: E731, B023
+        body = number(b"\0") + number(part(129)) + number(b"\1\0\1") + number(part(128)) + b"".join(number(part(64)) for _ in range(4)) + number(part(64 + extra))
+        der = b"\x30\x82" + len(body).to_bytes(2, "big") + body
+        if total is None or len(der) == total:
+            return der
+    raise AssertionError(len(der))
+
+
+def test_numbers_beside_one_another(spark):
+    """Two card numbers with a space between them are one run of digits to the base pattern, which drops it; the network finds both, equal ones too."""
+    r = random.Random(21)
+
+    def card():
+        d = "".join(r.choice("0123456789") for _ in range(15))
+        return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+    words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = spark.createDataFrame([(i, f"{prose(60)} +49 123 4567890 {prose(20)} {card()} {prose(30)}") for i in range(200)], "doc_id long, text string")
+    sent = spark.sparkContext.broadcast(pii.train(docs))
+    texts, want = [], []
+    for k in range(100):
+        a, left = card(), prose(r.randint(3, 40)) + " "
+        b = a if k % 2 else card()
+        texts.append(f"{left}{a} {b} {prose(9)}")
+        want.append({("lstm_card", len(left), len(left) + 16), ("lstm_card", len(left) + 17, len(left) + 33)})
+    found = [set(added) for _, added in pii.finder(sent)(texts)]
+    assert sum(len(w & f) for w, f in zip(want, found, strict=True)) >= 180
