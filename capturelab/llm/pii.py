@@ -41,7 +41,7 @@ KINDS = (*BASE, *(f"lstm_{k}" for k in BASE))
 SAMPLE_DOCS, SAMPLE_WINDOWS, WRITTEN = 1500, 900, 8000
 #: How often a written number has another beside it.
 BESIDE = 0.5
-WINDOW, STEP, SHORT, HIDDEN, LABELS = 128, 96, 64, 12, 1 + 2 * len(BASE)  # label 0: nothing; 1 + 2k: first character of kind k; 2 + 2k: a further one
+WINDOW, STEP, SHORT, HIDDEN, LABELS = 256, 224, 64, 12, 1 + 2 * len(BASE)  # label 0: nothing; 1 + 2k: first character of kind k; 2 + 2k: a further one
 
 #: An address from its @ on; what stands before is found from there. As patterns of whole addresses, these would try every character of a long run as a start.
 _LOCAL, _HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -186,23 +186,38 @@ class Tagger:
         return emit
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """The Viterbi paths of x. A run of other labels can win over label 0 by no more than the greatest sum of its labels' leads and transitions; where that is negative for every run, the path is 0 without a search."""
-        emit, t, s = self.by_step(x), self.p["t"], self.p["s"]
-        enter = max(float((t[0, 1:] - t[0, 0]).max()), float((s[1:] - s[0]).max()))
-        within, leave = float((t[1:, 1:] - t[0, 0]).max()), max(0.0, float((t[1:, 0] - t[0, 0]).max()))
-        lead = emit[:, 1:].max(1) - emit[:, 0] + within
-        run = np.full(len(x), -np.inf, np.float32)
-        most = run.copy()
-        for step in lead:  # the greatest sum of a run that ends here
-            np.maximum(run, 0, out=run)
-            run += step
-            np.maximum(most, run, out=most)
-        hard = np.flatnonzero(most + (enter - within + leave) >= -1e-2)
+        """The Viterbi paths of x. Where no run of other labels wins over label 0, the path is 0 without a search: `gains` bounds what a run can win."""
+        emit = self.by_step(x)
+        hard = np.flatnonzero(self.gains(emit) >= -1e-2)
         path = np.zeros(x.shape, np.int64)
         if len(hard):
             path[hard] = self.viterbi(np.ascontiguousarray(emit[:, :, hard]))
         return path
 
+    def gains(self, emit: np.ndarray) -> np.ndarray:
+        """The most that a run of labels other than 0 can win over label 0 in each window, where a kind's two labels may stand for one another as the label before."""
+        t, s = self.p["t"], self.p["s"]
+        kinds = np.arange(1, LABELS, 2)
+        over = t - t[0, 0]
+        first, further = emit[:, 1::2] - emit[:, :1], emit[:, 2::2] - emit[:, :1]
+        enter, leave = over[0, kinds][:, None], np.maximum(over[kinds, 0], over[kinds + 1, 0])[:, None]
+        stay = np.maximum(over[kinds, kinds + 1], over[kinds + 1, kinds + 1])[:, None]
+        into, inside = over[1:][:, kinds].max(0)[:, None], [np.delete(over[1:, k + 1], [k - 1, k]).max() for k in kinds]
+        inside, amiss = np.array(inside, np.float32)[:, None], over[0, kinds + 1][:, None]  # a further character of a kind after another kind, or after none
+        run = np.maximum(first[0] + (s[kinds] - s[0])[:, None], further[0] + (s[kinds + 1] - s[0])[:, None])
+        most = run + leave
+        for k in range(1, len(emit)):
+            top = run.max(0)
+            begun = np.maximum(top + into, enter)
+            begun += first[k]
+            run += stay
+            np.maximum(run, top + inside, out=run)
+            np.maximum(run, amiss, out=run)
+            run += further[k]
+            np.maximum(run, begun, out=run)
+            np.maximum(most, run + leave, out=most)
+        return np.maximum(most, run).max(0)
+
     def viterbi(self, emit: np.ndarray) -> np.ndarray:
         """The best paths of emissions (time, label, batch). Going back, the best label before is found anew, so none is kept."""
         steps, _, n = emit.shape
