@@ -15,7 +15,7 @@ bounds are exact, so a conversation of n rows takes some n nodes.
 
 A null in conv_id or turn is written as a space in the key that damage is dealt by; a null role or text is a space, so such a text
 is blank. Null turns come first; rows of one turn are in the order of role and text. A null conv_id is a conversation. Repeated rows are repeated turns. An empty table has no row. Columns
-besides conv_id, turn, role and text play no part. Rows are sorted by Spark and read as a stream; one conversation at a time is held by a task.
+besides conv_id, turn, role, text and, for `repaired`, times (null: 1) play no part. Rows are sorted by Spark and read as a stream; one conversation at a time is held by a task.
 """
 
 from __future__ import annotations
@@ -178,7 +178,7 @@ def _repaired(schema: pa.Schema):
 
 def repaired(rows: DataFrame) -> DataFrame:
     """One row for each conv_id of rows (conv_id, turn, role, text; times: how often a row occurs, 1 if there's no such column): faults, the cheapest edits, and the repaired turns."""
-    times = F.col("times").cast("int") if "times" in rows.columns else F.lit(1)
+    times = F.coalesce(F.col("times").cast("int"), F.lit(1)) if "times" in rows.columns else F.lit(1)
     text = lambda c: F.coalesce(F.col(c), F.lit(" ")).alias(c)
     x = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), text("role"), text("text"), times.alias("times"))
     schema = T.StructType([T.StructField("conv_id", x.schema["conv_id"].dataType), *T._parse_datatype_string(RESULT)])
