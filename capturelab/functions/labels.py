@@ -46,3 +46,10 @@ def ratio(condition: Column, missing: str | None = None) -> Column:
 def top_folder(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise(F.lit("(root)"))
+
+
+def label_or_classes(label: Column, classes: list[Column]) -> Column:
+    """The label a row's text says ([1,0,1]); where that is null or blank, the one its class columns say (numbers as text; blank counts as 0)."""
+    said = F.transform(F.split(F.regexp_replace(label, r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double").cast("int"))
+    own = F.array(*(F.coalesce(c.try_cast("double").cast("int"), F.lit(0)) for c in classes))
+    return F.when(F.coalesce(F.trim(label), F.lit("")) == "", own).otherwise(said)

@@ -179,15 +179,15 @@ def _log_spectrum(x: np.ndarray) -> np.ndarray:
     return np.log1p(np.abs(np.fft.rfft(x - x.mean(1, keepdims=True))))
 
 
-def shape_feature(signal: Column, bins: int = 128) -> Column:
+def shape_feature(signal: Column, bins: int = 128, kind: str = "float") -> Column:
     """The standardized trace in bands, then its log spectrum's start, each of unit length."""
 
     def work(x):
         sd = x.std(1, keepdims=True)
         x = (x - x.mean(1, keepdims=True)) / np.where(sd >= 1e-12, sd, 1)
-        return np.hstack([_unit(_banded(x, bins)), _unit(_log_spectrum(x)[:, :bins])]).astype(np.float32)
+        return np.hstack([_unit(_banded(x, bins)), _unit(_log_spectrum(x)[:, :bins])]).astype("f4" if kind == "float" else "f8")
 
-    return _made("array<float>", work)(signal)
+    return _made(f"array<{kind}>", work)(signal)
 
 
 def spectral_signature(signal: Column, bins: int = 128) -> Column:
@@ -207,7 +207,12 @@ def _resampled(x: np.ndarray, n: int) -> np.ndarray:
     return x[:, low] + (x[:, np.minimum(low + 1, x.shape[1] - 1)] - x[:, low]) * (at - low)
 
 
-def audit_feature(signal: Column) -> Column:
+def resample(signal: Column, n: int) -> Column:
+    """The signal at n even places, by linear interpolation; null for an empty one."""
+    return _made("array<double>", lambda x: _resampled(x, n))(signal)
+
+
+def audit_feature(signal: Column, kind: str = "float") -> Column:
     """616 numbers: level and shape at 256 places, the spectrum at 96, and 8 statistics."""
 
     def work(x):
@@ -215,13 +220,13 @@ def audit_feature(signal: Column) -> Column:
         span = np.ptp(y, axis=1)
         stats = [y.mean(1), y.std(1), y.min(1), y.max(1), span, *np.percentile(y, [5, 50, 95], axis=1)]
         shape = (y - y.mean(1, keepdims=True)) / np.maximum(span, 1e-6)[:, None]
-        return np.hstack([y, shape, _resampled(_log_spectrum(y), 96), np.column_stack(stats)]).astype(np.float32)
+        return np.hstack([y, shape, _resampled(_log_spectrum(y), 96), np.column_stack(stats)]).astype("f4" if kind == "float" else "f8")
 
-    return _made("array<float>", work)(signal)
+    return _made(f"array<{kind}>", work)(signal)
 
 
-def db_trace_channels(signal: Column, segment: int, overlap: int, rows: int, columns: int, level: tuple[float, float] = (-110.0, -50.0), variation: float = 15.0) -> Column:
-    """array<array<float>>, four flat channels of rows x columns: magnitudes of the trace about its median, the same relative, and as constants
+def db_trace_channels(signal: Column, segment: int, overlap: int, rows: int, columns: int, level: tuple[float, float] = (-110.0, -50.0), variation: float = 15.0, kind: str = "float") -> Column:
+    """array<array<float>> (or double, by kind), four flat channels of rows x columns: magnitudes of the trace about its median, the same relative, and as constants
     the median's place in the range level and the deviation over variation, both clipped to 0 to 1. Values that aren't finite count as the
     median of the others; null for a trace without any."""
     if level[1] <= level[0] or variation <= 0:
@@ -234,10 +239,10 @@ def db_trace_channels(signal: Column, segment: int, overlap: int, rows: int, col
         x = np.where(sound, x, median[:, None]) - median[:, None]
         m = boxed(magnitudes(x, segment, overlap), rows, columns)
         constants = [(median - level[0]) / (level[1] - level[0]), x.std(1) / variation]
-        made = _flat([m, relative(m), *(np.broadcast_to(np.clip(c, 0, 1)[:, None, None], m.shape) for c in constants)])
+        made = _flat([m, relative(m), *(np.broadcast_to(np.clip(c, 0, 1)[:, None, None], m.shape) for c in constants)], "f4" if kind == "float" else "f8")
         return [c if any_ else None for c, any_ in zip(made, has, strict=True)]
 
-    return _made("array<array<float>>", work)(signal)
+    return _made(f"array<array<{kind}>>", work)(signal)
 
 
 #: Ranges, largest shifts and masks of spectrum augmentation.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import labels as L
+from ..sources.shared import kept
 from .quantiles import quantiles
 
 FIELDS = ("min_db", "p01_db", "p05_db", "mean_db", "median_db", "p95_db", "p99_db", "max_db", "std_db", "p2p_db", "diff_p95", "diff_p99", "max_jump", "jump_ratio", "nonnegative_ratio", "boundary_ratio")
@@ -46,10 +47,10 @@ def issues(stats: DataFrame, no_signal_db: float | None = None, jump: float = 12
 
 
 def issue_table(rows: DataFrame, parsed: DataFrame, no_signal_db: float | None = None, expected_length: int | None = None, z: float = 5.0) -> DataFrame:
-    """Every issue of an index (file, group, condition_path, label) and its parsed captures, of one file or of the corpus: severity, type, file, group, condition_path, detail. The statistics are kept, for each kind of issue reads them."""
+    """Every issue of an index (file, group, condition_path, label) and its parsed captures, of one file or of the corpus: severity, type, file, group, condition_path, detail. The statistics, without signals, are written to the shared folder once, and each kind of issue reads them from there."""
     x = rows.select("file", "group", "condition_path", "label").join(parsed.select("file", "signal", "discarded_nonfinite_count", "parse_error"), "file")
     marked = x.withColumn("fingerprint", fingerprint(F.col("signal"))).withColumn("signal", F.transform("signal", lambda v: v.cast("double")))
-    x = signal_stats(marked).persist()
+    x = kept(signal_stats(marked))
     good = x.where("parse_error is null")
     stats = good
     row = lambda severity, kind, df, detail: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), "file", "group", "condition_path", detail.alias("detail"))
@@ -93,10 +94,14 @@ def summary_by(stats: DataFrame, metrics=("mean_db", "std_db", "p2p_db", "max_ju
     return out.select(scope.alias("scope"), key.alias("key"), "metric", "n", *rounded)
 
 
+def mode_of_lengths(stats: DataFrame) -> DataFrame:
+    """One row with mode, the most frequent length; of equals the one whose first file comes first."""
+    return stats.groupBy("n").agg(F.count("*").alias("c"), F.min("file").alias("first")).orderBy(F.desc("c"), "first").limit(1).select(F.col("n").alias("mode"))
+
+
 def modal_length(stats: DataFrame) -> DataFrame:
     """The most frequent length, of equals the one whose first file comes first, and captures that differ from it."""
-    mode = stats.groupBy("n").agg(F.count("*").alias("c"), F.min("file").alias("first")).orderBy(F.desc("c"), "first").limit(1).select(F.col("n").alias("mode"))
-    return stats.crossJoin(F.broadcast(mode)).where("n <> mode").select("file", "n", "mode")
+    return stats.crossJoin(F.broadcast(mode_of_lengths(stats))).where("n <> mode").select("file", "n", "mode")
 
 
 def recommended(stats: DataFrame) -> DataFrame:

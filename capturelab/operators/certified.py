@@ -23,16 +23,46 @@ def _apart(v: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (v @ c.T), 0))
 
 
+#: Copies of a frequent vector's row, over which its rows are dealt.
+SALTS = 32
+
+
 def certified(vectors: DataFrame, k: int, metric: str = "cosine", cells: int | None = None, block_rows: int = 2048, seed: int = 42) -> DataFrame:
-    """(id, neighbour, similarity, place, compared): what `nearest` returns, and with how many vectors each was compared.
+    """(id, neighbour, similarity, place, compared): what `nearest` returns, and with how many different vectors each was compared.
+
+    Equal vectors are one: it stands for the k + 1 smallest ids that have it, which are all that can be among the k nearest of anything. So
+    copies are never compared with one another, however many there are.
 
     Every vector lies in the cell of its nearest pivot; pivots are fitted to a bounded sample, about sqrt(rows) and at most 4,096. Its k
     best within its cell bound how far a neighbour can be. By the triangle inequality a cell holds none if its pivot is farther away than that
     bound and the cell's radius together, or if the bisecting plane of the two pivots is farther away than the bound; in a cell that is asked, only
     vectors whose distance to the pivot differs from the asker's by no more than the bound are compared. So what is left out is proved to be farther. A cell's rows and its questions are
-    dealt to blocks, so that no task holds a crowded cell. On vectors without clusters the bounds exclude little and the work is that of `nearest`.
+    dealt to blocks, so that no task holds a crowded cell. On vectors without clusters the bounds exclude little and the work is that of `nearest`. Null vectors are left out.
     """
     vectors = vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    first = vectors.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)  # k + 1 rows a task and vector are shuffled
+    groups = kept(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("id"), "v", "ids"))
+    found = _between(groups.select("id", "v"), k, metric, cells, block_rows, seed)
+    copied = groups.where(F.size("ids") > 1)
+    if copied.isEmpty():
+        return found
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    own = F.pow(F.least(norm / 1e-12, F.lit(1.0)), 2) if metric == "cosine" else F.lit(0.0)
+    near = found.select("id", "neighbour", "similarity", F.when(F.col("place") == 1, F.col("compared")).otherwise(0).alias("compared")).unionByName(groups.select("id", F.col("id").alias("neighbour"), own.alias("similarity"), F.lit(0).cast("long").alias("compared")))
+    others = near.join(groups.select(F.col("id").alias("neighbour"), F.col("ids").alias("_ids")), "neighbour").select("id", "similarity", "compared", F.explode("_ids").alias("other"), F.col("neighbour"))
+    # a vector has k + 1 neighbours with k + 1 ids each at most
+    listed = others.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("far"), F.col("other").alias("neighbour")))), 1, k + 1).alias("near"))
+    listed = listed.join(near.groupBy("id").agg(F.sum("compared").alias("compared")), "id")
+    single = groups.where(F.size("ids") == 1).select("id").join(listed, "id")
+    salted = copied.select("id", "v").join(listed, "id").drop("id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    many = vectors.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["v", "_salt"]).select("id", "near", "compared")
+    rest = F.slice(F.filter("near", lambda n: n["neighbour"] != F.col("id")), 1, k)
+    out = single.unionByName(many).select("id", "compared", F.posexplode(rest).alias("_p", "n"))
+    return out.select("id", "n.neighbour", (-F.col("n.far")).alias("similarity"), (F.col("_p") + 1).alias("place"), "compared")
+
+
+def _between(vectors: DataFrame, k: int, metric: str, cells: int | None, block_rows: int, seed: int) -> DataFrame:
+    """`certified` for vectors (id, v) that are all different."""
     spark = vectors.sparkSession
     cells = cells or min(4096, max(1, round(vectors.count() ** 0.5)))
     pivots = centres(vectors, cells, metric, seed=seed)

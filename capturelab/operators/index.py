@@ -117,3 +117,9 @@ def training_rows(rows: DataFrame, classes: int, split: str | None = None) -> Da
 def single_source(rows: DataFrame) -> DataFrame:
     """Rows whose label_vec has exactly one class."""
     return rows.where(F.aggregate("label_vec", F.lit(0), lambda a, v: a + v) == 1)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """(level, group, ratio, n) of index rows: counts by group and ratio (level 0), by group (1), by ratio (2) and of all (3); `*` where a level has no key."""
+    g = rows.groupingSets([["group"], ["ratio"], ["group", "ratio"], []], "group", "ratio").agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
+    return g.select(F.col("gid").cast("int").alias("level"), F.coalesce("group", F.lit("*")).alias("group"), F.coalesce("ratio", F.lit("*")).alias("ratio"), "n")

@@ -4,9 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.shared import kept
 from .audit import fingerprint
 from .decoding import combinations
 from .index import bucket
+from .metrics import class_metrics
+from .quantiles import quantiles
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -24,17 +27,21 @@ def _ones(label) -> Column:
 def distribution(rows: DataFrame, classes: list[str], groups: list[str], ratios: list[str], splits: list[str]) -> DataFrame:
     """(split, section, key, count, value) of rows (split, group, ratio, label_vec): samples, labels, groups and ratios (expected ones without rows count 0), each class's positives and negatives with the positives' share, sources a sample, the largest count over the smallest of expected labels and groups (null if that is 0), and the gap between the classes' shares. Every split and `overall`."""
     spark = rows.sparkSession
-    label = L.label_text(F.col("label_vec"))
-    x = rows.select(F.explode(F.array("split", F.lit("overall"))).alias("split"), "group", "ratio", "label_vec", label.alias("label"))
-    keyed = x.select("split", F.explode(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).alias("key")) for s in ("label", "group", "ratio")))).alias("k")).select("split", "k.*").where("key is not null and key <> ''")
+    keys = {"samples": F.lit(""), "label": L.label_text(F.col("label_vec")), "group": F.col("group"), "ratio": F.col("ratio")}
+    cells = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), k.alias("key")) for s, k in keys.items())))
+    x = rows.select("split", "label_vec", cells.alias("k")).select("split", "k.*", "label_vec").where("section = 'samples' or (key is not null and key <> '')")
+    x = x.withColumn("split", F.explode(F.array("split", F.lit("overall"))))
+    sums = [F.sum(_ones("label_vec")).cast("long").alias("sources"), *(F.sum(F.get("label_vec", i)).cast("long").alias(f"c{i}") for i in range(len(classes)))]
+    # a row for each split and key, from which all else is made
+    small = kept(x.groupBy("split", "section", "key").agg(F.count("*").alias("count"), *sums))
     expected = {"label": ["[" + ",".join(map(str, c)) + "]" for c in combinations(len(classes))], "group": groups, "ratio": ratios}
     every = spark.createDataFrame([(p, s, k) for p in (*splits, "overall") for s, ks in expected.items() for k in ks], "split string, section string, key string").withColumn("wanted", F.lit(True))
-    counted = keyed.groupBy("split", "section", "key").agg(F.count("*").alias("count")).join(F.broadcast(every), ["split", "section", "key"], "full").withColumn("count", F.coalesce("count", F.lit(0)))
+    counted = small.where("section <> 'samples'").select("split", "section", "key", "count").join(F.broadcast(every), ["split", "section", "key"], "full").withColumn("count", F.coalesce("count", F.lit(0)))
     none = F.lit(None).cast("double")
     out = counted.select("split", "section", "key", "count", none.alias("value"))
     extremes = counted.where("wanted and section <> 'ratio'").groupBy("split", "section").agg(F.max("count").alias("most"), F.min("count").alias("least"))
     out = out.unionByName(extremes.select("split", F.concat(F.col("section"), F.lit("_imbalance")).alias("section"), F.lit("").alias("key"), F.col("most").alias("count"), F.when(F.col("least") > 0, F.round(F.col("most") / F.col("least"), 9)).alias("value")))
-    totals = x.groupBy("split").agg(F.count("*").alias("n"), F.sum(_ones("label_vec")).cast("long").alias("sources"), *(F.sum(F.get("label_vec", i)).cast("long").alias(f"c{i}") for i in range(len(classes))))
+    totals = small.where("section = 'samples'").withColumnRenamed("count", "n")
     n, share = F.col("n"), [F.col(f"c{i}") / F.col("n") for i in range(len(classes))]
     blank = F.lit("")
     made = [_cell("samples", blank, n, none), _cell("sources_per_sample", blank, F.col("sources"), F.round(F.col("sources") / n, 9))]
@@ -60,6 +67,12 @@ def before_after(rows: DataFrame, classes: list[str]) -> DataFrame:
     return combos.select(F.lit("combo").alias("section"), "*").unionByName(shares.select(F.lit("positive_ratio").alias("section"), "key", F.round("before", 9).alias("before"), F.round("after", 9).alias("after")))
 
 
+def counts_by_split(rows: DataFrame, key: str) -> DataFrame:
+    """(split, key, n) of rows with a split, and a split `overall`."""
+    both = rows.groupingSets([["split", key], [key]], "split", key).agg(F.count("*").alias("n"))
+    return both.select(F.coalesce("split", F.lit("overall")).alias("split"), key, "n")
+
+
 def split_counts(rows: DataFrame) -> DataFrame:
     """(group, train, val, test, total) of rows (group, split), and a row `(all)`."""
     of = lambda s: F.count(F.when(F.col("split") == s, 1)).alias(s)
@@ -125,11 +138,11 @@ def confusions_of(rows: DataFrame, true: list[int], pred: list[int], focus: int,
 
 def margin_summary(confusions: DataFrame) -> DataFrame:
     """Count, mean, median, 90th percentile, least and greatest of prob and margin; 0 without rows."""
-    made = [F.count("*").alias("count")]
-    for c in ("prob", "margin"):
-        for name, v in (("mean", F.avg(c)), ("median", F.percentile(c, F.lit(0.5))), ("p90", F.percentile(c, F.lit(0.9))), ("min", F.min(c)), ("max", F.max(c))):
-            made.append(F.round(F.coalesce(v, F.lit(0.0)), 6).alias(f"{c}_{name}"))
-    return confusions.agg(*made)
+    long = confusions.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("prob", "margin")))).alias("x")).select("x.*")
+    q = quantiles(long, ["metric"], F.col("v"), [0.5, 0.9], F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    parts = {"mean": F.col("mean"), "median": F.get("q", F.lit(0)), "p90": F.get("q", F.lit(1)), "min": F.col("min"), "max": F.col("max")}
+    cells = [F.round(F.coalesce(F.max(F.when(F.col("metric") == c, v)), F.lit(0.0)), 6).alias(f"{c}_{p}") for c in ("prob", "margin") for p, v in parts.items()]
+    return q.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("count"), *cells)
 
 
 def folder_evaluation(rows: DataFrame, classes: list[str]) -> DataFrame:
@@ -145,6 +158,15 @@ def folder_evaluation(rows: DataFrame, classes: list[str]) -> DataFrame:
     return whole.unionByName(groups).unionByName(taken.select(F.lit("predicted").alias("section"), "key", "n", none.alias("value")))
 
 
+def folder_report(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """`folder_evaluation` with each class's precision, recall, F1 and support."""
+    c = class_metrics(rows)
+    name = F.get(F.array(*map(F.lit, classes)), F.col("class_id"))
+    made = F.array(*(_cell(m, name, F.col("support"), F.col(m)) for m in ("precision", "recall", "f1")))
+    scores = c.select(F.explode(made).alias("x")).select("x.section", "x.key", F.col("x.count").alias("n"), "x.value")
+    return folder_evaluation(rows, classes).unionByName(scores)
+
+
 def from_indices(rows: DataFrame, classes: int) -> DataFrame:
     """rows (true_index, pred_index) of combinations, with target and pred as bits and the flags of decided rows."""
     bits = F.array(*(F.array(*map(F.lit, c)) for c in combinations(classes)))

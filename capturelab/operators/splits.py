@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 
 
+#: A stratum of so many rows at most is ordered by one task.
+ALONE = 1 << 20
+
+
 def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
 
 
 def stratum_rank(rows: DataFrame, key: str, strata: list[str], seed: int = 42) -> DataFrame:
-    """rows with _rank, the place in the seeded order of their stratum, and _size, its rows. Ranks are those within 4,096 ranges of the order, after the counts of the ranges before, so that a large stratum is no single task."""
+    """rows with _rank, the place in the seeded order of their stratum, and _size, its rows. If a stratum has more than ALONE rows, ranks are those within 4,096 ranges of the order, after the counts of the ranges before, so that a large stratum is no single task."""
+    largest = rows.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= ALONE:
+        w = Window.partitionBy(*strata)
+        return rows.withColumns({"_rank": F.row_number().over(w.orderBy(order_key(seed, F.col(key)), key)).cast("long"), "_size": F.count("*").over(w)})
     placed = rows.withColumn("_order", order_key(seed, F.col(key))).withColumn("_range", F.substring("_order", 1, 3))
     sizes = placed.groupBy(*strata, "_range").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*strata)

@@ -78,9 +78,13 @@ def _predictions(s, d):
     return metrics.decided(x, [0.5, 0.45, 0.6])
 
 
-def _folder(s, d):
+def _folder_rows(s, d):
     g = F.get(F.array(*map(F.lit, ["source_1", "source_3", "a_mix", "b_mix", "other"])), (F.col("file") % 5).cast("int"))
-    return reports.folder_evaluation(_predictions(s, d).withColumn("group", g), CLASSES)
+    return _predictions(s, d).withColumn("group", g)
+
+
+def _folder(s, d):
+    return reports.folder_evaluation(_folder_rows(s, d), CLASSES)
 
 
 def _indices(s, d):

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import audit, metrics, neighbors, splits
+from ..operators import audit, index, metrics, neighbors, reports, splits
 from ..sources.captures import parsed
-from . import index_queries, late_queries, model_queries, preparation_queries, views
+from . import file_queries, index_queries, late_queries, model_queries, preparation_queries, report_queries, views
 
 CLASSES = ["source_1", "source_3", "source_5"]
 GROUPS = ["1", "2", "3", "4", "5", "6", "7", "8"]
@@ -52,18 +52,11 @@ def _paths(s, d):
     return views.table(s, d, "pages").select("page_id", L.top_folder(path).alias("top"), L.ratio(F.concat(F.lit("radio_"), F.col("page_id") % 5, F.lit("/x")), "(none)").alias("ratio"))
 
 
-def _index_summary(s, d):
-    x = views.index(s, d)
-    g = x.groupingSets([["group"], ["ratio"], ["group", "ratio"], []], "group", "ratio").agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
-    return g.select(F.col("gid").cast("int").alias("level"), F.coalesce("group", F.lit("*")).alias("group"), F.coalesce("ratio", F.lit("*")).alias("ratio"), "n")
-
-
 def _distribution(s, d):
-    """Counts and shares of the two labels in each split and over all."""
+    """Counts of the two labels in each split and over all."""
     lab = views.table(s, d, "labels")
     split = splits.stratified_split(lab.withColumn("combo", F.concat(F.col("quality").cast("string"), F.col("toxic").cast("string"))), "doc_id", ["combo"])
-    both = split.groupingSets([["split", "combo"], ["combo"]], "split", "combo").agg(F.count("*").alias("n"))
-    return both.select(F.coalesce("split", F.lit("overall")).alias("split"), "combo", "n")
+    return reports.counts_by_split(split, "combo")
 
 
 QUERIES = {
@@ -78,7 +71,7 @@ QUERIES = {
     "parse_captures": _parsed_text,
     "group_labels": _group_labels,
     "path_parts": _paths,
-    "index_summary": _index_summary,
+    "index_summary": lambda s, d: index.summary(views.index(s, d)),
     "stratified_split": lambda s, d: splits.stratified_split(views.index(s, d), "file", ["group", "ratio"]).select("file", "group", "ratio", "split"),
     "quota_selection": lambda s, d: splits.quota(views.index(s, d), "file", "group", {"1-URGENT": 100, "5-LOW": 50}, 80),
     "first_per_group": lambda s, d: splits.first_per_group(views.index(s, d), "group", "file", 7),
@@ -188,7 +181,9 @@ r AS (SELECT *, pred = target AS exact, pred[1]>target[1] OR pred[2]>target[2] O
     "point_statistics": "WITH x AS (SELECT CAST(i-1 AS INT) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1,65) u(i)) SELECT pos, round(avg(x),6) AS mean, round(stddev_pop(x),6) AS std, round(quantile_cont(x,5e-2),6) AS p05, round(quantile_cont(x,95e-2),6) AS p95 FROM x GROUP BY pos",
 }
 
-QUERIES |= model_queries.QUERIES | late_queries.QUERIES | index_queries.QUERIES | preparation_queries.QUERIES
+QUERIES |= model_queries.QUERIES | late_queries.QUERIES | index_queries.QUERIES | preparation_queries.QUERIES | report_queries.QUERIES | file_queries.QUERIES
 ORACLES |= model_queries.ORACLES | late_queries.ORACLES | index_queries.oracles() | preparation_queries.oracles(_SPLIT)
+ORACLES |= file_queries.oracles(_SPLIT)
+ORACLES |= report_queries.oracles(ORACLES["recommended_preprocessing"], ORACLES["nearest_neighbours"], ORACLES["folder_evaluation"])
 ORACLES["metrics_on_indices"] = ORACLES["metrics_on_indices"].format(metrics=_MET)
 ORACLES["ranked_thresholds"] = f"SELECT *, CAST(row_number() OVER (ORDER BY exact_match DESC, t0, t1, t2) AS INT) AS place FROM ({ORACLES['threshold_search']}) ORDER BY place LIMIT 20"

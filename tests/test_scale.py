@@ -54,6 +54,13 @@ def test_certified_neighbours(spark, metric):
     few = certified.certified(x.where("id < 4"), 5, metric).collect()
     assert sorted((r.id, r.place) for r in few) == [(i, p) for i in range(4) for p in (1, 2, 3)]
     assert certified.certified(x.limit(0), 5, metric).count() == 0
+    # a vector that most rows have is compared once
+    copies = spark.createDataFrame([(i, [1.0, 2.0] if i % 10 else [float(i), 1.0]) for i in range(3000)], "id long, v array<float>").repartition(4)
+    rows = certified.certified(copies, 3, metric).collect()
+    assert len(rows) == 9000 and max(r.compared for r in rows) <= 400
+    want = {(r.id, r.place): r.neighbour for r in neighbors.nearest(copies, 3, metric="cosine").collect()} if metric == "cosine" else {}
+    assert all(want[r.id, r.place] == r.neighbour for r in rows if metric == "cosine")
+    assert {r.id: r.neighbour for r in rows if r.place == 3 and r.id % 10 and r.id > 3} == {i: 3 for i in range(4, 3000) if i % 10}
 
 
 def test_many_dimensions(spark):
@@ -212,3 +219,37 @@ def test_saturation_of_merged_bands(spark):
         assert r.mean_wave_nrmse == pytest.approx(np.mean(off), abs=1e-6) and r.point_std_error == pytest.approx(np.mean(dev), abs=1e-6)
 
 
+
+
+def test_duplicate_signals_differ_by_the_sign_of_zero(spark, monkeypatch):
+    from capturelab.operators import results
+
+    rows = [("a", "g", [0.0, 1.0]), ("b", "h", [-0.0, 1.0]), ("c", "h", [0.0, 1.0]), ("d", "g", [5.0]), ("e", "g", [5.0]), ("f", "h", None), ("i", "k", []), ("j", "l", [])] + [(f"z{i}", "gh"[i % 2], [7.5] * 3) for i in range(50)]
+    x = spark.createDataFrame(rows, "file string, group string, signal array<double>").repartition(4)
+    got = {r.file: (r.copies, r.labels) for r in results.duplicate_signals(x).collect()}
+    assert got == {"a": (2, 2), "c": (2, 2), "i": (2, 2), "j": (2, 2), **{f"z{i}": (50, 2) for i in range(50)}}
+    # signals whose fingerprints are made equal are told apart by their bytes
+    monkeypatch.setattr(results, "fingerprints", lambda c: c.withColumn("fingerprint", F.lit("same")))
+    assert {r.file for r in results.duplicate_signals(x).collect()} == {"a", "c"}
+    assert results.duplicate_signals(x.limit(0)).count() == 0
+
+
+def test_results_of_a_mode(spark):
+    from capturelab.operators import results
+
+    x = spark.createDataFrame([("f", [0.9, 0.2], [1, 0], [0.1, 0.7, 0.2])], "file string, prob array<double>, pred array<int>, combo_prob array<double>")
+    a = results.prediction_results(x, ["u", "v"], "structured", [0.5, 0.5]).first()
+    assert a.sources == ["u"] and a.combinations == ["01", "10", "11"] and a.combination == "10" and not a.thresholds_apply and a.percentages == [90.0, 20.0]
+    b = results.prediction_results(x.drop("combo_prob"), ["u", "v"], "multilabel", [0.5, 0.5]).first()
+    assert b.combination_probabilities is None and b.combinations == [] and b.thresholds_apply
+    with pytest.raises(ValueError):
+        results.prediction_results(x, ["u", "v"], "other", [0.5, 0.5])
+
+
+def test_ranks_of_small_and_large_strata_agree(spark, monkeypatch):
+    from capturelab.operators import splits
+
+    x = spark.createDataFrame([(i, "ab"[i % 3 % 2] if i % 7 else None) for i in range(300)], "k long, g string").repartition(4)
+    small = {r.k: (r._rank, r._size) for r in splits.stratum_rank(x, "k", ["g"]).collect()}
+    monkeypatch.setattr(splits, "ALONE", 0)
+    assert {r.k: (r._rank, r._size) for r in splits.stratum_rank(x, "k", ["g"]).collect()} == small
