@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import audit, index, metrics, neighbors, reports, splits
 from ..sources import captures
+from ..sources.shared import kept
 from . import views
 
 CLASSES = ["source_1", "source_3", "source_5"]
@@ -64,8 +65,8 @@ def _issue_table(s, d):
 
 
 def _split_rows(s, d):
-    """Index rows with label_vec and ratio, split."""
-    x = index.training_rows(_index(s, d), 3).withColumn("ratio", L.ratio(F.col("condition_path")))
+    """Index rows with label_vec and ratio, split. The index is written once, as it would be before it is split."""
+    x = kept(index.training_rows(_index(s, d), 3).withColumn("ratio", L.ratio(F.col("condition_path"))))
     return splits.stratified_split(x, "file", ["group"])
 
 
