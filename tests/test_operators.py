@@ -65,7 +65,7 @@ def test_probed_query_finds_the_neighbours(spark):
 
 
 #: Held by tests of their parts against numpy, by conditions of the optimum or by their recall.
-WITHOUT_SQL = {"pca_dimensions", "template_features", "augmented_spectra", "probed_neighbours"}
+WITHOUT_SQL = {"pca_dimensions", "template_features", "augmented_spectra", "probed_neighbours", "template_classifier"}
 
 
 def test_every_query_has_sql_or_a_test():

@@ -253,3 +253,24 @@ def test_ranks_of_small_and_large_strata_agree(spark, monkeypatch):
     small = {r.k: (r._rank, r._size) for r in splits.stratum_rank(x, "k", ["g"]).collect()}
     monkeypatch.setattr(splits, "ALONE", 0)
     assert {r.k: (r._rank, r._size) for r in splits.stratum_rank(x, "k", ["g"]).collect()} == small
+
+
+def test_template_classifier_query(spark):
+    """The query's probabilities are those of plain gradient descent on its features."""
+    from capturelab.plans import model_queries
+    from capturelab.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    p = model_queries._powers(spark, d)
+    t = np.array([r.template for r in templates.build(p, 1000, model_queries.SEED).orderBy("class").collect()])
+    rows = templates.mixture_features(p, t).select("file", "y", "features").collect()
+    x, y = np.array([r.features for r in rows]), np.array([r.y for r in rows])
+    z = np.hstack([(x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1), np.ones((len(x), 1))])
+    target, n = np.eye(3)[y], len(y)
+    weight, w = n / (3 * target.sum(0))[y], np.zeros((3, z.shape[1]))
+    for _ in range(30000):
+        q = np.exp(z @ w.T)
+        q /= q.sum(1, keepdims=True)
+        w -= 0.002 * (((q - target) * weight[:, None]).T @ z + w * np.r_[np.ones(z.shape[1] - 1), 0])
+    got = {r.file: r for r in QUERIES["template_classifier"](spark, d).collect()}
+    assert [got[r.file].p for r in rows] == pytest.approx(q.max(1), abs=2e-4) and np.mean([got[r.file].prediction == k for r, k in zip(rows, q.argmax(1), strict=True)]) > 0.99
