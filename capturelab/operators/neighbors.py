@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .quantiles import quantiles
 from .splits import order_key
 
@@ -28,6 +29,76 @@ def _top(s: np.ndarray, mine: np.ndarray, others: np.ndarray, k: int) -> list[np
     return [mine[row[ok]], others[near[ok]], s[row[ok], near[ok]]]
 
 
+#: Rows of a block at most once there are 16 blocks; rows of a cell's questions that are compared together; products that are held at once; pairs compared in doubles at once.
+WIDEST, RUN, TILE, PAIRS = 1 << 15, 128, 1 << 21, 1 << 15
+
+
+def _similar(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """The similarity of each row of a to the same row of b."""
+    if metric == "cosine":
+        return np.round(np.einsum("ij,ij->i", a, b), 9)
+    apart = a - b
+    return -np.round(np.sqrt(np.einsum("ij,ij->i", apart, apart) / max(a.shape[1], 1)), 9)
+
+
+def _singles(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, slack) in single precision: x @ y.T orders the rows of b for each of a as similarity does, but for differences up to slack, which covers rounding."""
+    width = a.shape[1]
+    if metric == "cosine":
+        return a.astype(np.float32), b.astype(np.float32), np.full(len(a), (width + 8) * 2.0**-23 + 4e-9)
+    middle = b.mean(0) if len(b) else 0
+    a, b = a - middle, b - middle
+    top = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+    scale = 2.0 ** -np.ceil(np.log2(top)) if top > 0 else 1.0
+    a, b = a * scale, b * scale
+    size, half = np.linalg.norm(a, axis=1), (b * b).sum(1) / 2
+    most = np.sqrt(2 * half.max(initial=0))
+    slack = (width + 8) * 2.0**-23 * most * (size + most) + 4e-9 * scale * math.sqrt(width) * (size + most) + width * 1e-17 * scale * scale
+    return np.column_stack([a, np.ones(len(a))]).astype(np.float32), np.column_stack([b, -half]).astype(np.float32), slack
+
+
+def _near(a: np.ndarray, b: np.ndarray, mine: np.ndarray, others: np.ndarray, k: int, metric: str, singles: tuple | None = None) -> list[np.ndarray]:
+    """(id, neighbour, similarity) of the k best rows of b for each row of a, by similarity, then by id, without the row of the same id. All rows are finite.
+
+    Products in single precision are reduced to maxima by segment; the (k + 1)-th greatest of these bounds what can be among the best. The few pairs above that
+    bound, less what rounding can move, are compared in doubles.
+    """
+    x, y, slack = singles or _singles(a, b, metric)
+    m, found = len(b), [[], [], []]
+    wide = max(4 * (k + 1), 512)
+    deep = m // wide if m >= 2 * wide else 1
+    if deep == 1:
+        wide = m
+    whole = wide * deep
+    step = max(1, TILE // max(m, 1))
+    for lo in range(0, len(a) if m else 0, step):
+        part = x[lo : lo + step]
+        s, rest = (part @ y[:whole].T).reshape(len(part), deep, wide), part @ y[whole:].T
+        seg = np.concatenate([s.max(axis=1), rest], axis=1)
+        last = max(seg.shape[1] - k - 1, 0)
+        bound = np.partition(seg, last, axis=1)[:, last] - slack[lo : lo + step]
+        row, at = np.nonzero(seg >= bound[:, None])
+        deeper = at < wide
+        r, g = row[deeper], at[deeper]
+        hit, level = np.nonzero(s[r, :, g] >= bound[r][:, None])
+        row, col = np.concatenate([r[hit], row[~deeper]]), np.concatenate([level * wide + g[hit], at[~deeper] - wide + whole])
+        own = mine[lo + row] == others[col]
+        row, col = lo + row[~own], col[~own]
+        value = np.concatenate([np.zeros(0), *(_similar(a[row[i : i + PAIRS]], b[col[i : i + PAIRS]], metric) for i in range(0, len(row), PAIRS))])
+        order = np.lexsort((others[col], -value, row))
+        row, col, value = row[order], col[order], value[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        best = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+        for c, part in zip(found, (mine[row[best]], others[col[best]], value[best]), strict=True):
+            c.append(part)
+    return [np.concatenate([np.zeros(0, kind), *c]) for c, kind in zip(found, (np.int64, np.int64, np.float64), strict=True)]
+
+
+def _block_rows(n: int, least: int) -> int:
+    """Rows of a block: `least` up to 16 blocks, then a sixteenth of all up to WIDEST. So blocks stay few and bounded."""
+    return max(least, min(WIDEST, -(-n // 16)))
+
+
 def _matrix(v, rows: int, metric: str) -> np.ndarray:
     """The vectors of an Arrow column, of length 1 for cosine."""
     v = np.asarray((v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten()).astype(np.float64).reshape(rows, -1 if rows else 0)
@@ -43,23 +114,22 @@ def nearest(vectors: DataFrame, k: int, block_rows: int = 2048, metric: str = "c
     """(id, neighbour, similarity, place): the k most similar other vectors of every vector by cosine, or by metric `rms` (the negated root mean square of differences); of equals, the smaller id. Null vectors are left out.
 
     vectors: id long, v array<float>. Rows are dealt to blocks by a hash of the id; every two blocks meet once, in one
-    task, which keeps k candidates a row of both, and the candidates of a row are then merged. The work is quadratic; `probed` is for large collections.
+    task, which keeps k candidates a row of both, and the candidates of a row are then merged. Blocks have block_rows rows in a small collection and WIDEST at most. The work is quadratic, in products of single precision; only pairs that these can't rule out are compared in doubles. `probed` is for large collections.
     """
     vectors = vectors.where("v is not null")
-    blocks = max(1, -(-vectors.count() // block_rows))
+    n = vectors.count()
+    blocks = max(1, -(-n // _block_rows(n, block_rows)))
     dealt = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     other = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     met = other.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "id", "v")
 
     def best(t: pa.Table) -> pa.Table:
         ids, side = np.asarray(t["id"]), np.asarray(t["side"])
-        v, order = _matrix(t["v"], len(ids), metric), np.argsort(ids, kind="stable")
-        a, b = order[~side[order]], order[side[order]]
-        within = t["i"][0] == t["j"][0]
-        s = _close(v[a], v[a if within else b], metric)
-        if within:
-            np.fill_diagonal(s, -np.inf)
-        found = [_top(s, ids[a], ids[a if within else b], k)] + ([] if within else [_top(s.T, ids[b], ids[a], k)])
+        v = _matrix(t["v"], len(ids), metric)
+        sound = np.isfinite(v).all(axis=1)
+        a, b = np.flatnonzero(sound & ~side), np.flatnonzero(sound & side)
+        ways = [(a, a)] if t["i"][0] == t["j"][0] else [(a, b), (b, a)]
+        found = [_near(v[x], v[y], ids[x], ids[y], k, metric) for x, y in ways]
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["id", "neighbour", "similarity"])
 
     return _placed(met.groupBy("i", "j").applyInArrow(best, FOUND), k)
@@ -165,7 +235,8 @@ def categories(near: DataFrame, labels: DataFrame, one: float = 1.0) -> DataFram
     """Each vector's share of neighbours with its own label and its category. isolated (the k-th distance beyond Q3 + 3 IQR of its label) wins over typical, boundary and other-dominated. A distance is `one` less the similarity: 1 for cosine, 0 for rms."""
     mine, other = labels.select("id", "label"), labels.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
     x = near.join(mine, "id").join(other, "neighbour")
-    rows = x.groupBy("id", "label").agg(F.avg((F.col("label") == F.col("other")).cast("int")).alias("own"), F.max(F.lit(one) - F.col("similarity")).alias("radius"))
+    # written once: fences, join and any sort read it from there
+    rows = kept(x.groupBy("id", "label").agg(F.avg((F.col("label") == F.col("other")).cast("int")).alias("own"), F.max(F.lit(one) - F.col("similarity")).alias("radius")))
     high, low = F.get("q", F.lit(1)), F.get("q", F.lit(0))
     fences = quantiles(rows, ["label"], F.col("radius"), [0.25, 0.75], most=labels.count()).select(F.col("label").alias("_label"), (high + 3 * (high - low)).alias("fence"))
     fenced = rows.join(fences, F.col("label").eqNullSafe(F.col("_label")))
