@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .neighbors import FOUND, _close, _matrix, _top, centres
+from .neighbors import FOUND, _apart, _matrix, _near, centres, in_blocks, searched, sound
 
 #: What rounding similarities to nine places and computing in doubles can move a distance by.
 SLACK = 1e-6
@@ -19,10 +19,6 @@ def _reach(similarity: np.ndarray, width: int, metric: str) -> np.ndarray:
     return np.where(np.isnan(similarity), np.inf, far * (1 + SLACK) + SLACK)
 
 
-def _apart(v: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (v @ c.T), 0))
-
-
 #: Copies of a frequent vector's row, over which its rows are dealt.
 SALTS = 32
 
@@ -36,10 +32,10 @@ def certified(vectors: DataFrame, k: int, metric: str = "cosine", cells: int | N
     Every vector lies in the cell of its nearest pivot; pivots are fitted to a bounded sample, about sqrt(rows) and at most 4,096. Its k
     best within its cell bound how far a neighbour can be. By the triangle inequality a cell holds none if its pivot is farther away than that
     bound and the cell's radius together, or if the bisecting plane of the two pivots is farther away than the bound; in a cell that is asked, only
-    vectors whose distance to the pivot differs from the asker's by no more than the bound are compared. So what is left out is proved to be farther. A cell's rows and its questions are
-    dealt to blocks, so that no task holds a crowded cell. On vectors without clusters the bounds exclude little and the work is that of `nearest`. Null vectors are left out.
+    vectors whose distance to the pivot differs from the askers' by no more than the bound are compared. So what is left out is proved to be farther. Cells lie in blocks
+    of bounded size, a crowded one in several, and a vector goes once to each block that has a cell it asks. On vectors without clusters the bounds exclude little and the work is that of `nearest`. Null vectors and those with endless numbers are left out.
     """
-    vectors = vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    vectors = sound(vectors)
     first = vectors.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)  # k + 1 rows a task and vector are shuffled
     groups = kept(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("id"), "v", "ids"))
     found = _between(groups.select("id", "v"), k, metric, cells, block_rows, seed)
@@ -69,82 +65,35 @@ def _between(vectors: DataFrame, k: int, metric: str, cells: int | None, block_r
     if not len(pivots):
         return spark.createDataFrame([], FOUND + ", place int, compared long")
     width = pivots.shape[1]
-    sent = spark.sparkContext.broadcast(pivots)  # at most 4,096
-
-    def dealt(batches):
-        for b in batches:
-            if b.num_rows:
-                d = _apart(_matrix(b.column(1), b.num_rows, metric), sent.value)
-                home = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(d)), home])], names=["id", "v", "cell", "off"])
-
-    lying = kept(vectors.mapInArrow(dealt, "id long, v array<float>, cell int, off double"))
-    sizes = lying.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()  # at most 4,096 rows
-    radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
-    for r in sizes:
-        radius[r.cell], blocks[r.cell] = r.radius, -(-r.n // block_rows)
-    sent_cells = spark.sparkContext.broadcast((radius, _apart(pivots, pivots)))
-    shape = spark.createDataFrame([(int(c), int(n)) for c, n in enumerate(blocks)], "cell int, blocks int")
-
-    def met(asking: DataFrame) -> DataFrame:
-        """The k best of each question (id, v, cell, off: its distance to the cell's pivot, bound) among the cell's vectors within its bound."""
-        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asked = asking.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("questions"))
-        sized = kept(shape.where("blocks > 0").join(F.broadcast(asked), "cell"))  # at most 4,096 rows
-        sized = F.broadcast(sized)
-        a = asking.join(sized, "cell").select("cell", part("questions").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"), "id", "v", "off", "bound")
-        b = lying.join(sized, "cell").select("cell", every("questions").alias("i"), part("blocks").alias("j"), F.lit(False).alias("asks"), "id", "v", "off", F.lit(0.0).alias("bound"))
-        return a.unionByName(b).groupBy("cell", "i", "j").applyInArrow(best, FOUND + ", compared long")
-
-    def best(t: pa.Table) -> pa.Table:
-        ids, asks, off, bound = (np.asarray(t[c]) for c in ("id", "asks", "off", "bound"))
+    lying, lies, radius = in_blocks(vectors, pivots, metric, block_rows)
+    sent = spark.sparkContext.broadcast((pivots, radius))  # at most 4,096
+
+    def at_home(t: pa.Table) -> pa.Table:
+        """A block's rows, each with how far its k best can be, by its k-th best in its own cell."""
+        ids, cell = np.asarray(t["id"]), np.asarray(t["cell"])
         v = _matrix(t["v"], len(ids), metric)
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        b = b[np.argsort(off[b], kind="stable")]
-        # questions in order of their distance, a run of them at a time against the vectors that any of the run may need
-        a = a[np.argsort(off[a], kind="stable")]
-        low, high = np.searchsorted(off[b], off[a] - bound[a]), np.searchsorted(off[b], off[a] + bound[a], "right")
-        out = [[], [], [], []]
-        for lo in range(0, len(a), 64):
-            run = slice(lo, lo + 64)
-            x, y = low[run].min(), high[run].max()
-            if y <= x:
-                continue
-            near = b[x:y][np.argsort(ids[b[x:y]], kind="stable")]
-            s = _close(v[a[run]], v[near], metric)
-            s[ids[a[run]][:, None] == ids[near][None, :]] = -np.inf
-            mine, other, value = _top(s, ids[a[run]], ids[near], k)
-            for c, part in zip(out, (mine, other, value, np.where(np.r_[True, mine[1:] != mine[:-1]][: len(mine)], y - x, 0)), strict=True):
-                c.append(part)
-        kinds = (np.int64, np.int64, np.float64, np.int64)
-        return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(kind) if c else np.zeros(0, kind)) for c, kind in zip(out, kinds, strict=True)], names=["id", "neighbour", "similarity", "compared"])
-
-    def top(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("id")
-        return found.withColumn("place", F.row_number().over(w.orderBy(F.desc("similarity"), "neighbour"))).withColumn("compared", F.sum("compared").over(w)).where(F.col("place") <= k)
-
-    at_home = kept(top(met(lying.withColumn("bound", F.lit(float("inf"))))))
-    least = at_home.where(F.col("place") == k).select(F.col("id").alias("_id"), "similarity")
-
-    def asked(batches):
-        radius, between = sent_cells.value
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            home, ids = np.asarray(b.column("cell")), b.column("id")
-            reach = _reach(np.asarray(b.column("similarity").to_numpy(zero_copy_only=False), np.float64), width, metric)
-            d = _apart(_matrix(b.column("v"), n, metric), sent.value)
-            mine = d[np.arange(n), home][:, None]
-            plane = (d * d - mine * mine) / np.maximum(2 * between[home], 1e-300)
-            plane[between[home] <= SLACK] = 0  # pivots that coincide have no plane between them
-            ask = (np.maximum(d - radius[None, :], plane) <= reach[:, None] + SLACK) & np.isfinite(radius)[None, :]
-            ask[np.arange(n), home] = False
-            row, cell = np.nonzero(ask)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(d[row, cell]), pa.array(reach[row])], names=["id", "v", "cell", "off", "bound"])
-
-    outward = lying.join(least, F.col("id") == F.col("_id"), "left").select("id", "v", "cell", "similarity")
-    found = met(outward.mapInArrow(asked, "id long, v array<float>, cell int, off double, bound double"))
-    once = F.when(F.col("place") == 1, F.col("compared")).otherwise(0).alias("compared")
-    return top(found.unionByName(at_home.select("id", "neighbour", "similarity", once))).select("id", "neighbour", "similarity", "place", "compared")
+        similarity, sound = np.full(len(ids), np.nan), np.isfinite(v).all(axis=1)
+        order = np.flatnonzero(sound)
+        order = order[np.argsort(cell[order], kind="stable")]
+        _, starts = np.unique(cell[order], return_index=True)
+        for part in np.split(order, starts[1:]):
+            found, _, value = _near(v[part], v[part], ids[part], ids[part], k, metric)
+            last = np.flatnonzero(np.r_[found[1:] != found[:-1], True][: len(found)])
+            whole = last[np.diff(np.r_[-1, last]) == k]
+            place = np.argsort(ids[part], kind="stable")
+            similarity[part[place[np.searchsorted(ids[part][place], found[whole])]]] = value[whole]
+        return t.set_column(t.column_names.index("bound"), "bound", pa.array(_reach(similarity, width, metric)))
+
+    def asks(d, home, off, bound, cells):
+        pivots, radius = sent.value
+        between = _apart(pivots[home], pivots[cells])
+        plane = (d * d - (off * off)[:, None]) / np.maximum(2 * between, 1e-300)
+        plane[between <= SLACK] = 0  # pivots that coincide have no plane between them
+        near = (np.maximum(d - radius[cells][None, :], plane) <= bound[:, None] + SLACK) & np.isfinite(radius[cells])[None, :]
+        return near | (home[:, None] == cells[None, :])
+
+    bounded = kept(lying.groupBy("block").applyInArrow(at_home, lying.schema))
+    found = searched(bounded, pivots, lies, asks, k, metric, narrow=True)
+    w = Window.partitionBy("id")
+    placed = found.withColumn("place", F.row_number().over(w.orderBy(F.desc("similarity"), "neighbour"))).withColumn("compared", F.sum("compared").over(w))
+    return placed.where(F.col("place") <= k).select("id", "neighbour", "similarity", "place", "compared")

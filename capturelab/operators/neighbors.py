@@ -14,21 +14,6 @@ from .splits import order_key
 FOUND = "id long, neighbour long, similarity double"
 
 
-def _close(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return np.round(a @ b.T, 9)
-    apart = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return -np.round(np.sqrt(np.maximum(apart, 0) / max(a.shape[1], 1)), 9)
-
-
-def _top(s: np.ndarray, mine: np.ndarray, others: np.ndarray, k: int) -> list[np.ndarray]:
-    """The k best columns of each row, by value, then by id; `others` is in order."""
-    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    row, near = np.repeat(np.arange(len(mine)), best.shape[1]), best.ravel()
-    ok = np.isfinite(s[row, near])
-    return [mine[row[ok]], others[near[ok]], s[row[ok], near[ok]]]
-
-
 #: Rows of a block at most once there are 16 blocks; rows of a cell's questions that are compared together; products that are held at once; pairs compared in doubles at once.
 WIDEST, RUN, TILE, PAIRS = 1 << 15, 128, 1 << 21, 1 << 15
 
@@ -135,24 +120,38 @@ def nearest(vectors: DataFrame, k: int, block_rows: int = 2048, metric: str = "c
     return _placed(met.groupBy("i", "j").applyInArrow(best, FOUND), k)
 
 
+#: Rows whose distances to all centres are held at once.
+STEP = 1024
+
+
+def _apart(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (v @ c.T), 0))
+
+
+def _home(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each vector, its nearest centre."""
+    return np.concatenate([np.zeros(0, np.int64), *(_apart(v[i : i + STEP], c).argmin(1) for i in range(0, len(v), STEP))])
+
+
+def sound(vectors: DataFrame) -> DataFrame:
+    """(id long, v array<float>) of the vectors that can have neighbours: not null, and of finite numbers."""
+    endless = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v")).where(F.col("v").isNotNull() & ~endless)
+
+
 def centres(vectors: DataFrame, cells: int, metric: str = "cosine", sample: int = 65536, seed: int = 42, rounds: int = 10) -> np.ndarray:
     """So many centres, by rounds of k-means on the driver over a bounded sample: the first rows in seeded order, at most `sample` and 64 for a cell."""
     t = vectors.where("v is not null").orderBy(order_key(seed, F.col("id")), "id").limit(min(sample, 64 * cells)).select("v").toArrow()
     x = _matrix(t["v"], t.num_rows, metric)
     c = x[:cells].copy()
     for _ in range(rounds if len(x) else 0):
-        home = ((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
+        home = _home(x, c)
         sums, n = np.zeros_like(c), np.bincount(home, minlength=len(c))
         np.add.at(sums, home, x)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return c
 
 
-def _cells(v: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
-    """For each vector, the nearest centres in order."""
-    return np.argsort((c * c).sum(1)[None, :] - 2 * (v @ c.T), axis=1, kind="stable")[:, :most]
-
-
 def fewest_probes(vectors: DataFrame, c: np.ndarray, k: int, recall: float, metric: str = "cosine", questions: int = 256, seed: int = 42) -> int:
     """In how many cells a vector must ask to find this share of its k neighbours: measured on the exact neighbours, among all rows, of the first so many rows in seeded order."""
     t = vectors.orderBy(order_key(seed + 1, F.col("id")), "id").limit(questions).select("id", "v").toArrow()
@@ -163,67 +162,149 @@ def fewest_probes(vectors: DataFrame, c: np.ndarray, k: int, recall: float, metr
     def best(batches):
         names, q, c = sent.value
         for b in batches:
-            if not b.num_rows:
-                continue
             ids, v = np.asarray(b.column(0)), _matrix(b.column(1), b.num_rows, metric)
+            found = _near(q, v, names, ids, k, metric)
             order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], v[order]
-            s = _close(q, v, metric)
-            s[names[:, None] == ids[None, :]] = -np.inf
-            found = _top(s, names, ids, k)
-            home = _cells(v, c, 1)[:, 0][np.searchsorted(ids, found[1])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(home.astype(np.int32))], names=["id", "neighbour", "similarity", "cell"])
+            at = order[np.searchsorted(ids[order], found[1])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(_home(v, c)[at].astype(np.int32))], names=["id", "neighbour", "similarity", "cell"])
 
     rows = _placed(vectors.select("id", "v").mapInArrow(best, FOUND + ", cell int"), k).select("id", "cell").collect()  # questions x k rows
-    place = {i: np.argsort(o) for i, o in zip(sent.value[0].tolist(), _cells(sent.value[1], c, len(c)), strict=True)}
+    place = {i: np.argsort(np.argsort(d, kind="stable")) for i, d in zip(sent.value[0].tolist(), _apart(sent.value[1], c), strict=True)}
     asked = sorted(int(place[r.id][r.cell]) for r in rows)
     return asked[math.ceil(recall * len(asked)) - 1] + 1 if asked else 1
 
 
+def _packed(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first block of each cell, in how many it lies, blocks): cells that fit share a block, a crowded one is dealt to several."""
+    most = _block_rows(int(sizes.sum()), block_rows)
+    first, parts, block, held = np.zeros(len(sizes), np.int64), -(-sizes // most), -1, most
+    for c in np.flatnonzero(sizes).tolist():
+        if held + sizes[c] > most:
+            block, held = block + 1, 0
+        first[c], held = block, held + sizes[c]
+        if parts[c] > 1:
+            block, held = block + int(parts[c]) - 1, most
+    return first, parts, block + 1
+
+
+def in_blocks(vectors: DataFrame, c: np.ndarray, metric: str, block_rows: int, probes: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The vectors, written, with cell, off (the distance to its centre), bound (the distance of the `probes`-th nearest centre, if asked for) and block; whether cells lie in blocks (cells x blocks); the greatest `off` by cell."""
+    spark = vectors.sparkSession
+    sent = spark.sparkContext.broadcast(c)  # at most 4,096 centres
+
+    def dealt(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, STEP):
+                part = b.slice(lo, STEP)
+                d = _apart(_matrix(part.column(1), part.num_rows, metric), sent.value)
+                home = d.argmin(1)
+                bound = np.partition(d, probes - 1, axis=1)[:, probes - 1] if probes else np.zeros(len(d))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(d)), home]), pa.array(bound)], names=["id", "v", "cell", "off", "bound"])
+
+    x = kept(vectors.mapInArrow(dealt, "id long, v array<float>, cell int, off double, bound double"))
+    n, radius = np.zeros(len(c), np.int64), np.full(len(c), -np.inf)
+    for r in x.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect():  # at most 4,096 rows
+        n[r.cell], radius[r.cell] = r.n, r.radius
+    first, parts, blocks = _packed(n, block_rows)
+    lies = np.zeros((len(c), blocks), np.float32)
+    for cell in np.flatnonzero(n).tolist():
+        lies[cell, first[cell] : first[cell] + parts[cell]] = 1
+    place = spark.createDataFrame(list(zip(range(len(c)), first.tolist(), parts.tolist(), strict=True)), "cell int, first long, parts long")
+    block = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+    return x.join(F.broadcast(place), "cell").select("id", "v", "cell", "off", "bound", block.alias("block")), lies, radius
+
+
+def searched(lying: DataFrame, c: np.ndarray, lies: np.ndarray, asks, k: int, metric: str, narrow: bool = False) -> DataFrame:
+    """(id, neighbour, similarity, compared) by block: the k best of each vector in the cells that it asks, with how many rows it was compared there.
+
+    asks(d, home, off, bound, cells): which of these cells (d: the distances to their centres) each vector asks. A vector goes once to each block that has such a cell. There
+    the vectors of one home, some at a time, are compared with all cells that any of them asks; if `narrow`, with rows only whose distance to the centre is within a bound of an asker's.
+    """
+    sent = lying.sparkSession.sparkContext.broadcast((c, lies))
+
+    def routed(vectors: bool):
+        def route(batches):
+            c, lies = sent.value
+            for b in batches:
+                for lo in range(0, b.num_rows, STEP):
+                    part = b.slice(lo, STEP)
+                    home, off, bound, block = (np.asarray(part.column(x)) for x in ("cell", "off", "bound", "block"))
+                    d = _apart(_matrix(part.column("v"), part.num_rows, metric), c)
+                    row, to = np.nonzero(asks(d, home, off, bound, np.arange(len(c))).astype(np.float32) @ lies > 0)
+                    if vectors:
+                        row, to = pa.array(row), pa.array(to.astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array(block).take(row), to, *(part.column(x).take(row) for x in ("id", "v", "cell", "off", "bound"))], names=["i", "j", "id", "v", "cell", "off", "bound"])
+                    else:
+                        pairs = np.unique(np.column_stack([block[row], to]).astype(np.int32), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["i", "j"])
+
+        return route
+
+    pairs = kept(lying.mapInArrow(routed(False), "i int, j int").distinct())  # blocks x blocks rows
+    asking = lying.mapInArrow(routed(True), "i int, j int, id long, v array<float>, cell int, off double, bound double").withColumn("asks", F.lit(True))
+    there = lying.join(F.broadcast(pairs), F.col("block") == F.col("j")).select("i", "j", "id", "v", "cell", "off", "bound", F.lit(False).alias("asks"))
+
+    def best(t: pa.Table) -> pa.Table:
+        c = sent.value[0]
+        ids, asking, cell, off, bound = (np.asarray(t[x]) for x in ("id", "asks", "cell", "off", "bound"))
+        v = _matrix(t["v"], len(ids), metric)
+        sound = np.isfinite(v).all(axis=1)
+        a, b = np.flatnonzero(sound & asking), np.flatnonzero(sound & ~asking)
+        a, b = a[np.lexsort((ids[a], off[a], cell[a]))], b[np.lexsort((ids[b], off[b], cell[b]))]
+        there = v[b]
+        x, y, slack = _singles(v[a], there, metric)
+        cells, starts = np.unique(cell[b], return_index=True)
+        ends = np.r_[starts[1:], len(b)]
+        found = [[], [], [], []]
+        homes, begin = np.unique(cell[a], return_index=True)
+        for h, until in zip(begin.tolist(), np.r_[begin[1:], len(a)].tolist(), strict=True):
+            for lo in range(h, until, RUN):
+                run = slice(lo, min(lo + RUN, until))
+                q = a[run]
+                d = _apart(v[q], c[cells])
+                wanted = asks(d, cell[q], off[q], bound[q], cells)
+                spans = []
+                for n in np.flatnonzero(wanted.any(axis=0)).tolist():
+                    low, high = int(starts[n]), int(ends[n])
+                    if narrow:
+                        w = wanted[:, n]
+                        inside = off[b[low:high]]
+                        low, high = low + int(np.searchsorted(inside, (d[w, n] - bound[q][w]).min())), low + int(np.searchsorted(inside, (d[w, n] + bound[q][w]).max(), "right"))
+                    if high > low:
+                        spans.append(np.arange(low, high))
+                if not spans:
+                    continue
+                at = np.concatenate(spans)
+                every = len(at) == len(b)
+                near = _near(v[q], there if every else there[at], ids[q], ids[b if every else b[at]], k, metric, (x[run], y if every else y[at], slack[run]))
+                once = np.r_[True, near[0][1:] != near[0][:-1]][: len(near[0])]
+                for to, part in zip(found, (*near, np.where(once, len(at), 0)), strict=True):
+                    to.append(part)
+        kinds = (np.int64, np.int64, np.float64, np.int64)
+        return pa.Table.from_arrays([pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind)) for x, kind in zip(found, kinds, strict=True)], names=["id", "neighbour", "similarity", "compared"])
+
+    return asking.unionByName(there).groupBy("i", "j").applyInArrow(best, FOUND + ", compared long")
+
+
 def probed(vectors: DataFrame, k: int, probes: int | None = None, recall: float = 0.95, cells: int | None = None, block_rows: int = 2048, metric: str = "cosine", seed: int = 42) -> DataFrame:
     """`nearest`, searched for only in the cells of the `probes` nearest centres, so some neighbours may be missing. Unless given, probes are the fewest that find this share of the neighbours of 256 rows; as many as cells find all.
 
-    There are about sqrt(rows) cells, at most 4,096. Every vector lies in one cell and asks in several. A cell's rows and its
-    questions are dealt to blocks by a hash of the id, so that no task holds a crowded cell.
+    There are about sqrt(rows) cells, at most 4,096. Every vector lies in one cell and asks in several; those of one home that are asked together share their
+    answers' cells. Cells lie in blocks of bounded size, a crowded one in several, and a vector goes once to a block, however many of its cells it asks.
     """
-    vectors = vectors.where("v is not null")
-    vectors = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    vectors = sound(vectors)
     if cells is None:
         cells = min(4096, max(1, round(math.sqrt(vectors.count()))))
     c = centres(vectors, cells, metric, seed=seed)
     probes = min(probes or fewest_probes(vectors, c, k, recall, metric, seed=seed), len(c))
     if not probes:
         return vectors.sparkSession.createDataFrame([], FOUND + ", place int")
-    sent = vectors.sparkSession.sparkContext.broadcast(c)  # at most 4,096 centres
+    lying, lies, _ = in_blocks(vectors, c, metric, block_rows, probes)
 
-    def asked(batches):
-        c = sent.value
-        for b in batches:
-            v, n = b.column(1), b.num_rows
-            if not n:
-                continue
-            cell = _cells(_matrix(v, n, metric), c, probes)
-            row = pa.array(np.repeat(np.arange(n), probes))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), v.take(row), pa.array(cell.ravel().astype(np.int32)), pa.array(np.tile(np.arange(probes) == 0, n))], names=["id", "v", "cell", "home"])
-
-    x = vectors.mapInArrow(asked, "id long, v array<float>, cell int, home boolean")
-    blocks = lambda n: F.ceil(n / block_rows).cast("int")
-    sizes = x.groupBy("cell").agg(blocks(F.count("*")).alias("asking"), blocks(F.count_if("home")).alias("lying")).where("lying > 0")
-    sized = x.join(F.broadcast(sizes), "cell")  # at most 4,096 rows
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lying = sized.where("home").select("cell", every("asking").alias("i"), dealt("lying").alias("j"), F.lit(False).alias("asks"), "id", "v")
-    asking = sized.select("cell", dealt("asking").alias("i"), every("lying").alias("j"), F.lit(True).alias("asks"), "id", "v")
+    def asks(d, home, off, bound, cells):
+        return (d <= bound[:, None] + 1e-9 * (1 + bound[:, None])) | (home[:, None] == cells[None, :])
 
-    def best(t: pa.Table) -> pa.Table:
-        ids, asks = np.asarray(t["id"]), np.asarray(t["asks"])
-        v, order = _matrix(t["v"], len(ids), metric), np.argsort(ids, kind="stable")
-        a, b = order[asks[order]], order[~asks[order]]
-        s = _close(v[a], v[b], metric)
-        s[ids[a][:, None] == ids[b][None, :]] = -np.inf
-        return pa.Table.from_arrays([pa.array(x) for x in _top(s, ids[a], ids[b], k)], names=["id", "neighbour", "similarity"])
-
-    return _placed(asking.unionByName(lying).groupBy("cell", "i", "j").applyInArrow(best, FOUND), k)
+    return _placed(searched(lying, c, lies, asks, k, metric).drop("compared"), k)
 
 
 def profiles(near: DataFrame) -> DataFrame:

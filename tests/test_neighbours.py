@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from capturelab.operators import neighbors, quantiles, reports
+from capturelab.operators import certified, neighbors, quantiles, reports
 
 
 def _brute(v, ids, k, metric):
@@ -56,3 +56,29 @@ def test_categories_search_once(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "id long, label int")
     got = reports.review_order(neighbors.categories(near, labels)).collect()
     assert len(got) == 30 and seen.value == 90
+
+
+@pytest.mark.parametrize("metric", ["cosine", "rms"])
+def test_endless_numbers_have_no_neighbours(spark, metric):
+    """A vector that isn't finite neither is a neighbour nor spoils a cell, in any of the three searches."""
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(300, 8)).tolist() + [[float("nan")] * 8, [float("inf")] + [1.0] * 7] * 2 + [None]
+    x = spark.createDataFrame(list(enumerate(v)), "id long, v array<float>").repartition(3)
+    found = [neighbors.nearest(x, 3, 40, metric), neighbors.probed(x, 3, probes=10, cells=10, block_rows=40, metric=metric), certified.certified(x, 3, metric, cells=10, block_rows=40)]
+    rows = [sorted((r.id, r.place, r.neighbour) for r in f.collect()) for f in found]
+    assert len(rows[0]) == 900 and rows[0] == rows[1] == rows[2]
+
+
+def test_cells_in_blocks():
+    first, parts, blocks = neighbors._packed(np.array([30, 0, 60, 250, 5, 5]), 100)
+    assert (first.tolist(), parts.tolist(), blocks) == ([0, 0, 0, 1, 4, 4], [1, 0, 1, 3, 1, 1], 5)
+
+
+def test_a_vector_goes_once_to_a_block(spark):
+    """However many cells are asked, a vector is copied to a block at most once."""
+    rng = np.random.default_rng(15)
+    x = neighbors.sound(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(400, 8)))], "id long, v array<float>"))
+    c = neighbors.centres(x, 20)
+    lying, lies, _ = neighbors.in_blocks(x, c, "cosine", 100, 20)
+    found = neighbors.searched(lying, c, lies, lambda d, home, off, bound, cells: np.ones(d.shape, bool), 2, "cosine")
+    assert lies.shape[1] <= 8 and found.count() == 400 * lies.shape[1] * 2 and found.agg({"compared": "sum"}).first()[0] == 400 * 400
