@@ -4,6 +4,7 @@ Spark 4.1 can't explode a pandas UDF's array if the UDF's argument holds a lambd
 """
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,12 +70,18 @@ def by_length(signals: pd.Series, work, cells: int = 2**20) -> list:
     return out
 
 
+#: Rows whose results a task holds at once.
+ROWS = 512
+
+
 def _made(kind: str, work):
     """A column function that does work(matrix) by length, with rows of this type."""
 
     @F.pandas_udf(kind)
-    def made(s: pd.Series) -> pd.Series:
-        return pd.Series(by_length(s, work), dtype=object)
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            for k in range(0, len(s), ROWS):
+                yield pd.Series(by_length(s.iloc[k : k + ROWS], work), dtype=object)
 
     return made
 
