@@ -31,7 +31,7 @@ def quantile(ordered: Column, q: float) -> Column:
 
 def std(x: Column) -> Column:
     """Population standard deviation."""
-    return let(mean(x), lambda m: F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m)))))
+    return let(mean(x), lambda m: F.sqrt(F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)), F.size(x))))
 
 
 def steps(x: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import labels as L
-from ..sources.shared import kept
-from .quantiles import quantiles
+from ..sources.shared import stored
+from .quantiles import medians, quantiles
 
 FIELDS = ("min_db", "p01_db", "p05_db", "mean_db", "median_db", "p95_db", "p99_db", "max_db", "std_db", "p2p_db", "diff_p95", "diff_p99", "max_jump", "jump_ratio", "nonnegative_ratio", "boundary_ratio")
 ROBUST = ("mean_db", "median_db", "std_db", "p2p_db", "diff_p95")
@@ -32,6 +32,15 @@ def signal_stats(captures: DataFrame, jump: float = 12.0) -> DataFrame:
 
 def issues(stats: DataFrame, no_signal_db: float | None = None, jump: float = 12.0) -> DataFrame:
     """One row for each rule that a capture breaks; rules compare the rounded statistics."""
+    return _exploded(stats, _broken(no_signal_db, jump))
+
+
+def _issue(test, severity: str, kind: str, *detail):
+    """An issue of the row if the test holds, else null."""
+    return F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.concat(*detail).alias("detail")))
+
+
+def _broken(no_signal_db: float | None, jump: float = 12.0) -> list:
     c = F.col
     rules = [
         ("error", "flat_or_nearly_flat", (c("std_db") <= 0.05) | (c("p2p_db") <= 0.5), "std_db"),
@@ -42,27 +51,38 @@ def issues(stats: DataFrame, no_signal_db: float | None = None, jump: float = 12
     ]
     if no_signal_db is not None:
         rules.append(("review", "possible_no_signal", c("p95_db") <= no_signal_db, "p95_db"))
-    found = F.array(*(F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("type"), F.concat(F.lit(f"{d}="), F.col(d).cast("string")).alias("detail"))) for s, t, test, d in rules))
-    return stats.select("file", "group", "condition_path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("i.severity", "i.type", "file", "group", "condition_path", "i.detail")
+    return [_issue(test, s, t, F.lit(f"{d}="), c(d).cast("string")) for s, t, test, d in rules]
+
+
+def _exploded(rows: DataFrame, found: list) -> DataFrame:
+    return _found(rows, found).select("i.severity", "i.type", "file", "group", "condition_path", "i.detail")
+
+
+def _found(rows: DataFrame, found: list) -> DataFrame:
+    """file, group, condition_path and i, for each of the expressions that isn't null."""
+    return rows.select("file", "group", "condition_path", F.explode(F.array(*found)).alias("i")).where("i is not null")
 
 
 def issue_table(rows: DataFrame, parsed: DataFrame, no_signal_db: float | None = None, expected_length: int | None = None, z: float = 5.0) -> DataFrame:
-    """Every issue of an index (file, group, condition_path, label) and its parsed captures, of one file or of the corpus: severity, type, file, group, condition_path, detail. The statistics, without signals, are written to the shared folder once, and each kind of issue reads them from there."""
+    """Every issue of an index (file, group, condition_path, label) and its parsed captures, of one file or of the corpus: severity, type, file, group, condition_path, detail. The statistics, without signals, are written to the shared folder once. What the corpus has to say (usual length, spread of each condition, repeated fingerprints) comes from a few columns of them; then one pass names the issues of each file, and one its duplicates."""
     x = rows.select("file", "group", "condition_path", "label").join(parsed.select("file", "signal", "discarded_nonfinite_count", "parse_error"), "file")
-    marked = x.withColumn("fingerprint", fingerprint(F.col("signal"))).withColumn("signal", F.transform("signal", lambda v: v.cast("double")))
-    x = kept(signal_stats(marked))
-    good = x.where("parse_error is null")
-    stats = good
-    row = lambda severity, kind, df, detail: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), "file", "group", "condition_path", detail.alias("detail"))
-    out = issues(stats, no_signal_db)
-    out = out.unionByName(row("error", "parse_failure", x.where("parse_error is not null"), F.col("parse_error")))
-    out = out.unionByName(row("error", "nonfinite_values", good.where("discarded_nonfinite_count > 0"), F.concat(F.lit("discarded_nonfinite_count="), F.col("discarded_nonfinite_count"))))
-    mode = modal_length(stats) if expected_length is None else stats.where(F.col("n") != expected_length).select("file", "n", F.lit(expected_length).alias("mode"))
-    places = stats.select("file", "group", "condition_path")
-    out = out.unionByName(row("error", "length_mismatch", mode.join(places, "file"), F.concat(F.lit("num_samples="), F.col("n"), F.lit(", expected="), F.col("mode"))))
-    twice = repeated_across(good.select("file", F.col("label").alias("group"), "fingerprint")).select("file", "copies")
-    out = out.unionByName(row("error", "duplicate_across_labels", twice.join(places, "file"), F.concat(F.lit("duplicate_count="), F.col("copies"))))
-    return out.unionByName(row("review", "condition_outlier", condition_outliers(stats, z), F.concat(F.col("metric"), F.lit(" robust_z="), F.col("robust_z"))))
+    marked = x.withColumn("fingerprint", F.unhex(fingerprint(F.col("signal")))).withColumn("signal", F.transform("signal", lambda v: v.cast("double")))
+    x = stored(signal_stats(marked).drop("jump_count", "jump_ratio", "p01_db", "p05_db", "p99_db", "diff_p99"))
+    read = F.col("parse_error").isNull()
+    good = x.where(read)
+    mode = F.lit(_usual_length(good) if expected_length is None else expected_length)
+    found = [_issue(~read, "error", "parse_failure", F.col("parse_error"))]
+    of_good = [
+        *_broken(no_signal_db),
+        _issue(F.col("discarded_nonfinite_count") > 0, "error", "nonfinite_values", F.lit("discarded_nonfinite_count="), F.col("discarded_nonfinite_count")),
+        _issue(F.col("n") != mode, "error", "length_mismatch", F.lit("num_samples="), F.col("n"), F.lit(", expected="), mode),
+        *(_issue(s >= z, "review", "condition_outlier", F.lit(f"{m} robust_z="), F.round(s, 6)) for m, s in _scores().items()),
+    ]
+    out = _exploded(_with_spread(x, _spread(good), "left"), found + [F.when(read, i) for i in of_good])
+    # a hash of the label tells whether there are several, without sorting
+    label = F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    twice = stored(good.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min(label).alias("a"), F.max(label).alias("b")).where("a <> b").select("fingerprint", "copies"))
+    return out.unionByName(_exploded(good.select("file", "group", "condition_path", "fingerprint").join(twice, "fingerprint"), [_issue(F.lit(True), "error", "duplicate_across_labels", F.lit("duplicate_count="), F.col("copies"))]))
 
 
 def counts(rows: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -99,6 +119,12 @@ def mode_of_lengths(stats: DataFrame) -> DataFrame:
     return stats.groupBy("n").agg(F.count("*").alias("c"), F.min("file").alias("first")).orderBy(F.desc("c"), "first").limit(1).select(F.col("n").alias("mode"))
 
 
+def _usual_length(stats: DataFrame) -> int | None:
+    """The mode of mode_of_lengths; files are compared only if two lengths are equally frequent."""
+    top = stats.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("c")).limit(2).collect()
+    return mode_of_lengths(stats).first().mode if len(top) > 1 and top[0].c == top[1].c else top[0].n if top else None
+
+
 def modal_length(stats: DataFrame) -> DataFrame:
     """The most frequent length, of equals the one whose first file comes first, and captures that differ from it."""
     return stats.crossJoin(F.broadcast(mode_of_lengths(stats))).where("n <> mode").select("file", "n", "mode")
@@ -113,23 +139,35 @@ def recommended(stats: DataFrame) -> DataFrame:
 
 
 def condition_outliers(stats: DataFrame, z: float = 5.0, least: int = 8) -> DataFrame:
-    """Captures far from their (group, condition) by median and MAD, in any of five metrics."""
-    long = stats.select("file", "group", "condition_path", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ROBUST))).alias("x")).select("file", "group", "condition_path", "x.*")
-    by = ["group", "condition_path", "metric"]
-    # counts of the rounded values first, so that no task gets all rows of a condition
-    tally = long.where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
-    centre = tally.groupBy(*by).agg(F.percentile("v", F.lit(0.5), F.col("c")).alias("centre"), F.sum("c").alias("size")).where(F.col("size") >= least)
-    off = F.abs(F.col("v") - F.col("centre"))
-    mad = _with(tally, centre, by).groupBy(*by, "centre").agg(F.percentile(off, F.lit(0.5), F.col("c")).alias("mad")).where("mad >= 1e-8")
-    score = 0.6744897501960817 * off / F.col("mad")
-    return _with(long, mad, by).withColumn("z", score).where(F.col("z") >= z).select("file", "group", "condition_path", "metric", F.round("z", 6).alias("robust_z"))
-
-
-def _with(rows: DataFrame, statistics: DataFrame, by: list[str]) -> DataFrame:
-    """rows joined with the statistics of their keys, where null equals null."""
-    named = statistics.withColumnsRenamed({c: f"_by_{c}" for c in by})
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    return rows.join(named, same).drop(*(f"_by_{c}" for c in by))
+    """Captures far from their (group, condition) by median and MAD, in any of five metrics. The metrics are written to the shared folder once."""
+    x = stored(stats.select("file", "group", "condition_path", *ROBUST))
+    far = [F.when(s >= z, F.struct(F.lit(m).alias("metric"), F.round(s, 6).alias("robust_z"))) for m, s in _scores().items()]
+    return _found(_with_spread(x, _spread(x, least)), far).select("file", "group", "condition_path", "i.*")
+
+
+def _key():
+    """Group and condition, never null as a whole; null equals null."""
+    return F.struct("group", "condition_path", F.lit(0).alias("_")).alias("_key")
+
+
+def _spread(stats: DataFrame, least: int = 8) -> DataFrame:
+    """(_key, and of each robust metric the centre and MAD) of the conditions with so many captures; null where the MAD is 0."""
+    by = ["_key", "metric"]
+    long = stats.select(_key(), F.posexplode(F.array(*ROBUST)).alias("metric", "v")).where("v is not null")
+    centre = stored(medians(long, by).where(F.col("size") >= least).select(*by, F.col("median").alias("centre")))
+    off = long.join(centre, by).select(*by, F.abs(F.col("v") - F.col("centre")).alias("v"))
+    mad = medians(off, by).where("median >= 1e-8").select(*by, F.col("median").alias("mad"))
+    of = lambda i, c: F.max(F.when(F.col("metric") == i, F.col(c)))
+    return stored(centre.join(mad, by).groupBy("_key").agg(*(of(i, c).alias(f"_{c}_{m}") for i, m in enumerate(ROBUST) for c in ("centre", "mad"))))
+
+
+def _with_spread(rows: DataFrame, spread: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.withColumn("_key", _key()).join(spread, "_key", how)
+
+
+def _scores() -> dict:
+    """The robust score of each metric, of rows with their condition's spread."""
+    return {m: 0.6744897501960817 * F.abs(F.col(m) - F.col(f"_centre_{m}")) / F.col(f"_mad_{m}") for m in ROBUST}
 
 
 def fingerprint(signal):

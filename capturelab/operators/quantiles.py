@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import kept, stored
 
 #: A group of so many rows at most may have its distinct values in one buffer.
 SMALL = 1 << 16
@@ -77,6 +77,24 @@ def selected(x: DataFrame, wanted: DataFrame) -> DataFrame:
         done, todo, first = alone if done is None else done.unionByName(alone), narrowed.where("lo <> hi"), False
 
 
+def medians(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, size, median) of the values v of rows (by, v), where neither is null. `by` and v are read twice.
+
+    First the rows are counted by parts of an octave, then by value within the parts that hold the middle ranks. So little is shuffled and tasks hold counts only,
+    if values are rounded: a part has then few different ones.
+    """
+    part, least, most = _octave(F.col("v")), F.shiftright(F.col("size") - 1, 1), F.shiftright("size", 1)
+    group, c = Window.partitionBy(*by), F.col("c")
+    middle = (F.col("until") > least) & (F.col("until") - c <= most)
+    cells = rows.groupBy(*by, part.alias("part")).agg(F.count("*").alias("c"))
+    cells = cells.select("*", F.sum("c").over(group.orderBy("part")).alias("until"), F.sum("c").over(group).alias("size")).where(middle)
+    near = stored(cells.select(*by, "part", (F.col("until") - c).alias("before"), "size"))
+    values = rows.withColumn("part", part).join(near, [*by, "part"]).groupBy(*by, "part", "before", "size", "v").agg(F.count("*").alias("c"))
+    until = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "part").orderBy("v"))
+    low, high = F.min("v"), F.max("v")
+    return values.withColumn("until", until).where(middle).groupBy(*by, "size").agg(F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias("median"))
+
+
 def placed(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     """rows with their places from 1 in an order. Rows are sorted over all tasks, and only the tasks' row counts come together."""
     x = kept(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))

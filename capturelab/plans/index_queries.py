@@ -33,7 +33,7 @@ def _texts(s, d):
     """Capture files (file, content), one for each order, with its lines as rows: some without marker, with bad, endless or missing numbers, in another encoding, or with no rows at all."""
     x = views.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("x"))
     k = F.col("l_orderkey")
-    level = lambda r: F.round(-r["l_extendedprice"] / 1000, 5).cast("decimal(14,5)").cast("string")
+    level = lambda r: (-r["l_extendedprice"] / 1000).cast("decimal(14,5)").cast("string")
     cell = lambda r: F.when((k % 13 == 0) & (r["l_linenumber"] == 2), "bad").when((k % 11 == 0) & (r["l_linenumber"] == 3), "inf").when((k % 17 == 0) & (r["l_linenumber"] == 1), "").otherwise(level(r))
     rows = F.array_join(F.transform("x", lambda r: F.concat(r["l_linenumber"].cast("string"), F.when(k % 2 == 0, ",").otherwise("\t"), cell(r))), "\n")
     head = F.when(k % 5 == 0, "").when(k % 7 == 0, "note\nDATA\n\n").otherwise("a,b\nc\ndata\n")

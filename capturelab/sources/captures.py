@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 #: The names of encodings and of parser modes.
 UTF8, CHINESE = "utf-8-sig", "gb18030"
 WITH_MARKER, WITHOUT_MARKER = "data_section", "legacy_last_column"
-_LINE_END, _BETWEEN = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", r"(?U)[,\s]+"
+_LINE_END, _FIELD = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", r"(?U)[^,\s]+"
 _NUMBER, _ENDLESS = r"^[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+)?$", r"(?i)^[+-]?inf(?:inity)?$"
 
 
@@ -38,7 +38,7 @@ def text_of(content: Column) -> tuple[Column, Column]:
     """The text of a binary column, without a byte order mark, and its encoding; both are null for neither encoding."""
     plain = content.cast("string")
     valid = F.is_valid_utf8(plain)
-    text = F.when(valid, F.regexp_replace(plain, r"^\x{FEFF}", "")).otherwise(_gb18030(F.when(~valid, content)))
+    text = F.when(valid, F.when(plain.startswith("\ufeff"), F.substr(plain, F.lit(2))).otherwise(plain)).otherwise(_gb18030(F.when(~valid, content)))
     return text, F.when(valid, UTF8).when(text.isNotNull(), CHINESE)
 
 
@@ -50,7 +50,7 @@ def lines_of(text: Column) -> Column:
 
 def fields_of(line: Column) -> Column:
     """The fields of a line that are not empty."""
-    return F.filter(F.split(line, _BETWEEN), lambda x: x != "")
+    return F.regexp_extract_all(line, F.lit(_FIELD), F.lit(0))
 
 
 def number(field: Column) -> Column:

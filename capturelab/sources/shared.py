@@ -1,6 +1,7 @@
 """Results that are kept in the folder that driver and executors share."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,10 @@ def kept(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there, so that it is computed once and a lost executor costs no more than its own tasks."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read from there: each later step reads only the columns it needs, and a join knows the size of what it joins."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from capturelab.operators import certified, classifier, metrics, mixtures, neighbors, quantiles, redundancy, templates
+from capturelab.operators import audit, certified, classifier, metrics, mixtures, neighbors, quantiles, redundancy, templates
 from capturelab.sources import feature_store
 
 
@@ -33,6 +33,35 @@ def test_selection_among_ten_million(spark):
     assert got == [p * (n - 1) / 8 for p in (0.05, 0.5, 0.95)]
 
 
+def test_medians_by_counts(spark):
+    """Medians equal percentile's, of groups with null keys, ties, one value, and values of all sizes."""
+    rng = np.random.default_rng(5)
+    values = [*rng.normal(size=801), *(10.0 ** rng.uniform(-300, 300, 100)), *(-(10.0 ** rng.uniform(-300, 300, 99))), 0.0, -0.0, float("inf"), float("-inf"), *[7.0] * 50]
+    rows = [("a", 0, float(v)) for v in values] + [(None, 1, float(round(v, 1))) for v in rng.normal(size=30)] + [("b", 0, 2.5), ("d", 1, 1.0), ("d", 1, float("nan")), ("e", 0, -3.0), ("e", 0, 4.0)]
+    x = spark.createDataFrame(rows, "g string, m int, v double").repartition(5).select(F.struct("g", F.lit(0).alias("_")).alias("k"), "m", "v")
+    got = quantiles.medians(x, ["k", "m"]).select("k", "m", "size", "median").collect()
+    want = x.groupBy("k", "m").agg(F.count("v").alias("size"), F.percentile("v", F.lit(0.5)).alias("median")).collect()
+    assert len(got) == 5 and sorted(map(str, got)) == sorted(map(str, want))
+    assert quantiles.medians(x.limit(0), ["k", "m"]).count() == 0
+
+
+def test_issues_are_found_in_two_scans(spark):
+    """One scan of the stored statistics for the issues of each file and one for duplicates; files are not joined or sorted again."""
+    n = 4000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("file"), (F.col("id") % 3).cast("string").alias("group"), F.when(F.col("id") % 2 == 0, "p").alias("condition_path"), F.when(F.col("id") % 5 > 0, (F.col("id") % 4).cast("string")).alias("label"))
+    level = lambda i: -60 - F.col("id") % 97 / 50 - F.when(F.col("id") % 1001 == 0, 40).otherwise(0) - i
+    parsed = spark.range(n).select(F.col("id").cast("string").alias("file"), F.array(*(level(i).cast("float") for i in (0, 1, 3))).alias("signal"), F.lit(0).alias("discarded_nonfinite_count"), F.lit(None).cast("string").alias("parse_error"))
+    x = audit.issue_table(rows, parsed, -200.0)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 4 and "ExistingRDD" not in plan and "Sort" not in plan, plan
+    got = x.collect()
+    far = [r for r in got if r.type == "condition_outlier"]
+    assert {r.file for r in far} == {"0", "1001", "2002", "3003"} and {r.detail.split(" ")[0] for r in far} == {"mean_db", "median_db"}
+    assert sum(r.type == "possible_clipping" for r in got) == n and len(got) == 2 * n - 4 + len(far)
+    # 97 signals, each with more than one label; an outlier's signal is that of its value alone
+    assert {r.file for r in got if r.type == "duplicate_across_labels"}.isdisjoint({"0", "1001", "2002", "3003"}) and sum(r.type == "duplicate_across_labels" for r in got) == n - 4
+
+
 def test_places_in_an_order(spark):
     x = spark.createDataFrame([(i, i * 7 % 30) for i in range(100)], "i long, v long").repartition(6)
     got = [(r.v, r.i) for r in quantiles.placed(x, F.desc("v"), "i").orderBy("place").collect()]

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,11 @@ def test_folder(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = {r.file.split("/")[-1]: r.parse_error for r in C.read_folder(spark, str(tmp_path)).collect()}
     assert got == {"a.csv": None, "b.csv": "line 2: not numeric"}
+
+
+def test_fields_of_odd_lines(spark):
+    lines = ["", " ", ",", "a", ",a,,b ", "a\tb\u00a0c\u3000d\u2003e", "\u200b x\ufeff", "-1,,é 5", " , a"]
+    want = [[f for f in re.split(r"[,\s]+", x) if f] for x in lines]
+    x = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    assert [r.f for r in x.select("i", C.fields_of(F.col("line")).alias("f")).orderBy("i").collect()] == want
+    assert [one(spark, text, need_marker=False).signal for text in ("\ufeff1\n".encode(), "\ufeff\ufeff1\n".encode(), "1\ufeff\n2".encode())] == [[1], [], [2]]
